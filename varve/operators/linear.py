@@ -51,7 +51,6 @@ def channel_scales(rows: DataFrame, channels: Sequence[str], floor: float = 1e-1
 _PCA_SCHEMA = "sd array<double>, retained array<boolean>, pc array<double>, pc_scale double, explained double, status string"
 
 
-@F.pandas_udf(_PCA_SCHEMA)
 def _pca(covariances: pd.Series) -> pd.DataFrame:
     out = []
     for flat in covariances:
@@ -82,7 +81,7 @@ def principal_component(moments: DataFrame, channels: Sequence[str], by: Sequenc
     name = lambda i, j: f"cov_{channels[min(i, j)]}_{channels[max(i, j)]}"
     flat = F.array(*[F.col(name(i, j)) for i in range(k) for j in range(k)])
     mean = F.array(*[F.col(f"mean_{c}") for c in channels])
-    fitted = moments.select(*by, mean.alias("mean"), _pca(flat).alias("_f"))
+    fitted = moments.select(*by, mean.alias("mean"), F.pandas_udf(_pca, _PCA_SCHEMA)(flat).alias("_f"))
     return fitted.select(*by, "mean", "_f.*")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -45,6 +46,16 @@ TERM_STEPS: tuple[tuple[str, str], ...] = (
 )
 
 
+def term_stages() -> list[list[tuple[str, str]]]:
+    """TERM_STEPS cut into runs whose lines do not use one another."""
+    stages: list[list[tuple[str, str]]] = [[]]
+    for name, text in TERM_STEPS:
+        if any(re.search(rf"\b{earlier}\b", text) for earlier, _ in stages[-1]):
+            stages.append([])
+        stages[-1].append((name, text))
+    return stages
+
+
 def sequence_sums(scored: DataFrame, keys: Sequence[str] = ("entity_id",), unit: float = 30.0) -> DataFrame:
     """Four sums per pair among {z, 1, s} for each entity's window: first, tail, lag-cross and head.
 
@@ -81,8 +92,8 @@ def sensor_terms(sums: DataFrame, draws: DataFrame, fit: str = "fit", salts: int
     left = draws.withColumn("_salt", F.pmod(F.col("draw"), F.lit(salts)).cast("int"))
     right = sums.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     j = right.join(left, [fit, "_salt"]).drop("_salt")
-    for name, text in TERM_STEPS:
-        j = j.withColumn(name, F.expr(text))
+    for stage in term_stages():
+        j = j.withColumns({name: F.expr(text) for name, text in stage})
     return j.select("entity_id", fit, "chain", "draw", "mu", "var", "log_w", "sigma_r")
 
 

@@ -37,12 +37,13 @@ def dense_index(
     """Number the rows of each key 1..n in (cells, order) order.
 
     ``cells`` must be a monotone coarsening of the full order (a day, an id block): they split a
-    hot key across tasks. With ``upto`` (key, bound) only the first ``bound`` rows of each key are
-    produced, and cells past the bound are dropped before the rows are shuffled for sorting.
+    hot key across tasks. With ``upto`` (key, bound, ...) only the first ``bound`` rows of each key
+    are produced, cells past the bound are dropped before the rows are shuffled for sorting, and the
+    other columns of ``upto`` ride along.
     """
     offsets = cell_offsets(df, keys, cells)
     if upto is not None:
-        offsets = offsets.join(upto.select(*keys, F.col(upto_col).alias("_upto")), list(keys))
+        offsets = offsets.join(upto.withColumnRenamed(upto_col, "_upto"), list(keys))
         offsets = offsets.filter(F.col("_start") < F.col("_upto"))
     rows = df.join(offsets.drop("_n"), [*keys, *cells])
     w = Window.partitionBy(*keys, *cells).orderBy(*order)
@@ -68,7 +69,7 @@ def hash_rank(df: DataFrame, hex_col: str, tiebreak: str, name: str, hex_digits:
     return ranked.drop("_cell", "_start")
 
 
-def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 256) -> DataFrame:
+def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 64) -> DataFrame:
     """Distinct values of each key with ``n_at``, ``n_before`` and ``n_key``.
 
     Repeats are collapsed first, so ties cannot pile into one task. Bucket borders come from a

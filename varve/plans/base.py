@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from varve.functions.hashing import digest, hex_chunk
 from varve.operators import assign, features
 from varve.operators.ordering import dense_index
+from varve.session import checkpointed
 
 SEED = "varve-1"
 SHIP_CELLS, SHIP_ORDER = ["day", "block"], ["l_orderkey", "l_linenumber"]
@@ -24,7 +25,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def shipments(spark: SparkSession, sf: str) -> DataFrame:
-    """lineitem as one sequence per supplier; cells of (day, order block) split a hot supplier."""
+    """lineitem as one sequence per supplier; cells of (day, order block) split a hot supplier.
+
+    Channels: quantity, price, price after discount, and that with tax.
+    """
+    net = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
     return table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("entity_id"),
         F.col("l_shipdate").alias("day"),
@@ -33,8 +38,10 @@ def shipments(spark: SparkSession, sf: str) -> DataFrame:
         "l_linenumber",
         F.col("l_quantity").alias("c1"),
         F.col("l_extendedprice").alias("c2"),
-        F.col("l_discount").alias("c3"),
-        F.col("l_tax").alias("c4"),
+        net.alias("c3"),
+        (net * (F.lit(1.0) + F.col("l_tax"))).alias("c4"),
+        F.col("l_discount").alias("discount"),
+        F.col("l_tax").alias("tax"),
     )
 
 
@@ -65,6 +72,11 @@ def _entities(rows: DataFrame, low: int, width: int) -> DataFrame:
     return assign.with_eligibility(cut).select("entity_id", "role", "split_rank", "cutoff", "lifetime", "eligible")
 
 
+def written_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """User entities materialised once, for audits that read them several times."""
+    return checkpointed(read_entities(spark, sf))
+
+
 def ship_entities(spark: SparkSession, sf: str) -> DataFrame:
     return _entities(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("entity_id")), SHIP_LOW, SHIP_WIDTH)
 
@@ -76,16 +88,16 @@ def read_entities(spark: SparkSession, sf: str) -> DataFrame:
 def ship_prefix(spark: SparkSession, sf: str, extra: int = 0) -> DataFrame:
     """Supplier rows up to the cutoff (plus ``extra``) with the entity's cutoff, lifetime and role."""
     ents = ship_entities(spark, sf).filter("eligible")
-    bound = ents.withColumn("upto", F.col("cutoff") + F.lit(extra))
+    bound = ents.drop("split_rank", "eligible").withColumn("upto", F.col("cutoff") + F.lit(extra))
     rows = dense_index(shipments(spark, sf), ["entity_id"], SHIP_CELLS, SHIP_ORDER, "cycle", bound)
-    return rows.select("entity_id", "cycle", *CHANNELS).join(ents.drop("split_rank", "eligible"), "entity_id")
+    return rows.select("entity_id", "cycle", *CHANNELS, "role", "cutoff", "lifetime")
 
 
 def read_prefix(spark: SparkSession, sf: str) -> DataFrame:
     ents = read_entities(spark, sf).filter("eligible")
-    bound = ents.withColumn("upto", F.col("cutoff"))
+    bound = ents.drop("split_rank", "eligible").withColumn("upto", F.col("cutoff"))
     rows = dense_index(readings(spark, sf), ["entity_id"], READ_CELLS, READ_ORDER, "cycle", bound)
-    return rows.select("entity_id", "cycle", *READ_CHANNELS).join(ents.drop("split_rank", "eligible"), "entity_id")
+    return rows.select("entity_id", "cycle", *READ_CHANNELS, "role", "cutoff", "lifetime")
 
 
 def forecasts(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,8 +131,8 @@ def mixture_terms(spark: SparkSession, sf: str) -> DataFrame:
         (F.floor(r / 3) % 2).cast("int").alias("chain"),
         F.floor(r / 6).cast("long").alias("draw"),
         F.log("c2").alias("mu"),
-        (F.col("c3") + F.lit(0.01)).alias("var"),
-        (-F.col("c4")).alias("log_w"),
+        (F.col("discount") + F.lit(0.01)).alias("var"),
+        (-F.col("tax")).alias("log_w"),
     )
 
 
@@ -160,5 +172,6 @@ def supplier_fits(spark: SparkSession, sf: str) -> DataFrame:
 
 def landmarks(spark: SparkSession, sf: str, roles: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """(preprocessor, windows): PC1 fitted on fit-role prefixes, then the last 30 scores of every entity."""
-    prefix = ship_prefix(spark, sf)
+    # four passes follow (weights, means, cross-products, projection): derive the prefixes once
+    prefix = checkpointed(ship_prefix(spark, sf))
     return features.fit_and_project(prefix, CHANNELS, fit_roles=roles or ("fit",), window=WINDOW)

@@ -9,6 +9,7 @@ from varve.plans import base
 from varve.plans.base import CHANNELS, READ_CHANNELS, READ_LOW, READ_WIDTH, SEED, table
 from varve.plans.registry import query, rnd
 from varve.plans.sqlkit import build, cte, digest, digest_mod, hash_mod
+from varve.session import checkpointed
 from varve.sources import readers, sinks
 
 # ---------------------------------------------------------------- sources
@@ -246,12 +247,12 @@ def val11(spark, sf):
 
 @query(
     "val12_gate_table",
-    build("SELECT entity_id, list_aggregate(list_filter([CASE WHEN avg(c2) < 40000 THEN 'low_mean' END, CASE WHEN count(*) > 600 THEN 'too_long' END, CASE WHEN max(c4) < 0.08 THEN 'tax' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS reasons, "
-          "CASE WHEN avg(c2) < 40000 OR count(*) > 600 OR max(c4) < 0.08 THEN 'FAIL' ELSE 'PASS' END AS status FROM s_traj GROUP BY 1"
+    build("SELECT entity_id, list_aggregate(list_filter([CASE WHEN avg(c2) < 40000 THEN 'low_mean' END, CASE WHEN count(*) > 600 THEN 'too_long' END, CASE WHEN max(tax) < 0.08 THEN 'tax' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS reasons, "
+          "CASE WHEN avg(c2) < 40000 OR count(*) > 600 OR max(tax) < 0.08 THEN 'FAIL' ELSE 'PASS' END AS status FROM s_traj GROUP BY 1"
           ).replace("list_aggregate(", "coalesce(list_aggregate(").replace("'string_agg', ',')", "'string_agg', ','), '')"),
 )
 def val12(spark, sf):
-    g = base.shipments(spark, sf).groupBy("entity_id").agg(F.avg("c2").alias("m"), F.count(F.lit(1)).alias("n"), F.max("c4").alias("t"))
+    g = base.shipments(spark, sf).groupBy("entity_id").agg(F.avg("c2").alias("m"), F.count(F.lit(1)).alias("n"), F.max("tax").alias("t"))
     out = quality.gate(g, {"low_mean": F.col("m") < 40000, "too_long": F.col("n") > 600, "tax": F.col("t") < 0.08})
     return out.select("entity_id", F.concat_ws(",", "reasons").alias("reasons"), "status")
 
@@ -354,7 +355,7 @@ def asg9(spark, sf):
           "quantile_cont(cutoff::DOUBLE, 0.5) FILTER (WHERE eligible) AS median_cutoff, quantile_cont(lifetime::DOUBLE, 0.5) FILTER (WHERE eligible) AS median_lifetime FROM u_ent GROUP BY 1"),
 )
 def aud1(spark, sf):
-    return audit.role_counts(base.read_entities(spark, sf)).select("role", "reserved", "eligible", "ineligible", rnd("eligible_fraction"), "median_cutoff", "median_lifetime")
+    return audit.role_counts(base.written_entities(spark, sf)).select("role", "reserved", "eligible", "ineligible", rnd("eligible_fraction"), "median_cutoff", "median_lifetime")
 
 
 cte("bands", f"SELECT b AS band, {READ_LOW} + b * {READ_WIDTH} // 5 AS min_cutoff, {READ_LOW} + (b + 1) * {READ_WIDTH} // 5 - 1 AS max_cutoff FROM range(5) t(b)")
@@ -375,7 +376,7 @@ cte("quart", "SELECT *, least(3, (row_number() OVER (ORDER BY lifetime, entity_i
 
 @query("aud3_lifetime_quartiles", build("SELECT entity_id, lifetime, quartile FROM quart"))
 def aud3(spark, sf):
-    return audit.lifetime_quartiles(base.read_entities(spark, sf)).select("entity_id", "lifetime", "quartile")
+    return audit.lifetime_quartiles(base.written_entities(spark, sf)).select("entity_id", "lifetime", "quartile")
 
 
 @query(
@@ -384,12 +385,12 @@ def aud3(spark, sf):
           "FROM range(4) q(quartile) CROSS JOIN (SELECT role FROM role_dim UNION ALL SELECT 'all') r LEFT JOIN quart e ON e.quartile = q.quartile AND (r.role = 'all' OR e.role = r.role) GROUP BY 1, 2"),
 )
 def aud4(spark, sf):
-    return audit.quartile_tables(audit.lifetime_quartiles(base.read_entities(spark, sf)))
+    return audit.quartile_tables(audit.lifetime_quartiles(base.written_entities(spark, sf)))
 
 
 @query("aud4_quartile_medians", build("SELECT quartile, count(*) AS n, quantile_cont(lifetime::DOUBLE, 0.5) AS lifetime_median, quantile_cont(cutoff::DOUBLE, 0.5) AS cutoff_median FROM quart GROUP BY 1"))
 def aud4b(spark, sf):
-    return audit.quartile_medians(audit.lifetime_quartiles(base.read_entities(spark, sf)))
+    return audit.quartile_medians(audit.lifetime_quartiles(base.written_entities(spark, sf)))
 
 
 cte("assoc", "SELECT 'all' AS cohort, cutoff, lifetime FROM u_ent UNION ALL SELECT 'eligible', cutoff, lifetime FROM u_ent WHERE eligible")
@@ -398,7 +399,7 @@ cte("assoc_rank", "SELECT *, rank() OVER (PARTITION BY cohort ORDER BY cutoff) +
 
 @query("aud5_cutoff_lifetime_association", build("SELECT cohort, count(*) AS n, round(corr(cutoff, lifetime), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM assoc_rank GROUP BY 1"))
 def aud5(spark, sf):
-    return audit.cutoff_lifetime_association(base.read_entities(spark, sf)).select("cohort", "n", rnd("pearson"), rnd("spearman"))
+    return audit.cutoff_lifetime_association(base.written_entities(spark, sf)).select("cohort", "n", rnd("pearson"), rnd("spearman"))
 
 
 _SENS_HASH = digest(repr(SEED), "'cutoff-sensitivity-' || lpad(CAST(scenario AS VARCHAR), 3, '0')", "CAST(entity_id AS VARCHAR)")
@@ -449,7 +450,7 @@ WIDE_MEAN, WIDE_CHANNEL = 1.15, 1.45
 )
 def aud8(spark, sf):
     """Duplicate screen at the default limits: entities, comparable pairs, exact and near pairs."""
-    prefix = base.ship_prefix(spark, sf)
+    prefix = checkpointed(base.ship_prefix(spark, sf))
     long_enough = F.count_if(F.col("cutoff") >= audit.MIN_COMMON)
     n = prefix.filter("cycle = 1").agg(F.count(F.lit(1)).alias("n_entities"), (long_enough * (long_enough - 1) / 2).cast("long").alias("pair_comparisons"))
     exact = audit.exact_groups(prefix, CHANNELS).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("exact_pairs"))

@@ -9,6 +9,7 @@ from varve.plans import base
 from varve.plans.base import CHANNELS, WINDOW
 from varve.plans.registry import query, rnd
 from varve.plans.sqlkit import build, cte
+from varve.session import checkpointed
 
 SUMMARY = features.SUMMARY
 
@@ -110,7 +111,7 @@ def fea10(spark, sf):
 
 
 def _fit_moments(spark, sf):
-    prefix = base.ship_prefix(spark, sf).filter("role = 'fit'").withColumn("stage", F.lit("fit"))
+    prefix = checkpointed(base.ship_prefix(spark, sf)).filter("role = 'fit'").withColumn("stage", F.lit("fit"))
     return linear.weighted_moments(linear.entity_weights(prefix), CHANNELS)
 
 
@@ -136,7 +137,7 @@ def fit1b(spark, sf):
     from varve.plans.q_design import _boot
 
     mult = assign.stage_multiplicities(_boot(spark, sf))
-    rows = base.read_prefix(spark, sf).drop("role").join(mult, "entity_id")
+    rows = checkpointed(base.read_prefix(spark, sf).drop("role").join(mult, "entity_id"))
     w = linear.entity_weights(rows, ["replicate", "role"], "multiplicity")
     m = linear.weighted_moments(w, ["c1", "c2"], ["replicate", "role"])
     return m.select("replicate", "role", rnd("weight_sum", 9), rnd("mean_c1"), rnd("mean_c2"), rnd("cov_c1_c1", 5, "var_c1"), rnd("cov_c1_c2", 5))

@@ -121,20 +121,11 @@ for _p in mixture.PAIRS:
         f"sum(CASE WHEN pz IS NOT NULL THEN {_x} * {_py} + {_px} * {_y} ELSE 0 END) AS p{_p}_cross", f"sum(CASE WHEN cycle < cutoff THEN {_x} * {_y} ELSE 0 END) AS p{_p}_head",
     ]
 cte("seq_sums", "SELECT entity_id, cutoff, lifetime, count(*) AS w, ln(cutoff / 100.0::DOUBLE) AS log_age, " + ", ".join(_sum_cols) + " FROM lagged GROUP BY 1, 2, 3")
-_prev = "term0"
 cte("term0", "SELECT s.*, d.* FROM seq_sums s JOIN supplier p ON p.s_suppkey = s.entity_id JOIN draws d ON d.fit = p.s_nationkey")
-_done: set[str] = set()
-_stage: list[tuple[str, str]] = []
-_k = 0
-for _name, _text in mixture.TERM_STEPS:
-    import re as _re
-
-    if any(_re.search(rf"\b{n}\b", _text) for n, _ in _stage):
-        cte(f"term{_k + 1}", f"SELECT *, " + ", ".join(f"{t} AS {n}" for n, t in _stage) + f" FROM term{_k}")
-        _k += 1
-        _stage = []
-    _stage.append((_name, _text))
-cte("pterms", "SELECT entity_id, fit, chain, draw, lifetime - cutoff AS y, sigma_r, " + ", ".join(f"{t} AS {n}" for n, t in _stage) + f" FROM term{_k}")
+_stages = mixture.term_stages()
+for _k, _stage in enumerate(_stages[:-1]):
+    cte(f"term{_k + 1}", "SELECT *, " + ", ".join(f"{t} AS {n}" for n, t in _stage) + f" FROM term{_k}")
+cte("pterms", "SELECT entity_id, fit, chain, draw, lifetime - cutoff AS y, sigma_r, " + ", ".join(f"{t} AS {n}" for n, t in _stages[-1]) + f" FROM term{len(_stages) - 1}")
 
 
 def quantile_ctes(name: str, terms: str, keys: str, error: str = "normal") -> None:
@@ -171,8 +162,8 @@ cte("pt_g", "SELECT *, CASE WHEN y < lower THEN 19 ELSE -1 END AS g_lower, CASE
 cte("pt_h", "SELECT x.fit, x.chain, x.draw, sum(CASE WHEN p = 0.05 THEN g_lower * x WHEN p = 0.95 THEN g_upper * x END) / count(*) FILTER (WHERE p = 0.05) AS h FROM pt_x x JOIN pt_g g ON g.fit = x.fit AND g.entity_id = x.entity_id WHERE p <> 0.5 GROUP BY 1, 2, 3")
 cte("pt_n", "SELECT fit, min(c) AS shortest FROM (SELECT fit, chain, count(*) AS c FROM draws GROUP BY 1, 2) GROUP BY 1")
 cte("pt_sizes", "SELECT fit, least(greatest(greatest(1, floor(shortest ** (1.0 / 3.0))) + 1, floor(sqrt(shortest))), floor(shortest / 2))::BIGINT AS b2, greatest(1, floor(shortest ** (1.0 / 3.0)))::BIGINT AS b1 FROM pt_n WHERE shortest >= 4")
-cte("pt_b", "SELECT fit, unnest([least(b1, b2 - 1), b2]) AS b FROM pt_sizes")
-cte("pt_batch", "SELECT h.fit, b.b, h.chain, h.draw // b.b AS batch, avg(h) AS m, count(*) AS n FROM pt_h h JOIN pt_b b ON b.fit = h.fit GROUP BY 1, 2, 3, 4")
+cte("pt_bsize", "SELECT fit, unnest([least(b1, b2 - 1), b2]) AS b FROM pt_sizes")
+cte("pt_batch", "SELECT h.fit, b.b, h.chain, h.draw // b.b AS batch, avg(h) AS m, count(*) AS n FROM pt_h h JOIN pt_bsize b ON b.fit = h.fit GROUP BY 1, 2, 3, 4")
 cte("pt_lrv", "SELECT fit, b, chain, sum(n)::BIGINT AS n_chain, count(*) FILTER (WHERE n = b) AS n_batches, b * var_samp(m) FILTER (WHERE n = b) AS lrv FROM pt_batch GROUP BY 1, 2, 3")
 cte("pt_part", "SELECT *, n_chain * lrv / (sum(n_chain) OVER (PARTITION BY fit, b)) ** 2 AS part FROM pt_lrv")
 
@@ -206,10 +197,10 @@ def sco9(spark, sf):
     return x.select("fit", "entity_id", "p", "chain", "draw", rnd("x", 4))
 
 
-@query("sco10_score_influence", build("SELECT fit, chain, draw, round(h, 4) AS h FROM pt_h"))
+@query("sco10_score_influence", build("SELECT fit, chain, draw, round(h, 3) AS h FROM pt_h"))
 def sco10(spark, sf):
     _, _, x, ends, _ = score_inputs(spark, sf)
-    return scoring.score_influence(x, ends).select("fit", "chain", "draw", rnd("h", 4))
+    return scoring.score_influence(x, ends).select("fit", "chain", "draw", rnd("h", 3))
 
 
 def _sized(x, sizes):

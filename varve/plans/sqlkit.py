@@ -83,7 +83,7 @@ def build(body: str, extra: dict[str, str] | None = None) -> str:
 cte(
     "s_traj",
     "SELECT l_suppkey AS entity_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS cycle, "
-    "l_quantity AS c1, l_extendedprice AS c2, l_discount AS c3, l_tax AS c4 FROM lineitem",
+    "l_quantity AS c1, l_extendedprice AS c2, l_extendedprice * (1.0::DOUBLE - l_discount) AS c3, l_extendedprice * (1.0::DOUBLE - l_discount) * (1.0::DOUBLE + l_tax) AS c4, l_discount AS discount, l_tax AS tax FROM lineitem",
 )
 cte(
     "u_traj",
@@ -120,7 +120,7 @@ cte(
 cte(
     "mix",
     "SELECT entity_id, ((cycle - 1) % 3)::INT AS fit, (((cycle - 1) // 3) % 2)::INT AS chain, (cycle - 1) // 6 AS draw, "
-    "ln(c2) AS mu, c3 + 0.01::DOUBLE AS var, -c4 AS log_w FROM s_traj",
+    "ln(c2) AS mu, discount + 0.01::DOUBLE AS var, -tax AS log_w FROM s_traj",
 )
 _draw_cols = ", ".join(
     f"{c!r}::DOUBLE + {h!r}::DOUBLE * ({hex_chunk(f'h{i // 8}', i % 8)}::DOUBLE / 2147483648.0::DOUBLE - 1) AS {n}"
