@@ -246,19 +246,16 @@ class Linear:
         return [(g, tau) for g in self.grid for tau in self.taus]
 
 
-def _soft_descent(a: np.ndarray, c: np.ndarray, lam: float, b: np.ndarray, sweeps: int = 400) -> np.ndarray:
-    """Coordinate descent of b'Ab - 2c'b + lam * |b[1:]|_1 on one small reduced problem."""
+def _soft_descent(a: np.ndarray, c: np.ndarray, lam: np.ndarray, b: np.ndarray, sweeps: int = 200) -> np.ndarray:
+    """Coordinate descent of b'Ab - 2c'b + lam * |b[1:]|_1, all models of the batch together."""
     b = b.copy()
+    diag = np.maximum(np.einsum("mjj->mj", a), 1e-300)
     for _ in range(sweeps):
-        moved = 0.0
-        for j in range(len(b)):
-            if a[j, j] <= 0:
-                continue
-            rho = c[j] - a[j] @ b + a[j, j] * b[j]
-            new = rho / a[j, j] if j == 0 else np.sign(rho) * max(abs(rho) - lam / 2.0, 0.0) / a[j, j]
-            moved = max(moved, abs(new - b[j]) * a[j, j] ** 0.5)
-            b[j] = new
-        if moved < 1e-12:
+        before = b.copy()
+        for j in range(b.shape[1]):
+            rho = c[:, j] - np.einsum("mk,mk->m", a[:, j], b) + a[:, j, j] * b[:, j]
+            b[:, j] = rho / diag[:, j] if j == 0 else np.sign(rho) * np.maximum(np.abs(rho) - lam / 2.0, 0.0) / diag[:, j]
+        if np.max(np.abs(b - before) * np.sqrt(diag)) < 1e-10:
             break
     return b
 
@@ -327,12 +324,11 @@ def fit_linear(rows: DataFrame, grid: Sequence[dict], taus: Sequence[float] = EN
         if smooth <= floor and settled.all():
             break
         previous = objective
-        for r in range(n_rep):
-            for t in range(n_task):
-                a = acc[r, t, : q * q].reshape(q, q) / n_of[r]
-                c = (acc[r, t, q * q : q * q + q] + (tau_of[t] - 0.5) / 2.0 * acc[r, t, q * q + q : q * q + 2 * q]) / n_of[r]
-                coef[r, t] = _soft_descent(a, c, lam[t], coef[r, t])
-        smooth = max(smooth * 0.6, floor)
+        n = n_of[:, None, None]
+        gram = (acc[..., : q * q] / n).reshape(-1, q, q)
+        right = (acc[..., q * q : q * q + q] + (tau_of[:, None] - 0.5) / 2.0 * acc[..., q * q + q : q * q + 2 * q]) / n
+        coef = _soft_descent(gram, right.reshape(-1, q), np.tile(lam, n_rep), coef.reshape(-1, q)).reshape(n_rep, n_task, q)
+        smooth = max(smooth * 0.5, floor)
     return Linear(grid, taus, reps, mean, sd, best_coef, best)
 
 

@@ -135,13 +135,13 @@ cte("sub_c", "SELECT size, replicate, CASE WHEN ceil((n + 1)::DECIMAL(20,0) * 0.
 
 @query(
     "cqr12_subset_corrections",
-    build("SELECT size, count(*) AS replicates, round(quantile_cont(c, 0.025), 6) AS low, round(quantile_cont(c, 0.5), 6) AS mid, round(quantile_cont(c, 0.975), 6) AS high FROM sub_c GROUP BY 1"),
+    build("SELECT size, count(*) AS replicates, round(quantile_cont(c, 0.025), 4) AS low, round(quantile_cont(c, 0.5), 4) AS mid, round(quantile_cont(c, 0.975), 4) AS high FROM sub_c GROUP BY 1"),
 )
 def cqr12(spark, sf):
     scores = checkpointed(_scores(spark, sf).filter("method = 'full'"))
     reps = conformal.subset_corrections(scores, SUBSETS, SUBSET_REPS, SEED)
     r = conformal.correction_ranges(reps)
-    return r.select("size", "replicates", rnd("low"), rnd("mid"), rnd("high"))
+    return r.select("size", "replicates", rnd("low", 4), rnd("mid", 4), rnd("high", 4))
 
 
 BOOT_REPS = 50

@@ -1 +1,272 @@
+"""Queries: mixture quantiles from draws and their Monte Carlo precision."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from varve.functions.special import norm_ppf
+from varve.operators import mixture, precision
+from varve.plans import base
+from varve.plans.q_scoring import predictive, quantile_ctes
+from varve.plans.registry import query, rnd
+from varve.plans.sqlkit import build, cte
+
+ENTITY = ["entity_id"]
+TAIL = 0.025
+Z = norm_ppf(1 - 0.05 / 2)
+
+# pooled chains: (fit, chain) pairs of the mixture table
+cte("mixp", "SELECT entity_id, fit || ':' || chain AS chain, draw, mu, var, log_w FROM mix")
+quantile_ctes("mx", "mixp", "entity_id")
+quantile_ctes("mf", "mix", "fit, entity_id")
+quantile_ctes("mc", "mixp", "entity_id, chain")
+quantile_ctes("pc_mix", "pterms", "fit, entity_id", "contamination")
+
+
+def pooled(spark, sf):
+    """Terms of each supplier with the three fits pooled as six chains, ready for repeated passes."""
+    return mixture.prepare(mixture.pool_fits(base.mixture_terms(spark, sf)), ENTITY)
+
+
+def pooled_quantiles(spark, sf):
+    prepared = pooled(spark, sf)
+    return prepared, mixture.mixture_quantiles(prepared, ENTITY)
+
+
+@query("prd2_importance_weights", build("SELECT entity_id, n_total, round(mean_w, 9) AS mean_w, round(weight_ess, 6) AS weight_ess, round(max_weight, 9) AS max_weight FROM mx_s"))
+def prd2(spark, sf):
+    w = mixture.weight_stats(pooled(spark, sf), ENTITY)
+    return w.select("entity_id", "n_total", rnd("mean_w", 9), rnd("weight_ess"), rnd("max_weight", 9))
+
+
+@query("prd3_mixture_quantiles", build("SELECT entity_id, p, round(q, 7) AS q, round(quantile, 3) AS quantile, abs(cdf - p) <= 1e-10 AS tight FROM mx_q"))
+def prd3(spark, sf):
+    _, q = pooled_quantiles(spark, sf)
+    return q.select("entity_id", "p", rnd("q", 7), rnd("quantile", 3), (F.abs("residual") <= 1e-10).alias("tight"))
+
+
+@query("prd4_contamination_quantiles", build("SELECT fit, entity_id, p, round(q, 7) AS q, round(quantile, 4) AS quantile FROM pc_mix_q"))
+def prd4(spark, sf):
+    """Quantiles under the 5% contamination variant of the residual."""
+    keys = ["fit", "entity_id"]
+    prepared = mixture.prepare(predictive(spark, sf), keys, "contamination")
+    return mixture.mixture_quantiles(prepared, keys, error="contamination").select("fit", "entity_id", "p", rnd("q", 7), rnd("quantile", 4))
+
+
+@query("prd5_density_at_quantile", build("SELECT entity_id, p, round(cdf, 9) AS cdf, round(density, 6) AS density FROM mx_q"))
+def prd5(spark, sf):
+    _, q = pooled_quantiles(spark, sf)
+    return q.select("entity_id", "p", rnd("cdf", 9), rnd("density"))
+
+
+cte("mx_n", "SELECT entity_id, min(c) AS shortest, max(c) AS longest, count(*) AS chains, sum(c)::BIGINT AS n_total FROM (SELECT entity_id, chain, count(*) AS c FROM mixp GROUP BY 1, 2) GROUP BY 1")
+
+
+@query(
+    "prd6_between_chain_mcse",
+    build("SELECT c.entity_id, c.p, count(*) AS chains, CASE WHEN any_value(n.shortest = n.longest) THEN round(stddev_samp(c.quantile) / sqrt(count(*)), 4) END AS between_chain_mcse FROM mc_q c JOIN mx_n n ON n.entity_id = c.entity_id GROUP BY 1, 2"),
+)
+def prd6(spark, sf):
+    """Per-chain quantiles; suppliers whose chains differ in length get no MCSE."""
+    terms = mixture.pool_fits(base.mixture_terms(spark, sf))
+    keys = ["entity_id", "chain"]
+    q = mixture.mixture_quantiles(mixture.prepare(terms, keys), keys)
+    out = mixture.chain_mcse(q, precision.chain_sizes(terms, ENTITY), ENTITY)
+    return out.select("entity_id", "p", "chains", rnd("between_chain_mcse", 4))
+
+
+@query("prd7_pooled_chains", build("SELECT entity_id, chain, count(*) AS n_draws, round(sum(mu), 5) AS sum_mu FROM mixp GROUP BY 1, 2"))
+def prd7(spark, sf):
+    t = mixture.pool_fits(base.mixture_terms(spark, sf))
+    return t.groupBy("entity_id", "chain").agg(F.count(F.lit(1)).alias("n_draws"), rnd(F.sum("mu"), 5, "sum_mu"))
+
+
+cte("mx_end", "SELECT entity_id, max(CASE WHEN p = 0.05 THEN quantile END) AS lower, max(CASE WHEN p = 0.5 THEN quantile END) AS median, max(CASE WHEN p = 0.95 THEN quantile END) AS upper FROM mx_q GROUP BY 1")
+
+
+@query("prd8_ordered_endpoints", build("SELECT entity_id, round(lower, 3) AS lower, round(median, 3) AS median, round(upper, 3) AS upper, CASE WHEN lower <= median AND median <= upper THEN 'PASS' ELSE 'FAIL' END AS status FROM mx_end"))
+def prd8(spark, sf):
+    _, q = pooled_quantiles(spark, sf)
+    return mixture.endpoints(q, ENTITY).select("entity_id", rnd("lower", 3), rnd("median", 3), rnd("upper", 3), "status")
+
+
+# ---------------------------------------------------------------- precision
+
+cte("mx_h", "SELECT f.entity_id, f.p, f.chain, f.draw, f.w * (f.cdf - f.p) AS h FROM mx_f f")
+
+
+def precision_ctes(name: str, keys: str, series: str, quant: str) -> None:
+    """Batch-means precision of the quantiles of one key set, as SQL."""
+    k = keys.replace(" ", "").split(",")
+    u = ", ".join(k)
+    cte(f"{name}_c", f"SELECT {u}, min(c) AS n FROM (SELECT {u}, chain, count(*) / 3 AS c FROM {series} GROUP BY {u}, chain) GROUP BY {u}")
+    cte(f"{name}_z", f"SELECT *, least(greatest(greatest(1, floor(n ** (1.0 / 3.0))) + 1, floor(sqrt(n))), floor(n / 2))::BIGINT AS b2, greatest(1, floor(n ** (1.0 / 3.0)))::BIGINT AS b1 FROM {name}_c WHERE n >= 4")
+    cte(f"{name}_bs", f"SELECT {u}, unnest([least(b1, b2 - 1), b2]) AS batch_size FROM {name}_z")
+    cte(f"{name}_m", f"SELECT {u}, p, batch_size, chain, draw // batch_size AS g, avg(h) AS m, count(*) AS n FROM {series} JOIN {name}_bs USING ({u}) GROUP BY {u}, p, batch_size, chain, g")
+    cte(f"{name}_l", f"SELECT {u}, p, batch_size, chain, sum(n)::BIGINT AS n_chain, count(*) FILTER (WHERE n = batch_size) AS nb, batch_size * var_samp(m) FILTER (WHERE n = batch_size) AS lrv FROM {name}_m GROUP BY {u}, p, batch_size, chain")
+    cte(f"{name}_v", f"SELECT {u}, p, batch_size, var_h FROM (SELECT {u}, p, var_samp(h) AS var_h FROM {series} GROUP BY {u}, p) JOIN {name}_bs USING ({u})")
+    cte(f"{name}_p", f"SELECT {u}, p, batch_size, n_chain, nb, n_chain * lrv / (n_total ** 2 * mean_w ** 2 * density ** 2) AS part FROM {name}_l JOIN {quant} USING ({u}, p)")
+    cte(f"{name}_a", f"SELECT {u}, p, batch_size, count(*) AS chains, sum(part) AS variance, sum(part) ** 2 / nullif(sum(CASE WHEN part > 0 THEN part ** 2 / (nb - 1) END), 0) AS dof FROM {name}_p GROUP BY {u}, p, batch_size")
+    cte(f"{name}_rec", f"SELECT {u}, p, batch_size, chains, variance, dof, q.quantile, q.quantile * sqrt(variance) AS mcse, var_h / nullif(variance * (q.density * q.mean_w) ** 2, 0) AS influence_ess, q.weight_ess, q.cdf - p AS residual FROM {name}_a JOIN {quant} q USING ({u}, p) JOIN {name}_v USING ({u}, p, batch_size)")
+
+
+cte("mf_h", "SELECT f.fit, f.entity_id, f.p, f.chain, f.draw, f.w * (f.cdf - f.p) AS h FROM mf_f f")
+precision_ctes("mxp", "entity_id", "mx_h", "mx_q")
+precision_ctes("mfp", "fit, entity_id", "mf_h", "mf_q")
+
+
+def records(spark, sf, fits: bool = False):
+    """Precision records of the pooled quantiles, or of every single fit."""
+    keys = ["fit", "entity_id"] if fits else ENTITY
+    terms = base.mixture_terms(spark, sf)
+    terms = terms if fits else mixture.pool_fits(terms)
+    prepared = mixture.prepare(terms, keys)
+    q = mixture.mixture_quantiles(prepared, keys)
+    h = precision.influence(prepared, q, keys)
+    return precision.quantile_mcse(h, q, precision.chain_sizes(prepared, keys), keys, TAIL), h, q
+
+
+@query("mce1_influence_series", build("SELECT entity_id, p, count(*) AS n, round(sum(h), 6) AS sum_h, round(max(abs(h)), 8) AS max_abs_h FROM mx_h GROUP BY 1, 2"))
+def mce1(spark, sf):
+    prepared, q = pooled_quantiles(spark, sf)
+    h = precision.influence(prepared, q, ENTITY)
+    g = h.groupBy("entity_id", "p").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("h"), 6) + F.lit(0.0)).alias("sum_h"), rnd(F.max(F.abs("h")), 8, "max_abs_h"))
+    return g
+
+
+@query("mce2_batch_means", build("SELECT entity_id, p, batch_size AS b, chain, n_chain, nb AS n_batches, n_chain - nb * batch_size AS dropped, round(lrv, 8) AS lrv FROM mxp_l"))
+def mce2(spark, sf):
+    prepared, q = pooled_quantiles(spark, sf)
+    h = precision.influence(prepared, q, ENTITY)
+    sized = h.join(precision.chain_sizes(prepared, ENTITY).select("entity_id", "sizes"), "entity_id")
+    lrv = precision.batch_means(sized, ["entity_id", "p"], "h", F.col("sizes"))
+    return lrv.select("entity_id", "p", "b", "chain", "n_chain", "n_batches", "dropped", rnd("lrv", 8))
+
+
+@query("mce3_quantile_mcse", build("SELECT entity_id, p, batch_size, chains, round(sqrt(variance), 8) AS log_mcse, round(mcse, 3) AS mcse FROM mxp_rec"))
+def mce3(spark, sf):
+    r, _, _ = records(spark, sf)
+    return r.select("entity_id", "p", "batch_size", "chains", rnd("log_mcse", 8), rnd("mcse", 3))
+
+
+@query("mce4_satterthwaite_dof", build("SELECT entity_id, p, batch_size, round(dof, 5) AS dof FROM mxp_rec"))
+def mce4(spark, sf):
+    r, _, _ = records(spark, sf)
+    return r.select("entity_id", "p", "batch_size", rnd("dof", 5))
+
+
+@query("mce4_upper_mcse")
+def mce4b(spark, sf):
+    r, _, _ = records(spark, sf)
+    return r.select("entity_id", "p", "batch_size", rnd("upper_mcse", 3))
+
+
+@query("mce5_influence_ess", build("SELECT entity_id, p, batch_size, round(influence_ess, 4) AS influence_ess FROM mxp_rec"))
+def mce5(spark, sf):
+    r, _, _ = records(spark, sf)
+    return r.select("entity_id", "p", "batch_size", rnd("influence_ess", 4))
+
+
+@query(
+    "mce6_batch_stability",
+    build("SELECT entity_id, p, round(a, 3) AS mcse_small, round(b, 3) AS mcse_large, round(abs(a - b), 3) AS absolute, round(abs(a - b) / greatest(a, b), 6) AS relative FROM (SELECT entity_id, p, min_by(mcse, batch_size) AS a, max_by(mcse, batch_size) AS b FROM mxp_rec GROUP BY 1, 2)"),
+)
+def mce6(spark, sf):
+    r, _, _ = records(spark, sf)
+    s = precision.batch_stability(r, ["entity_id", "p"])
+    return s.select("entity_id", "p", rnd("mcse_small", 3), rnd("mcse_large", 3), rnd("absolute", 3), rnd("relative"))
+
+
+@query("mce7_batch_sizes", build("SELECT n.entity_id, n.shortest AS draws_per_chain, n.chains, least(z.b1, z.b2 - 1) AS first_size, z.b2 AS second_size FROM mx_n n JOIN mxp_z z ON z.entity_id = n.entity_id"))
+def mce7(spark, sf):
+    s = precision.chain_sizes(mixture.pool_fits(base.mixture_terms(spark, sf)), ENTITY)
+    return s.select("entity_id", "draws_per_chain", "chains", F.col("sizes")[0].alias("first_size"), F.col("sizes")[1].alias("second_size"))
+
+
+@query("mce8_finite_flags", build("SELECT count(*) AS n_records, 0::BIGINT AS n_failed FROM mxp_rec"))
+def mce8(spark, sf):
+    r, _, _ = records(spark, sf)
+    f = precision.finite_flags(r)
+    return f.agg(F.count(F.lit(1)).alias("n_records"), F.count_if(F.size("failed_checks") > 0).alias("n_failed"))
+
+
+@query(
+    "mce9_precision_gate",
+    build("SELECT entity_id, p, batch_size, weight_ess >= 400 AND influence_ess >= 300 AND abs(residual) <= 1e-10 AS passes FROM mxp_rec"),
+)
+def mce9(spark, sf):
+    """Gate with thresholds that suit some 600 draws; the upper MCSE is left to its own query."""
+    r, _, _ = records(spark, sf)
+    g = precision.precision_gate(r, weight_ess=400.0, influence_ess=300.0, upper=float("inf"))
+    return g.select("entity_id", "p", "batch_size", (F.col("status") == "PASS").alias("passes"))
+
+
+@query("mce10_exceedances", build("SELECT count(*) AS n_records, count(DISTINCT (entity_id, p)) AS n_quantiles FROM mfp_rec WHERE mcse > 3000"))
+def mce10(spark, sf):
+    """Single-fit records whose MCSE passes 3000, and the quantiles they touch."""
+    r, _, _ = records(spark, sf, fits=True)
+    return precision.exceedances(r.select("entity_id", "p", F.col("mcse").alias("upper_mcse")), 3000.0)
+
+
+cte("mfp_max", "SELECT fit, entity_id, p, max(quantile) AS quantile, max(mcse) AS mcse FROM mfp_rec GROUP BY 1, 2, 3")
+cte("mfp_cmp", f"SELECT a.entity_id, a.p, a.fit AS fit_a, b.fit AS fit_b, abs(a.quantile - b.quantile) AS difference, sqrt(a.mcse ** 2 + b.mcse ** 2) AS combined, abs(a.quantile - b.quantile) <= {Z!r} * sqrt(a.mcse ** 2 + b.mcse ** 2) AS compatible FROM mfp_max a JOIN mfp_max b ON a.entity_id = b.entity_id AND a.p = b.p AND a.fit < b.fit")
+
+
+@query("mce11_replication_compatibility", build("SELECT entity_id, p, fit_a, fit_b, round(difference, 3) AS difference, round(combined, 3) AS combined_mcse, compatible FROM mfp_cmp"))
+def mce11(spark, sf):
+    r, _, _ = records(spark, sf, fits=True)
+    c = precision.compatibility(r, None, Z)
+    return c.select("entity_id", "p", "fit_a", "fit_b", rnd("difference", 3), rnd("combined_mcse", 3), "compatible")
+
+
+@query(
+    "mce12_source_comparison",
+    build(f"SELECT a.entity_id, a.p, round(abs(a.q - b.q), 3) AS difference, abs(a.q - b.q) <= {Z!r} * sqrt(a.m ** 2 + b.m ** 2) AS compatible FROM (SELECT entity_id, p, max(quantile) AS q, max(mcse) AS m FROM mxp_rec GROUP BY 1, 2) a "
+          "JOIN (SELECT entity_id, p, max(quantile) AS q, max(mcse) AS m FROM mfp_rec WHERE fit = 0 GROUP BY 1, 2) b ON a.entity_id = b.entity_id AND a.p = b.p"),
+)
+def mce12(spark, sf):
+    """Pooled quantiles against those of the first fit."""
+    a, _, _ = records(spark, sf)
+    b, _, _ = records(spark, sf, fits=True)
+    c = precision.compatibility(a, b.filter("fit = 0").drop("fit"), Z)
+    return c.select("entity_id", "p", rnd("difference", 3), "compatible")
+
+
+cte("mv", "SELECT f.p, f.batch_size, f.fit, f.entity_id, f.quantile - x.quantile AS error, f.mcse FROM mfp_rec f JOIN mx_q x ON x.entity_id = f.entity_id AND x.p = f.p")
+
+
+@query(
+    "mce13_mcse_validation",
+    build("SELECT fit, p, count(*) AS n, round(sqrt(avg(error ** 2)), 3) AS rms_error, round(sqrt(avg(mcse ** 2)), 3) AS rms_mcse, count(*) FILTER (WHERE abs(error) <= 1.96 * mcse) AS covered, round(sqrt(avg(error ** 2)) / sqrt(avg(mcse ** 2)), 6) AS ratio FROM mv GROUP BY 1, 2"),
+)
+def mce13(spark, sf):
+    """Single-fit errors against the pooled quantile as the truth of each supplier."""
+    r, _, _ = records(spark, sf, fits=True)
+    _, q = pooled_quantiles(spark, sf)
+    truth = q.select("entity_id", "p", F.col("quantile").alias("_t"))
+    reps = r.join(truth, ["entity_id", "p"]).withColumn("error", F.col("quantile") - F.col("_t"))
+    v = precision.validate_mcse(reps, ["fit", "p"])
+    return v.select("fit", "p", "n", rnd("rms_error", 3), rnd("rms_mcse", 3), "covered", rnd("ratio"))
+
+
+@query(
+    "mce14_run_acceptance",
+    build("SELECT (SELECT count(*) FROM mxp_rec) AS n_records, (SELECT round(min(weight_ess), 5) FROM mxp_rec) AS min_weight_ess, (SELECT round(min(influence_ess), 4) FROM mxp_rec) AS min_influence_ess, "
+          "(SELECT count(*) FROM mxp_rec WHERE NOT (weight_ess >= 400 AND influence_ess >= 300)) AS n_failed, (SELECT count(*) FROM mfp_cmp) AS n_comparisons, (SELECT count(*) FROM mfp_cmp WHERE NOT compatible) AS n_incompatible, "
+          "CASE WHEN (SELECT count(*) FROM mxp_rec WHERE NOT (weight_ess >= 400 AND influence_ess >= 300)) + (SELECT count(*) FROM mfp_cmp WHERE NOT compatible) > 0 THEN 'FAIL' ELSE 'PASS' END AS status"),
+)
+def mce14(spark, sf):
+    a, _, _ = records(spark, sf)
+    b, _, _ = records(spark, sf, fits=True)
+    gated = precision.precision_gate(a, weight_ess=400.0, influence_ess=300.0, upper=float("inf"))
+    out = precision.acceptance(gated, precision.compatibility(b, None, Z))
+    return out.select("n_records", rnd("min_weight_ess", 5), rnd("min_influence_ess", 4), "n_failed", "n_comparisons", "n_incompatible", "status")
+
+
+@query("val14_recheck_quantiles")
+def val14(spark, sf):
+    """Stored quantile records, some with a moved root, recomputed from the terms: only those come back."""
+    prepared, q = pooled_quantiles(spark, sf)
+    moved = q.withColumn("q", F.when((F.col("entity_id") % 20 == 7) & (F.col("p") == 0.5), F.col("q") + 1e-6).otherwise(F.col("q")))
+    bad = mixture.recheck_quantiles(prepared, moved, ENTITY)
+    return bad.select("entity_id", "p", "column", "reason")
