@@ -23,6 +23,13 @@ ERFC_MID_DEN = (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862
 ERFC_FAR_NUM = (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4)
 ERFC_FAR_DEN = (1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3)
 
+# Coefficients of P. J. Acklam's rational approximation to the normal quantile.
+PPF_NUM = (-3.969683028665376e1, 2.209460984245205e2, -2.759285104469687e2, 1.383577518672690e2, -3.066479806614716e1, 2.506628277459239e0)
+PPF_DEN = (-5.447609879822406e1, 1.615858368580409e2, -1.556989798598866e2, 6.680131188771972e1, -1.328068155288572e1, 1.0)
+PPF_TAIL_NUM = (-7.784894002430293e-3, -3.223964580411365e-1, -2.400758277161838e0, -2.549732539343734e0, 4.374664141464968e0, 2.938163982698783e0)
+PPF_TAIL_DEN = (7.784695709041462e-3, 3.224671290700398e-1, 2.445134137142996e0, 3.754408661907416e0, 1.0)
+PPF_EDGE = 0.02425
+
 SQRT2 = math.sqrt(2.0)
 INV_SQRT_PI = 1.0 / math.sqrt(math.pi)
 HALF_LOG_2PI = 0.5 * math.log(2.0 * math.pi)
@@ -59,6 +66,16 @@ def norm_ppf(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
+def norm_ppf_column(p: Column) -> Column:
+    """Normal quantile of a Column, relative error near 1e-9."""
+    tail = F.sqrt(F.lit(-2.0) * F.log(F.least(p, F.lit(1.0) - p)))
+    outer = _poly(PPF_TAIL_NUM, tail) / _poly(PPF_TAIL_DEN, tail)
+    q = p - F.lit(0.5)
+    r = q * q
+    inner = _poly(PPF_NUM, r) * q / _poly(PPF_DEN, r)
+    return F.when(p < PPF_EDGE, outer).when(p > 1.0 - PPF_EDGE, -outer).otherwise(inner)
+
+
 def _gamma_p(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised lower incomplete gamma: series below a + 1, continued fraction above."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve.functions.numeric import reasons, safe_div, status
-from varve.functions.special import norm_ppf
+from varve.functions.special import norm_pdf, norm_ppf, norm_ppf_column
 from varve.operators import precision
 from varve.operators.precision import SALTS
-from varve.session import checkpointed
+from varve.session import checkpointed, checkpointed_count
 
 PROBS = (0.05, 0.5, 0.95)
 PAIRS = ("zz", "z1", "zs", "11", "1s", "ss")
@@ -161,8 +161,9 @@ def cdf_and_density(prepared: DataFrame, points: DataFrame, keys: Sequence[str],
     w = F.col("w")
     c = precision.conditional_cdf(F.col("x"), prepared, error)
     d = precision.conditional_density(F.col("x"), error)
-    g = j.groupBy(*keys, "p").agg(F.sum(w * c).alias("_c"), F.sum(w * d).alias("_d"))
-    return points.join(g, [*keys, "p"]).withColumn("cdf", F.col("_c") / F.col("sum_w")).withColumn("density", F.col("_d") / F.col("sum_w")).drop("_c", "_d")
+    # the point's own columns are constant within (key, p): grouping by them saves joining them back
+    g = j.groupBy(*points.columns).agg(F.sum(w * c).alias("_c"), F.sum(w * d).alias("_d"))
+    return g.withColumn("cdf", F.col("_c") / F.col("sum_w")).withColumn("density", F.col("_d") / F.col("sum_w")).drop("_c", "_d")
 
 
 def mixture_quantiles(prepared: DataFrame, keys: Sequence[str], probs: Sequence[float] = PROBS, error: str = "normal", tolerance: float = 1e-12, max_rounds: int = 120) -> DataFrame:
@@ -180,14 +181,19 @@ def mixture_quantiles(prepared: DataFrame, keys: Sequence[str], probs: Sequence[
         tight = (F.col("hi") - F.col("lo")) <= 4 * F.lit(2.220446049250313e-16) * F.abs("x")
         lo, hi = F.when(r < 0, F.col("x")).otherwise(F.col("lo")), F.when(r >= 0, F.col("x")).otherwise(F.col("hi"))
         v = v.withColumn("finished", (F.abs(r) <= tolerance) | tight).withColumn("lo", lo).withColumn("hi", hi)
-        newton = F.col("x") - r / F.nullif(F.col("density"), F.lit(0.0))
-        inside = F.coalesce((newton > F.col("lo")) & (newton < F.col("hi")), F.lit(False))
-        v = checkpointed(v.withColumn("next", F.when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2)))
+        # far away, Newton on the probit scale (nearly linear for a bell-shaped mixture); close by, plain Newton
+        probit = norm_ppf_column(F.greatest(F.least("cdf", F.lit(1.0 - 1e-12)), F.lit(1e-12)))
+        bell = (probit - norm_ppf_column(F.col("p"))) * norm_pdf(probit)
+        slope = F.nullif(F.col("density"), F.lit(0.0))
+        step = F.col("x") - F.when(F.abs(r) > 1e-4, bell).otherwise(r) / slope
+        inside = F.coalesce((step > F.col("lo")) & (step < F.col("hi")), F.lit(False))
+        v = v.withColumn("next", F.when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2))
+        v, left = checkpointed_count(v, ~F.col("finished"))
         finished = v.filter("finished").select(*keys, "p", F.col("x").alias("q"), "cdf", "density")
         done = finished if done is None else done.unionByName(finished)
-        state = v.filter("not finished").select(*keys, "p", "sum_w", "lo", "hi", F.col("next").alias("x"))
-        if state.isEmpty():
+        if not left:
             break
+        state = v.filter("not finished").select(*keys, "p", "sum_w", "lo", "hi", F.col("next").alias("x"))
     else:
         raise RuntimeError("mixture quantile search did not converge")
     out = done.withColumn("quantile", F.exp("q")).withColumn("residual", F.col("cdf") - F.col("p"))

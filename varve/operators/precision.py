@@ -38,32 +38,34 @@ def batch_means(series: DataFrame, keys: Sequence[str], value: str, sizes: Colum
     """Long-run variance of each chain for each batch size (an array column), tail dropped.
 
     Both sizes come from one pass; the batch number is part of the first grouping key, so a long
-    chain is spread over its batches. Below two complete batches the variance is null.
+    chain is spread over its batches. Below two complete batches the variance is null. Plain and
+    squared sums of the whole chain ride along for the marginal variance.
     """
     s = series.withColumn("b", F.explode(sizes)).withColumn("_batch", F.floor(F.col("draw") / F.col("b")))
-    per = s.groupBy(*keys, "b", "chain", "_batch").agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    v = F.col(value)
+    per = s.groupBy(*keys, "b", "chain", "_batch").agg(F.sum(v).alias("_s"), F.sum(v * v).alias("_s2"), F.count(F.lit(1)).alias("_n"))
     whole = F.col("_n") == F.col("b")
     g = per.groupBy(*keys, "b", "chain").agg(
-        F.sum("_n").alias("n_chain"), F.count_if(whole).alias("n_batches"), F.var_samp(F.when(whole, F.col("_m"))).alias("_v")
+        F.sum("_n").alias("n_chain"), F.count_if(whole).alias("n_batches"), F.var_samp(F.when(whole, F.col("_s") / F.col("b"))).alias("_v"),
+        F.sum("_s").alias("total"), F.sum("_s2").alias("total_sq"),
     )
     lrv = F.when(F.col("n_batches") >= 2, F.col("b") * F.col("_v"))
     return g.withColumn("lrv", lrv).withColumn("dof", F.col("n_batches") - 1).withColumn("dropped", F.col("n_chain") - F.col("n_batches") * F.col("b")).drop("_v")
 
 
-def pool_chains(lrv: DataFrame, keys: Sequence[str], tail: float, scale: Column | None = None) -> DataFrame:
+def pool_chains(lrv: DataFrame, keys: Sequence[str], tail: float) -> DataFrame:
     """Variance of the pooled mean, Satterthwaite degrees of freedom and the chi-square upper MCSE.
 
-    ``scale`` multiplies the variance (a delta-method factor already in the table).
+    A chain contributes n_c LRV_c / N^2; chains with zero variance do not enter the degrees of freedom.
     """
-    totals = lrv.groupBy(*keys, "b").agg(F.sum("n_chain").alias("_total"))
-    j = lrv.join(totals, [*keys, "b"])
-    part = F.col("n_chain") * F.col("lrv") / (F.col("_total") * F.col("_total"))
-    part = part * scale if scale is not None else part
-    j = j.withColumn("_part", part)
-    g = j.groupBy(*keys, "b").agg(
+    part = F.col("n_chain") * F.col("lrv")
+    n = F.sum("n_chain").cast("double")
+    g = lrv.groupBy(*keys, "b").agg(
         F.count(F.lit(1)).alias("chains"),
-        F.when(F.count("_part") == F.count(F.lit(1)), F.sum("_part")).alias("variance"),
-        F.sum(F.when(F.col("_part") > 0, F.col("_part") * F.col("_part") / F.col("dof"))).alias("_den"),
+        n.alias("n_total"),
+        F.when(F.count("lrv") == F.count(F.lit(1)), F.sum(part) / (n * n)).alias("variance"),
+        (F.sum(F.when(part > 0, part * part / F.col("dof"))) / (n * n) / (n * n)).alias("_den"),
+        ((F.sum("total_sq") - F.sum("total") * F.sum("total") / n) / (n - 1)).alias("marginal_variance"),
     )
     g = g.withColumn("mcse", F.sqrt(F.greatest(F.col("variance"), F.lit(0.0))))
     g = g.withColumn("dof", F.when(F.col("variance") > 0, safe_div(F.col("variance") * F.col("variance"), F.col("_den")))).drop("_den")
@@ -71,18 +73,22 @@ def pool_chains(lrv: DataFrame, keys: Sequence[str], tail: float, scale: Column
     return g.withColumn("upper_mcse", F.sqrt(safe_div(F.col("variance") * F.col("dof"), F.col("chi2_lower"))))
 
 
-def influence(prepared: DataFrame, quantiles: DataFrame, keys: Sequence[str], salt: str = "_salt", error: str = "normal") -> DataFrame:
+def influence(prepared: DataFrame, quantiles: DataFrame, keys: Sequence[str], sizes: DataFrame | None = None, error: str = "normal") -> DataFrame:
     """h = w (F(q) - p) and the score-scale influence x = -Q h / (mean(w) f) per draw, for every p.
 
     ``prepared`` carries the scaled weight ``w``; quantile rows are copied over the salts so a hot
-    entity stays split.
+    entity stays split. Batch ``sizes`` (one row per key) ride along on the quantile rows.
     """
-    q = quantiles.select(*keys, "p", "q", "density", "mean_w", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
-    j = prepared.join(q.hint("shuffle_hash"), [*keys, salt])
-    j = j.withColumn("_f", conditional_cdf(F.col("q"), j, error))
-    h = F.col("w") * (F.col("_f") - F.col("p"))
+    q = quantiles.select(*keys, "p", "q", "density", "mean_w")
+    if sizes is not None:
+        q = q.join(sizes.select(*[c for c in sizes.columns if c in keys or c == "sizes"]), [c for c in keys if c in sizes.columns])
+    q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    j = prepared.join(q.hint("shuffle_hash"), [*keys, "_salt"])
+    j = j.withColumn("cdf", conditional_cdf(F.col("q"), j, error))
+    h = F.col("w") * (F.col("cdf") - F.col("p"))
     x = -F.exp("q") * h / (F.col("mean_w") * F.col("density"))
-    return j.select(*keys, "p", "chain", "draw", h.alias("h"), x.alias("x"), "w", F.col("_f").alias("cdf"))
+    extra = ["sizes"] if sizes is not None else []
+    return j.select(*keys, "p", "chain", "draw", h.alias("h"), x.alias("x"), "w", "cdf", *extra)
 
 
 def conditional_cdf(x: Column, terms: DataFrame, error: str) -> Column:
@@ -100,23 +106,22 @@ def conditional_density(x: Column, error: str) -> Column:
     return F.lit(0.95) * base + F.lit(0.05) * norm_pdf((x - F.col("mu")) / F.col("sd_wide")) / F.col("sd_wide")
 
 
-def quantile_mcse(influences: DataFrame, quantiles: DataFrame, sizes: DataFrame, keys: Sequence[str], tail: float) -> DataFrame:
-    """Precision record of every quantile and batch size: MCSE on both scales, upper bounds, influence ESS."""
+def quantile_mcse(influences: DataFrame, quantiles: DataFrame, keys: Sequence[str], tail: float) -> DataFrame:
+    """Precision record of every quantile and batch size: MCSE on both scales, upper bounds, influence ESS.
+
+    ``influences`` must carry ``sizes``. The rows of the draws are read once; everything after the
+    batch sums works on reduced tables.
+    """
     by = [*keys, "p"]
-    # sizes has one row per key; it rides along with the quantile rows
-    sized = influences.join(sizes.select(*keys, "sizes"), list(keys))
-    lrv = batch_means(sized, by, "h", F.col("sizes"))
-    factor = quantiles.select(*by, "q", "quantile", "density", "mean_w", "n_total", "residual", "weight_ess")
-    scaled = lrv.join(factor.select(*by, (F.lit(1.0) / (F.col("mean_w") * F.col("mean_w") * F.col("density") * F.col("density"))).alias("_scale")), by)
-    pooled = pool_chains(scaled, by, tail, F.col("_scale"))
-    marginal = influences.groupBy(*by).agg(F.var_samp("h").alias("_hv"))
-    j = pooled.join(factor, by).join(marginal, by)
-    mean_var = F.col("variance") * F.pow(F.col("density") * F.col("mean_w"), F.lit(2.0))
-    ess = F.when(mean_var > 0, F.col("_hv") / mean_var).when((mean_var == 0) & (F.col("_hv") == 0), F.col("n_total").cast("double"))
+    pooled = pool_chains(batch_means(influences, by, "h", F.col("sizes")), by, tail).drop("n_total")
+    j = pooled.join(quantiles.select(*by, "quantile", "density", "mean_w", "n_total", "residual", "weight_ess"), by)
+    unit = F.lit(1.0) / (F.col("mean_w") * F.col("density"))
+    ess = F.when(F.col("variance") > 0, F.col("marginal_variance") / F.col("variance")).when(
+        (F.col("variance") == 0) & (F.col("marginal_variance") == 0), F.col("n_total").cast("double"))
     return j.select(
-        *by, F.col("b").alias("batch_size"), "chains", "quantile", F.col("variance").alias("log_variance"), F.col("mcse").alias("log_mcse"),
-        (F.col("quantile") * F.col("mcse")).alias("mcse"), F.col("dof"), F.col("upper_mcse").alias("log_upper_mcse"),
-        (F.col("quantile") * F.col("upper_mcse")).alias("upper_mcse"), ess.alias("influence_ess"), "weight_ess", "residual", "density", "mean_w",
+        *by, F.col("b").alias("batch_size"), "chains", "quantile", (F.col("variance") * unit * unit).alias("log_variance"), (F.col("mcse") * unit).alias("log_mcse"),
+        (F.col("quantile") * F.col("mcse") * unit).alias("mcse"), F.col("dof"), (F.col("upper_mcse") * unit).alias("log_upper_mcse"),
+        (F.col("quantile") * F.col("upper_mcse") * unit).alias("upper_mcse"), ess.alias("influence_ess"), "weight_ess", "residual", "density", "mean_w",
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from varve.functions.hashing import digest, digest_mod
 from varve.functions.numeric import exact_sum, is_finite, reasons, safe_div, status, wilson
-from varve.functions.special import norm_ppf
+from varve.functions.special import norm_ppf, norm_ppf_column
 from varve.operators.ordering import average_ranks, linear_quantiles
 
 # Thresholds of the chain diagnostics gate.
@@ -258,31 +258,6 @@ def split_rhat(long: DataFrame, by: Sequence[str] = ("fit", "param")) -> DataFra
     return g.groupBy(*keys).agg(F.max(r).alias("rhat"))
 
 
-# Coefficients of P. J. Acklam's rational approximation to the normal quantile.
-PPF_NUM = (-3.969683028665376e1, 2.209460984245205e2, -2.759285104469687e2, 1.383577518672690e2, -3.066479806614716e1, 2.506628277459239e0)
-PPF_DEN = (-5.447609879822406e1, 1.615858368580409e2, -1.556989798598866e2, 6.680131188771972e1, -1.328068155288572e1, 1.0)
-PPF_TAIL_NUM = (-7.784894002430293e-3, -3.223964580411365e-1, -2.400758277161838e0, -2.549732539343734e0, 4.374664141464968e0, 2.938163982698783e0)
-PPF_TAIL_DEN = (7.784695709041462e-3, 3.224671290700398e-1, 2.445134137142996e0, 3.754408661907416e0, 1.0)
-PPF_EDGE = 0.02425
-
-
-def norm_ppf_column(p: Column) -> Column:
-    """Normal quantile of a Column, relative error near 1e-9."""
-
-    def horner(coefs: Sequence[float], x: Column) -> Column:
-        out = F.lit(coefs[0])
-        for c in coefs[1:]:
-            out = out * x + F.lit(c)
-        return out
-
-    tail = F.sqrt(F.lit(-2.0) * F.log(F.least(p, F.lit(1.0) - p)))
-    outer = horner(PPF_TAIL_NUM, tail) / horner(PPF_TAIL_DEN, tail)
-    q = p - F.lit(0.5)
-    r = q * q
-    inner = horner(PPF_NUM, r) * q / horner(PPF_DEN, r)
-    return F.when(p < PPF_EDGE, outer).when(p > 1.0 - PPF_EDGE, -outer).otherwise(inner)
-
-
 def chain_gate(rhat: DataFrame, ess: DataFrame, health: DataFrame) -> DataFrame:
     """PASS/FAIL per fit from R-hat, batch-means ESS and sampler health, every reason kept."""
     worst = rhat.groupBy("fit").agg(F.max("rhat").alias("max_rhat"))

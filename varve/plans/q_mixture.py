@@ -122,8 +122,8 @@ def records(spark, sf, fits: bool = False):
     terms = terms if fits else mixture.pool_fits(terms)
     prepared = mixture.prepare(terms, keys)
     q = mixture.mixture_quantiles(prepared, keys)
-    h = precision.influence(prepared, q, keys)
-    return precision.quantile_mcse(h, q, precision.chain_sizes(prepared, keys), keys, TAIL), h, q
+    h = precision.influence(prepared, q, keys, precision.chain_sizes(prepared, keys))
+    return precision.quantile_mcse(h, q, keys, TAIL), h, q
 
 
 @query("mce1_influence_series", build("SELECT entity_id, p, count(*) AS n, round(sum(h), 6) AS sum_h, round(max(abs(h)), 8) AS max_abs_h FROM mx_h GROUP BY 1, 2"))
@@ -137,9 +137,8 @@ def mce1(spark, sf):
 @query("mce2_batch_means", build("SELECT entity_id, p, batch_size AS b, chain, n_chain, nb AS n_batches, n_chain - nb * batch_size AS dropped, round(lrv, 8) AS lrv FROM mxp_l"))
 def mce2(spark, sf):
     prepared, q = pooled_quantiles(spark, sf)
-    h = precision.influence(prepared, q, ENTITY)
-    sized = h.join(precision.chain_sizes(prepared, ENTITY).select("entity_id", "sizes"), "entity_id")
-    lrv = precision.batch_means(sized, ["entity_id", "p"], "h", F.col("sizes"))
+    h = precision.influence(prepared, q, ENTITY, precision.chain_sizes(prepared, ENTITY))
+    lrv = precision.batch_means(h, ["entity_id", "p"], "h", F.col("sizes"))
     return lrv.select("entity_id", "p", "b", "chain", "n_chain", "n_batches", "dropped", rnd("lrv", 8))
 
 

@@ -9,6 +9,7 @@ from varve.operators.precision import default_batch_sizes
 from varve.plans import base
 from varve.plans.registry import query, rnd
 from varve.plans.sqlkit import build, cte, pdf, phi
+from varve.session import checkpointed
 
 cte(
     "comp",
@@ -179,10 +180,11 @@ def score_inputs(spark, sf):
     keys = ["fit", "entity_id"]
     prepared = mixture.prepare(predictive(spark, sf), keys)
     q = mixture.mixture_quantiles(prepared, keys)
-    x = precision.influence(prepared, q, keys)
+    sizes = precision.chain_sizes(base.draws(spark, sf), ["fit"])
+    # the influences feed several results below: one row per (draw, endpoint), written once
+    x = checkpointed(precision.influence(prepared, q, keys, sizes))
     labels = base.ship_entities(spark, sf).select("entity_id", (F.col("lifetime") - F.col("cutoff")).cast("double").alias("y"))
     ends = mixture.endpoints(q, keys).join(labels, "entity_id")
-    sizes = precision.chain_sizes(base.draws(spark, sf), ["fit"])
     return prepared, q, x, ends, sizes
 
 
@@ -207,11 +209,10 @@ def _sized(x, sizes):
     return x.join(F.broadcast(sizes.select("fit", "sizes")), "fit")
 
 
-def _radii(x, q, sizes):
+def _radii(x, q):
     """Upper MCSE of both endpoints per entity and batch size."""
     keys = ["fit", "entity_id"]
-    per_entity = q.select(*keys).distinct().join(F.broadcast(sizes.select("fit", "sizes")), "fit")
-    rec = precision.quantile_mcse(x, q, per_entity, keys, TAIL)
+    rec = precision.quantile_mcse(x, q, keys, TAIL)
     pick = lambda p, n: F.max(F.when(F.col("p") == p, F.col("upper_mcse"))).alias(n)
     return rec.groupBy(*keys, "batch_size").agg(pick(0.05, "r_lower"), pick(0.95, "r_upper"))
 
@@ -221,7 +222,7 @@ TAIL = 0.025
 
 def _flagged(spark, sf):
     _, q, x, ends, sizes = score_inputs(spark, sf)
-    return scoring.kink_flags(ends.join(_radii(x, q, sizes), ["fit", "entity_id"])), x, ends, sizes
+    return scoring.kink_flags(ends.join(_radii(x, q), ["fit", "entity_id"])), x, ends, sizes
 
 
 @query("sco11_kink_flags")
@@ -244,14 +245,14 @@ def sco12(spark, sf):
 def sco13(spark, sf):
     """Joint endpoint covariance of each nation's suppliers projected on the score gradient."""
     _, _, x, ends, sizes = score_inputs(spark, sf)
-    cov = scoring.endpoint_covariance(_sized(x.filter("p <> 0.5"), sizes), F.col("sizes"))
+    cov = scoring.endpoint_covariance(x.filter("p <> 0.5"), F.col("sizes"))
     return scoring.project_covariance(cov, ends).select("fit", "b", rnd("projected_variance", 3))
 
 
 @query("sco14_lipschitz_bound")
 def sco14(spark, sf):
     _, q, x, ends, sizes = score_inputs(spark, sf)
-    r = ends.join(_radii(x, q, sizes), ["fit", "entity_id"])
+    r = ends.join(_radii(x, q), ["fit", "entity_id"])
     return scoring.lipschitz_bound(r, ["fit", "batch_size"]).select("fit", "batch_size", "n", rnd("bound", 4))
 
 

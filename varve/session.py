@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "varve", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -49,3 +50,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed_count(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """Checkpoint ``df`` and count the rows meeting ``condition`` in the same job."""
+    seen = Observation()
+    written = checkpointed(df.observe(seen, F.count_if(condition).alias("n")))
+    return written, seen.get["n"]
