@@ -35,45 +35,46 @@ INV_SQRT_PI = 1.0 / math.sqrt(math.pi)
 HALF_LOG_2PI = 0.5 * math.log(2.0 * math.pi)
 
 
-def _poly(coefs: tuple[float, ...], x: Column) -> Column:
-    out = F.lit(coefs[0])
+def _poly(coefs: tuple[float, ...], x: str) -> str:
+    out = f"{coefs[0]!r}D"
     for c in coefs[1:]:
-        out = out * x + F.lit(c)
+        out = f"({out} * {x} + {c!r}D)"
     return out
 
 
-def erfc(x: Column) -> Column:
-    """Complementary error function, relative error near 4e-15 on [-8, 8]."""
-    y = F.abs(x)
-    y2 = y * y
-    small = F.lit(1.0) - x * _poly(ERFC_SMALL_NUM, y2) / _poly(ERFC_SMALL_DEN, y2)
-    mid = F.exp(-y2) * _poly(ERFC_MID_NUM, y) / _poly(ERFC_MID_DEN, y)
-    inv = F.lit(1.0) / y2
-    far = F.exp(-y2) / y * (F.lit(INV_SQRT_PI) - inv * _poly(ERFC_FAR_NUM, inv) / _poly(ERFC_FAR_DEN, inv))
-    tail = F.when(y <= 4.0, mid).otherwise(far)
-    return F.when(y <= 0.46875, small).when(x < 0, F.lit(2.0) - tail).otherwise(tail)
+def norm_cdf(v: str) -> Column:
+    """Normal CDF of a column, from erfc with a relative error near 4e-15 on [-8, 8].
 
+    Takes the column's name and hands Spark one SQL text: the expression has hundreds of nodes, and
+    a name keeps its argument from being repeated in each of them.
+    """
+    x = f"(-{v} / {SQRT2!r}D)"
+    y = f"abs({x})"
+    y2 = f"({x} * {x})"
+    inv = f"(1D / {y2})"
+    small = f"1D - {x} * {_poly(ERFC_SMALL_NUM, y2)} / {_poly(ERFC_SMALL_DEN, y2)}"
+    mid = f"exp(-{y2}) * {_poly(ERFC_MID_NUM, y)} / {_poly(ERFC_MID_DEN, y)}"
+    far = f"exp(-{y2}) / {y} * ({INV_SQRT_PI!r}D - {inv} * {_poly(ERFC_FAR_NUM, inv)} / {_poly(ERFC_FAR_DEN, inv)})"
+    tail = f"CASE WHEN {y} <= 4D THEN {mid} ELSE {far} END"
+    return F.expr(f"0.5D * CASE WHEN {y} <= 0.46875D THEN {small} WHEN {x} < 0D THEN 2D - ({tail}) ELSE {tail} END")
 
-def norm_cdf(v: Column) -> Column:
-    return F.lit(0.5) * erfc(-v / F.lit(SQRT2))
 
-
-def norm_pdf(v: Column) -> Column:
-    return F.exp(F.lit(-0.5) * v * v - F.lit(HALF_LOG_2PI))
+def norm_pdf(v: str) -> Column:
+    return F.expr(f"exp(-0.5D * {v} * {v} - {HALF_LOG_2PI!r}D)")
 
 
 def norm_ppf(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-def norm_ppf_column(p: Column) -> Column:
-    """Normal quantile of a Column, relative error near 1e-9."""
-    tail = F.sqrt(F.lit(-2.0) * F.log(F.least(p, F.lit(1.0) - p)))
-    outer = _poly(PPF_TAIL_NUM, tail) / _poly(PPF_TAIL_DEN, tail)
-    q = p - F.lit(0.5)
-    r = q * q
-    inner = _poly(PPF_NUM, r) * q / _poly(PPF_DEN, r)
-    return F.when(p < PPF_EDGE, outer).when(p > 1.0 - PPF_EDGE, -outer).otherwise(inner)
+def norm_ppf_column(p: str) -> Column:
+    """Normal quantile of a column, relative error near 1e-9."""
+    t = f"sqrt(-2D * ln(least({p}, 1D - {p})))"
+    outer = f"{_poly(PPF_TAIL_NUM, t)} / {_poly(PPF_TAIL_DEN, t)}"
+    q = f"({p} - 0.5D)"
+    r = f"({q} * {q})"
+    inner = f"{_poly(PPF_NUM, r)} * {q} / {_poly(PPF_DEN, r)}"
+    return F.expr(f"CASE WHEN {p} < {PPF_EDGE}D THEN {outer} WHEN {p} > {1.0 - PPF_EDGE}D THEN -({outer}) ELSE {inner} END")
 
 
 def _gamma_p(a: np.ndarray, x: np.ndarray) -> np.ndarray:

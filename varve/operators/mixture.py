@@ -148,7 +148,7 @@ def _start(prepared: DataFrame, keys: Sequence[str], probs: Sequence[float], err
     radius = (F.abs("_z") + 12) * F.col("_sd") + (F.col("_hi") - F.col("_lo"))
     lo, hi = F.col("_lo") - radius, F.col("_hi") + radius
     x = F.least(F.greatest(F.col("_mean") + F.col("_z") * F.col("_spread"), lo), hi)
-    return s.select(*keys, "p", "sum_w", lo.alias("lo"), hi.alias("hi"), x.alias("x"))
+    return s.select(*keys, "p", F.col("_z").alias("z"), "sum_w", lo.alias("lo"), hi.alias("hi"), x.alias("x"))
 
 
 def cdf_and_density(prepared: DataFrame, points: DataFrame, keys: Sequence[str], error: str = "normal", salts: int = SALTS) -> DataFrame:
@@ -159,8 +159,8 @@ def cdf_and_density(prepared: DataFrame, points: DataFrame, keys: Sequence[str],
     spread = points.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     j = prepared.join(spread.hint("shuffle_hash"), [*keys, "_salt"])
     w = F.col("w")
-    c = precision.conditional_cdf(F.col("x"), prepared, error)
-    d = precision.conditional_density(F.col("x"), error)
+    j = precision.standardised(j, "x", error)
+    c, d = precision.conditional_cdf(error), precision.conditional_density(error)
     # the point's own columns are constant within (key, p): grouping by them saves joining them back
     g = j.groupBy(*points.columns).agg(F.sum(w * c).alias("_c"), F.sum(w * d).alias("_d"))
     return g.withColumn("cdf", F.col("_c") / F.col("sum_w")).withColumn("density", F.col("_d") / F.col("sum_w")).drop("_c", "_d")
@@ -182,18 +182,18 @@ def mixture_quantiles(prepared: DataFrame, keys: Sequence[str], probs: Sequence[
         lo, hi = F.when(r < 0, F.col("x")).otherwise(F.col("lo")), F.when(r >= 0, F.col("x")).otherwise(F.col("hi"))
         v = v.withColumn("finished", (F.abs(r) <= tolerance) | tight).withColumn("lo", lo).withColumn("hi", hi)
         # far away, Newton on the probit scale (nearly linear for a bell-shaped mixture); close by, plain Newton
-        probit = norm_ppf_column(F.greatest(F.least("cdf", F.lit(1.0 - 1e-12)), F.lit(1e-12)))
-        bell = (probit - norm_ppf_column(F.col("p"))) * norm_pdf(probit)
+        v = v.withColumn("_c", F.greatest(F.least("cdf", F.lit(1.0 - 1e-12)), F.lit(1e-12))).withColumn("_probit", norm_ppf_column("_c"))
+        bell = (F.col("_probit") - F.col("z")) * norm_pdf("_probit")
         slope = F.nullif(F.col("density"), F.lit(0.0))
         step = F.col("x") - F.when(F.abs(r) > 1e-4, bell).otherwise(r) / slope
         inside = F.coalesce((step > F.col("lo")) & (step < F.col("hi")), F.lit(False))
-        v = v.withColumn("next", F.when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2))
+        v = v.withColumn("next", F.when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2)).drop("_c", "_probit")
         v, left = checkpointed_count(v, ~F.col("finished"))
         finished = v.filter("finished").select(*keys, "p", F.col("x").alias("q"), "cdf", "density")
         done = finished if done is None else done.unionByName(finished)
         if not left:
             break
-        state = v.filter("not finished").select(*keys, "p", "sum_w", "lo", "hi", F.col("next").alias("x"))
+        state = v.filter("not finished").select(*keys, "p", "z", "sum_w", "lo", "hi", F.col("next").alias("x"))
     else:
         raise RuntimeError("mixture quantile search did not converge")
     out = done.withColumn("quantile", F.exp("q")).withColumn("residual", F.col("cdf") - F.col("p"))

@@ -84,26 +84,28 @@ def influence(prepared: DataFrame, quantiles: DataFrame, keys: Sequence[str], si
         q = q.join(sizes.select(*[c for c in sizes.columns if c in keys or c == "sizes"]), [c for c in keys if c in sizes.columns])
     q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     j = prepared.join(q.hint("shuffle_hash"), [*keys, "_salt"])
-    j = j.withColumn("cdf", conditional_cdf(F.col("q"), j, error))
+    j = standardised(j, "q", error).withColumn("cdf", conditional_cdf(error))
     h = F.col("w") * (F.col("cdf") - F.col("p"))
     x = -F.exp("q") * h / (F.col("mean_w") * F.col("density"))
     extra = ["sizes"] if sizes is not None else []
     return j.select(*keys, "p", "chain", "draw", h.alias("h"), x.alias("x"), "w", "cdf", *extra)
 
 
-def conditional_cdf(x: Column, terms: DataFrame, error: str) -> Column:
-    """Component CDF at x; contamination adds a 5% share of variance v + 8 sigma_r^2."""
-    base = norm_cdf((x - F.col("mu")) / F.col("sd"))
-    if error == "normal":
-        return base
-    return F.lit(0.95) * base + F.lit(0.05) * norm_cdf((x - F.col("mu")) / F.col("sd_wide"))
+def standardised(terms: DataFrame, x: str, error: str) -> DataFrame:
+    """Attach the standardised distance of column ``x`` to every component as ``_v`` (and ``_v_wide``)."""
+    out = terms.withColumn("_v", (F.col(x) - F.col("mu")) / F.col("sd"))
+    return out if error == "normal" else out.withColumn("_v_wide", (F.col(x) - F.col("mu")) / F.col("sd_wide"))
 
 
-def conditional_density(x: Column, error: str) -> Column:
-    base = norm_pdf((x - F.col("mu")) / F.col("sd")) / F.col("sd")
-    if error == "normal":
-        return base
-    return F.lit(0.95) * base + F.lit(0.05) * norm_pdf((x - F.col("mu")) / F.col("sd_wide")) / F.col("sd_wide")
+def conditional_cdf(error: str) -> Column:
+    """Component CDF over ``standardised`` terms; contamination adds a 5% share of variance v + 8 sigma_r^2."""
+    base = norm_cdf("_v")
+    return base if error == "normal" else F.lit(0.95) * base + F.lit(0.05) * norm_cdf("_v_wide")
+
+
+def conditional_density(error: str) -> Column:
+    base = norm_pdf("_v") / F.col("sd")
+    return base if error == "normal" else F.lit(0.95) * base + F.lit(0.05) * norm_pdf("_v_wide") / F.col("sd_wide")
 
 
 def quantile_mcse(influences: DataFrame, quantiles: DataFrame, keys: Sequence[str], tail: float) -> DataFrame:

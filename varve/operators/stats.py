@@ -251,7 +251,7 @@ def split_rhat(long: DataFrame, by: Sequence[str] = ("fit", "param")) -> DataFra
     ranked = average_ranks(both, [*keys, "_kind"], "value", "_rank")
     total = ranked.groupBy(*keys, "_kind").agg(F.count(F.lit(1)).alias("_s"))
     z = ranked.join(total, [*keys, "_kind"]).withColumn("_p", (F.col("_rank") - F.lit(0.375)) / (F.col("_s") + F.lit(0.25)))
-    z = z.withColumn("_z", norm_ppf_column(F.col("_p")))
+    z = z.withColumn("_z", norm_ppf_column("_p"))
     per = z.groupBy(*keys, "_kind", "_chain").agg(F.count(F.lit(1)).alias("_m"), F.avg("_z").alias("_mean"), F.var_samp("_z").alias("_var"))
     g = per.groupBy(*keys, "_kind").agg(F.avg("_m").alias("_m"), F.var_samp("_mean").alias("_b"), F.avg("_var").alias("_w"))
     r = F.sqrt(safe_div((F.col("_m") - 1) / F.col("_m") * F.col("_w") + F.col("_b"), F.col("_w")))
