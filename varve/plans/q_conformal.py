@@ -57,10 +57,10 @@ def cqr4(spark, sf):
     return conformal.ordered_endpoints(rows).groupBy("l_orderkey", "l_linenumber").agg(rnd(F.min("lower"), 6, "lower"), rnd(F.max("upper"), 6, "upper"))
 
 
-@query("cqr6_candidate_scores", build("SELECT candidate_id, round(mean_score, 4) AS mean_score, n_rows FROM cand_score"))
+@query("cqr6_candidate_scores", build("SELECT candidate_id, round(mean_score, 6) AS mean_score, n_rows FROM cand_score"))
 def cqr6(spark, sf):
     s = conformal.candidate_scores(candidate_forecasts(spark, sf), conformal.candidate_grid(spark))
-    return s.select("candidate_id", rnd("mean_score", 4), "n_rows")
+    return s.select("candidate_id", rnd("mean_score"), "n_rows")
 
 
 _BAND = 3000.0
@@ -68,7 +68,7 @@ _BAND = 3000.0
 
 @query(
     "cqr7_select_candidate",
-    build(f"SELECT candidate_id, round(best, 4) AS best_score, round(mean_score, 4) AS selected_score, n_tied FROM (SELECT *, count(*) OVER () AS n_tied, row_number() OVER (ORDER BY candidate_id NOT LIKE 'linear%', k) AS r FROM "
+    build(f"SELECT candidate_id, round(best, 6) AS best_score, round(mean_score, 6) AS selected_score, n_tied FROM (SELECT *, count(*) OVER () AS n_tied, row_number() OVER (ORDER BY candidate_id NOT LIKE 'linear%', k) AS r FROM "
           f"(SELECT *, min(mean_score) OVER () AS best FROM cand_score JOIN (VALUES " + ", ".join(
               f"('{r['candidate_id']}', {i})" for i, r in enumerate(sorted(conformal.grid_rows(), key=lambda r: (r["family"] != "linear", -(r["alpha"] or 0), r["depth"] or 0, -(r["leaf"] or 0), r["rate"] or 0)))) +
           f") o(candidate_id, k) USING (candidate_id)) WHERE mean_score <= best + {_BAND}) WHERE r = 1"),
@@ -76,7 +76,7 @@ _BAND = 3000.0
 def cqr7(spark, sf):
     """Selection with a tie band of 3000, a fitting width for prices."""
     s = conformal.candidate_scores(candidate_forecasts(spark, sf), conformal.candidate_grid(spark))
-    return conformal.select_candidate(s, tie_band=_BAND).select("candidate_id", rnd("best_score", 4), rnd("selected_score", 4), "n_tied")
+    return conformal.select_candidate(s, tie_band=_BAND).select("candidate_id", rnd("best_score"), rnd("selected_score"), "n_tied")
 
 
 def _scores(spark, sf, roles=("calibration",)):

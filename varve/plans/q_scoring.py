@@ -18,22 +18,22 @@ cte(
 )
 
 
-@query("sco1_interval_score", build("SELECT method, entity_id, round(score, 4) AS score FROM comp"))
+@query("sco1_interval_score", build("SELECT method, entity_id, round(score, 6) AS score FROM comp"))
 def sco1(spark, sf):
     fc = base.forecasts(spark, sf)
-    return fc.select("method", "entity_id", rnd(scoring.interval_score(F.col("y"), F.col("lower"), F.col("upper")), 4, "score"))
+    return fc.select("method", "entity_id", rnd(scoring.interval_score(F.col("y"), F.col("lower"), F.col("upper")), 6, "score"))
 
 
-@query("sco2_components", build("SELECT method, entity_id, round(width, 4) AS width, round(below_penalty, 4) AS below_penalty, round(above_penalty, 4) AS above_penalty, covered, below, above, round(median_error, 4) AS median_error FROM comp"))
+@query("sco2_components", build("SELECT method, entity_id, round(width, 6) AS width, round(below_penalty, 6) AS below_penalty, round(above_penalty, 6) AS above_penalty, covered, below, above, round(median_error, 6) AS median_error FROM comp"))
 def sco2(spark, sf):
     c = scoring.components(base.forecasts(spark, sf))
-    return c.select("method", "entity_id", rnd("width", 4), rnd("below_penalty", 4), rnd("above_penalty", 4), "covered", "below", "above", rnd("median_error", 4))
+    return c.select("method", "entity_id", rnd("width", 6), rnd("below_penalty", 6), rnd("above_penalty", 6), "covered", "below", "above", rnd("median_error", 6))
 
 
 _SUMMARY_SQL = (
-    "SELECT method, {status} AS primary_status, count(*) AS n, {w}round(avg(score), 4){e} AS mean_score, count(*) FILTER (WHERE covered) AS covered, {w}round(count(*) FILTER (WHERE covered) / count(*), 6){e} AS coverage, "
-    "count(*) FILTER (WHERE below) AS below, count(*) FILTER (WHERE above) AS above, {w}round(avg(width), 4){e} AS mean_width, {w}round(avg(abs(median_error)), 4){e} AS median_mae, {w}round(sqrt(avg(median_error ** 2)), 4){e} AS median_rmse, "
-    "{w}round(avg(median_error), 4){e} AS median_bias, count(*) FILTER (WHERE median < 0) AS negative_medians FROM comp {where} GROUP BY 1"
+    "SELECT method, {status} AS primary_status, count(*) AS n, {w}round(avg(score), 6){e} AS mean_score, count(*) FILTER (WHERE covered) AS covered, {w}round(count(*) FILTER (WHERE covered) / count(*), 6){e} AS coverage, "
+    "count(*) FILTER (WHERE below) AS below, count(*) FILTER (WHERE above) AS above, {w}round(avg(width), 6){e} AS mean_width, {w}round(avg(abs(median_error)), 6){e} AS median_mae, {w}round(sqrt(avg(median_error ** 2)), 6){e} AS median_rmse, "
+    "{w}round(avg(median_error), 6){e} AS median_bias, count(*) FILTER (WHERE median < 0) AS negative_medians FROM comp {where} GROUP BY 1"
 )
 _SUMMARY_COLS = ("mean_score", "mean_width", "median_mae", "median_rmse", "median_bias")
 
@@ -41,7 +41,7 @@ _SUMMARY_COLS = ("mean_score", "mean_width", "median_mae", "median_rmse", "media
 def _summary(spark, sf, keep=None):
     fc = base.forecasts(spark, sf)
     s = scoring.method_summary(scoring.components(fc if keep is None else fc.filter(keep)), base.ship_entities(spark, sf).filter("eligible"))
-    return s.select("method", "primary_status", "n", "covered", rnd("coverage"), "below", "above", "negative_medians", *[rnd(c, 4) for c in _SUMMARY_COLS])
+    return s.select("method", "primary_status", "n", "covered", rnd("coverage"), "below", "above", "negative_medians", *[rnd(c, 6) for c in _SUMMARY_COLS])
 
 
 @query("sco3_method_summary", build(_SUMMARY_SQL.format(status="'AVAILABLE'", w="", e="", where="")))
@@ -62,17 +62,17 @@ cte("pairc", "SELECT a.entity_id, a.role, a.width - b.width AS width, a.below_pe
     "FROM comp a JOIN comp b ON a.entity_id = b.entity_id AND a.method = 'last30' AND b.method = 'full'")
 
 
-@query("sco4_paired_components", build("SELECT entity_id, round(width, 4) AS width, round(below_penalty, 4) AS below_penalty, round(above_penalty, 4) AS above_penalty, round(score, 4) AS score FROM pairc"))
+@query("sco4_paired_components", build("SELECT entity_id, round(width, 6) AS width, round(below_penalty, 6) AS below_penalty, round(above_penalty, 6) AS above_penalty, round(score, 6) AS score FROM pairc"))
 def sco4(spark, sf):
     p = scoring.paired_components(scoring.components(base.forecasts(spark, sf)), "last30", "full")
-    return p.select("entity_id", *[rnd(c, 4) for c in scoring.COMPONENTS])
+    return p.select("entity_id", *[rnd(c, 6) for c in scoring.COMPONENTS])
 
 
-@query("sco4_paired_contrast", build("SELECT count(*) AS n, " + ", ".join(f"round(avg({c}), 4) AS mean_{c}" for c in scoring.COMPONENTS) + ", round(sum(first_score) / sum(second_score), 6) AS score_ratio FROM pairc"))
+@query("sco4_paired_contrast", build("SELECT count(*) AS n, " + ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in scoring.COMPONENTS) + ", round(sum(first_score) / sum(second_score), 6) AS score_ratio FROM pairc"))
 def sco4b(spark, sf):
     p = scoring.paired_components(scoring.components(base.forecasts(spark, sf)), "last30", "full")
     c = scoring.paired_contrast(p)
-    return c.select("n", *[rnd(f"mean_{k}", 4) for k in scoring.COMPONENTS], rnd("score_ratio"))
+    return c.select("n", *[rnd(f"mean_{k}", 6) for k in scoring.COMPONENTS], rnd("score_ratio"))
 
 
 @query(
@@ -91,22 +91,22 @@ def sco5(spark, sf):
 
 @query(
     "sco7_contrast_range",
-    build("SELECT count(*) AS n_fits, round(min(d), 4) AS low, round(max(d), 4) AS high, round(max(d) - min(d), 4) AS range FROM (SELECT role, avg(score) AS d FROM pairc GROUP BY 1)"),
+    build("SELECT count(*) AS n_fits, round(min(d), 6) AS low, round(max(d), 6) AS high, round(max(d) - min(d), 6) AS range FROM (SELECT role, avg(score) AS d FROM pairc GROUP BY 1)"),
 )
 def sco7(spark, sf):
     """Contrast per role and its spread, the role standing in for the fit."""
     c = scoring.components(base.forecasts(spark, sf))
     r = scoring.contrast_range(scoring.paired_contrast(scoring.paired_components(c, "last30", "full", by=["role"]), ["role"]))
-    return r.select("n_fits", rnd("low", 4), rnd("high", 4), rnd("range", 4))
+    return r.select("n_fits", rnd("low", 6), rnd("high", 6), rnd("range", 6))
 
 
 @query(
     "sco8_prediction_sensitivity",
-    build("SELECT v.method, " + ", ".join(f"round(max(abs(v.{c} - b.{c})), 4) AS max_{c}, round(avg(abs(v.{c} - b.{c})), 4) AS mean_{c}" for c in ("lower", "median", "upper")) + " FROM fc v JOIN fc b ON b.entity_id = v.entity_id AND b.method = 'full' GROUP BY 1"),
+    build("SELECT v.method, " + ", ".join(f"round(max(abs(v.{c} - b.{c})), 6) AS max_{c}, round(avg(abs(v.{c} - b.{c})), 6) AS mean_{c}" for c in ("lower", "median", "upper")) + " FROM fc v JOIN fc b ON b.entity_id = v.entity_id AND b.method = 'full' GROUP BY 1"),
 )
 def sco8(spark, sf):
     s = scoring.prediction_sensitivity(base.forecasts(spark, sf), "full")
-    return s.select("method", *[rnd(f"{k}_{c}", 4) for c in ("lower", "median", "upper") for k in ("max", "mean")])
+    return s.select("method", *[rnd(f"{k}_{c}", 6) for c in ("lower", "median", "upper") for k in ("max", "mean")])
 
 
 # ---------------------------------------------------------------- score error from draws

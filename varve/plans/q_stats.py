@@ -80,18 +80,18 @@ def _pairs(spark, sf):
     return scoring.paired_components(c, "last30", "full", by=["role"]).select("role", "entity_id", F.col("score").alias("x"))
 
 
-@query("sta7_benchmark_mean", build("SELECT role, count(*) AS n, 0::BIGINT AS n_bad, CASE WHEN count(*) >= 2 THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN count(*) >= 2 THEN round(avg(score), 4) END AS mean_difference FROM pairc GROUP BY 1"))
+@query("sta7_benchmark_mean", build("SELECT role, count(*) AS n, 0::BIGINT AS n_bad, CASE WHEN count(*) >= 2 THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN count(*) >= 2 THEN round(avg(score), 6) END AS mean_difference FROM pairc GROUP BY 1"))
 def sta7(spark, sf):
-    return stats.benchmark_mean(_pairs(spark, sf), "x", ["role"]).select("role", "n", "n_bad", "status", rnd("mean_difference", 4))
+    return stats.benchmark_mean(_pairs(spark, sf), "x", ["role"]).select("role", "n", "n_bad", "status", rnd("mean_difference"))
 
 
 @query(
     "sta8_influence_diagnostics",
-    build("SELECT role, n, round(m, 4) AS mean, round(se, 4) AS se, round(max(abs(score - m)) / sum(abs(score - m)), 6) AS max_share, round(max(abs(m - score)) / (n - 1) / se, 6) AS max_loo_shift FROM (SELECT role, score, avg(score) OVER w AS m, count(*) OVER w AS n, stddev_samp(score) OVER w / sqrt(count(*) OVER w) AS se FROM pairc WINDOW w AS (PARTITION BY role)) GROUP BY role, n, m, se"),
+    build("SELECT role, n, round(m, 6) AS mean, round(se, 6) AS se, round(max(abs(score - m)) / sum(abs(score - m)), 6) AS max_share, round(max(abs(m - score)) / (n - 1) / se, 6) AS max_loo_shift FROM (SELECT role, score, avg(score) OVER w AS m, count(*) OVER w AS n, stddev_samp(score) OVER w / sqrt(count(*) OVER w) AS se FROM pairc WINDOW w AS (PARTITION BY role)) GROUP BY role, n, m, se"),
 )
 def sta8(spark, sf):
     d = stats.influence_diagnostics(_pairs(spark, sf), "x", ["role"])
-    return d.select("role", "n", rnd("mean", 4), rnd("se", 4), rnd("max_share"), rnd("max_loo_shift"))
+    return d.select("role", "n", rnd("mean"), rnd("se"), rnd("max_share"), rnd("max_loo_shift"))
 
 
 BOOT = 199

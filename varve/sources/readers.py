@@ -115,29 +115,32 @@ def draw_grid(draws: DataFrame) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, folder: str, chunk: int = 8 << 20, tasks: int | None = None) -> DataFrame:
-    """Path, size and SHA-256 of every file under ``folder``.
+    """Path, size and SHA-256 of every file under ``folder``, empty ones included.
 
-    Only names and lengths come from the listing; contents are streamed in fixed-size chunks inside
-    the tasks, so a file may be larger than a task's memory.
+    Spark lists the names; contents are streamed in fixed-size chunks inside the tasks, so a file may
+    be larger than a task's memory. (A plain binaryFile scan would load each file whole and skip
+    empty ones.)
     """
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("bytes"))
-    listing = listing.repartition(tasks or spark.sparkContext.defaultParallelism, "path")
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).inputFiles()
+    listing = spark.createDataFrame([(n,) for n in names], "path string").repartition(tasks or spark.sparkContext.defaultParallelism, "path")
 
     def hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         for pdf in batches:
-            out = []
+            sizes, digests = [], []
             for path in pdf["path"]:
-                # Hadoop spells local files file:/x, Arrow file:///x
+                # Hadoop may spell local files file:/x, Arrow file:///x
                 uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
                 filesystem, inner = fs.FileSystem.from_uri(uri)
-                h = hashlib.sha256()
+                h, n = hashlib.sha256(), 0
                 with filesystem.open_input_stream(inner) as stream:
                     while block := stream.read(chunk):
                         h.update(block)
-                out.append(h.hexdigest())
-            yield pdf.assign(sha256=out)
+                        n += len(block)
+                sizes.append(n)
+                digests.append(h.hexdigest())
+            yield pdf.assign(bytes=sizes, sha256=digests)
 
     return listing.mapInPandas(hash_files, "path string, bytes long, sha256 string")
 
