@@ -132,7 +132,14 @@ def exact_groups(prefix: DataFrame, channels: Sequence[str], min_common: int = M
 
 
 def cross_exact_groups(left: DataFrame, right: DataFrame, channels: Sequence[str], id_col: str = "entity_id") -> DataFrame:
-    """Identical openings across two tables at any positive common length, grouped."""
+    """Identical openings across two tables at any positive common length, grouped.
+
+    Rows after the shorter of the two longest histories cannot be common and are dropped first.
+    """
+    longest = lambda df: df.agg(F.max("cutoff").alias("_p"))
+    bound = longest(left).unionByName(longest(right)).agg(F.min("_p").alias("_p")).withColumn("_k", F.lit(0))
+    cut = lambda df: df.withColumn("_k", F.lit(0)).join(F.broadcast(bound), "_k").filter(F.col("cycle") <= F.col("_p")).drop("_k", "_p")
+    left, right = cut(left), cut(right)
     l = prefix_fingerprints(left, channels, id_col).withColumn("_left", F.lit(True))
     r = prefix_fingerprints(right, channels, id_col).withColumn("_left", F.lit(False))
     g = l.unionByName(r).groupBy("length", "_a", "_b").agg(

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varve.operators import assign, audit, features, linear, quality, stats
+from varve.operators import assign, audit, features, linear, quality
+from varve.operators.ordering import dense_index
 from varve.plans import base
 from varve.plans.base import CHANNELS, READ_CHANNELS, READ_LOW, READ_WIDTH, SEED, table
 from varve.plans.registry import query, rnd
@@ -163,19 +164,19 @@ def val6(spark, sf):
 
 @query(
     "val7_manifest_mismatches",
-    build("SELECT entity_id, list_aggregate(list_filter([CASE WHEN entity_id % 11 = 2 THEN 'unlisted' END, CASE WHEN entity_id % 11 <> 2 AND entity_id % 13 = 0 THEN 'cutoff_mismatch' END, "
-          "CASE WHEN entity_id % 11 <> 2 AND entity_id % 13 = 0 AND eligible <> (cutoff + 20 < lifetime) THEN 'eligible_mismatch' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS reasons "
-          "FROM u_ent WHERE entity_id % 11 = 2 OR entity_id % 13 = 0"),
+    build("SELECT entity_id, list_aggregate(list_filter([CASE WHEN role = 'tune' THEN 'unlisted' END, CASE WHEN role <> 'tune' AND entity_id % 13 = 0 THEN 'cutoff_mismatch' END, "
+          "CASE WHEN role <> 'tune' AND entity_id % 13 = 0 AND eligible <> (cutoff + 20 < lifetime) THEN 'eligible_mismatch' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS reasons "
+          "FROM u_ent WHERE role = 'tune' OR entity_id % 13 = 0"),
 )
 def val7(spark, sf):
-    """The stored manifest lacks some ids and moved some cutoffs by 20 cycles."""
+    """The stored manifest lacks the tuning role and moved some cutoffs by 20 cycles."""
     ents = base.read_entities(spark, sf)
     moved = F.when(F.col("entity_id") % 13 == 0, F.col("cutoff") + 20).otherwise(F.col("cutoff"))
-    stored = assign.with_eligibility(ents.filter("entity_id % 11 <> 2").withColumn("cutoff", moved))
+    stored = assign.with_eligibility(ents.filter("role <> 'tune'").withColumn("cutoff", moved))
     return quality.manifest_mismatches(ents, stored).select("entity_id", F.concat_ws(",", "reasons").alias("reasons"))
 
 
-_VAL8_SRC = "SELECT method, entity_id, CASE WHEN method = 'last30' AND entity_id % 10 = 4 THEN upper ELSE lower END AS lower, median - 20000 AS median, CASE WHEN method = 'last30' AND entity_id % 10 = 4 THEN lower ELSE upper END AS upper FROM fc WHERE NOT (method = 'last30' AND entity_id % 9 = 8)"
+_VAL8_SRC = "SELECT method, entity_id, CASE WHEN method = 'last30' AND entity_id % 10 = 4 THEN upper ELSE lower END AS lower, median - 20000 AS median, CASE WHEN method = 'last30' AND entity_id % 10 = 4 THEN lower ELSE upper END AS upper FROM fc WHERE NOT (method = 'last30' AND role = 'tune')"
 
 
 @query(
@@ -189,7 +190,7 @@ def val8(spark, sf):
     """Predictions with crossed intervals and missing ids in one method."""
     fc = base.forecasts(spark, sf)
     swap = (F.col("method") == "last30") & (F.col("entity_id") % 10 == 4)
-    pred = fc.filter(~((F.col("method") == "last30") & (F.col("entity_id") % 9 == 8))).select(
+    pred = fc.filter(~((F.col("method") == "last30") & (F.col("role") == "tune"))).select(
         "method", "entity_id", F.when(swap, F.col("upper")).otherwise(F.col("lower")).alias("lower"), (F.col("median") - 20000).alias("median"),
         F.when(swap, F.col("lower")).otherwise(F.col("upper")).alias("upper"),
     )
@@ -211,16 +212,6 @@ def val9(spark, sf):
     return quality.identical_tables(fc.filter("method = 'full'"), fc.filter("method = 'last30' AND role <> 'tune'"), ["entity_id"], values)
 
 
-def _event_chain(spark, sf):
-    """lineitem rows of an order as a journal: payload text, stored hash of the predecessor, and damage
-    (a forged hash after returned rows with tax 0, and the rows of line 3 of odd suppliers lost)."""
-    r = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("campaign"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"),
-        F.col("l_returnflag").alias("flag"), "l_shipdate", F.col("l_tax").alias("tax"),
-    )
-    return r
-
-
 cte("ev_rows", "SELECT l_orderkey AS campaign, l_linenumber AS event, min(l_returnflag) AS kind, count(*) AS n, sum(l_partkey)::BIGINT AS parts, max(l_suppkey) AS supp FROM lineitem GROUP BY 1, 2")
 cte("ev_text", "SELECT *, campaign || '|' || event || '|' || kind || '|' || parts AS payload FROM ev_rows")
 cte("ev_full", "SELECT a.*, CASE WHEN a.supp % 17 = 0 THEN 'forged' ELSE sha256(b.payload) END AS previous_sha256 FROM ev_text a LEFT JOIN ev_text b ON b.campaign = a.campaign AND b.event = a.event - 1")
@@ -439,8 +430,6 @@ cte(
 )
 _MEAN8 = "sqrt((" + " + ".join(f"ms_{c}" for c in CHANNELS) + ") / 4)"
 _MAX8 = "sqrt(greatest(" + ", ".join(f"ms_{c}" for c in CHANNELS) + "))"
-# A wide screen: the default limits find nothing in this table, so the lossless search is exercised with looser ones.
-WIDE_MEAN, WIDE_CHANNEL = 1.15, 1.45
 
 
 @query(
@@ -460,17 +449,20 @@ def aud8(spark, sf):
     return one(n).join(one(exact), "_k").join(one(near), "_k").drop("_k")
 
 
-cte("x_left", "SELECT entity_id, cycle, cutoff, c1, c2 FROM u_prefix")
-cte("x_right", "SELECT entity_id, cycle, cutoff, round(c1) AS c1, c2 FROM u_prefix")
-
-
 @query(
     "aud9_cross_table_screen",
-    build("SELECT count(*) FILTER (WHERE d = 0) AS exact_pairs FROM (SELECT a.entity_id AS a, b.entity_id AS b, sum(abs(a.c1 - b.c1) + abs(a.c2 - b.c2)) AS d, count(*) AS n, least(a.cutoff, b.cutoff) AS common "
-          "FROM x_left a JOIN x_left b ON a.cycle = b.cycle AND b.entity_id % 2 = 1 AND a.entity_id % 3 = 0 GROUP BY 1, 2, a.cutoff, b.cutoff)"),
+    build("SELECT count(*) AS comparisons, count(*) FILTER (WHERE d = 0) AS exact_pairs FROM (SELECT a.entity_id AS a, b.entity_id AS b, sum(abs(a.c1 - b.c1) + abs(a.c2 - b.c2)) AS d "
+          "FROM u_prefix a JOIN u_traj b ON a.cycle = b.cycle GROUP BY 1, 2)"),
 )
 def aud9(spark, sf):
-    """Exact openings shared between two overlapping cohorts (every third and every odd user)."""
-    rows = base.read_prefix(spark, sf)
-    hits = audit.cross_exact_groups(rows.filter("entity_id % 3 = 0"), rows.filter("entity_id % 2 = 1"), READ_CHANNELS)
-    return hits.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("exact_pairs"))
+    """Openings shared between the cut histories of eligible users and the whole histories of all users:
+    everyone must meet at least themselves."""
+    left = checkpointed(base.read_prefix(spark, sf))
+    everyone = base.read_entities(spark, sf).select("entity_id", F.col("lifetime").alias("cutoff"))
+    # no common history is longer than the longest cutoff, so nothing after it is needed
+    bound = everyone.withColumn("upto", F.lit(READ_LOW + READ_WIDTH))
+    right = dense_index(base.readings(spark, sf), ["entity_id"], base.READ_CELLS, base.READ_ORDER, "cycle", bound)
+    hits = audit.cross_exact_groups(left, right, READ_CHANNELS).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("exact_pairs"))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).withColumn("_k", F.lit(0))
+    sizes = count(left.filter("cycle = 1"), "_l").join(count(everyone, "_r"), "_k").join(hits.withColumn("_k", F.lit(0)), "_k")
+    return sizes.select((F.col("_l") * F.col("_r")).alias("comparisons"), "exact_pairs")

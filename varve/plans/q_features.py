@@ -67,13 +67,13 @@ def fea7(spark, sf):
 
 @query(
     "fea8_feature_gate",
-    build("SELECT count(*) AS n_entities, count(*) FILTER (WHERE entity_id % 9 = 0) AS n_unmatched, count(*) FILTER (WHERE entity_id % 9 <> 0 AND entity_id % 4 = 1) AS n_misaligned FROM summ"),
+    build("SELECT count(*) AS n_entities, count(*) FILTER (WHERE role = 'tune') AS n_unmatched, count(*) FILTER (WHERE role <> 'tune' AND entity_id % 4 = 1) AS n_misaligned FROM summ"),
 )
 def fea8(spark, sf):
-    """The second feature set lacks every ninth entity and shifts the log age of some."""
+    """The second feature set lacks the tuning role and shifts the log age of some."""
     _, scored = base.landmarks(spark, sf)
     summary = features.trend(scored)
-    full = features.sequences(scored).filter("entity_id % 9 <> 0").select("entity_id", (features.log_age(F.col("cutoff")) + F.when(F.col("entity_id") % 4 == 1, 1e-6).otherwise(0.0)).alias("log_age"))
+    full = features.sequences(scored).filter("role <> 'tune'").select("entity_id", (features.log_age(F.col("cutoff")) + F.when(F.col("entity_id") % 4 == 1, 1e-6).otherwise(0.0)).alias("log_age"))
     return features.feature_gate(summary, full)
 
 
