@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +59,19 @@ def checkpointed_count(df: DataFrame, condition: Column) -> tuple[DataFrame, int
     seen = Observation()
     written = checkpointed(df.observe(seen, F.count_if(condition).alias("n")))
     return written, seen.get["n"]
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers once per application, so that functions pickled by
+    name are found there even where the repository lies on the driver's path alone."""
+    sc = spark.sparkContext
+    if getattr(sc, "_varve_shipped", False):
+        return spark
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "varve_workers.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(archive))
+    sc._varve_shipped = True
+    return spark
