@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import buckets, chat, shards, tempering
+from varve.llm import buckets, chat, huffman, shards, tempering, toxic
 from varve.llm.common import table
 from varve.session import checkpointed
 
@@ -44,3 +44,20 @@ def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets.pack_buckets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = huffman.scratch_path(spark)
+    code = huffman.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return huffman.read_tokens(spark, path, code)
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxic.fit(*toxic.training_sample(docs, table(spark, sf_dir, "labels")))
+    score = F.col("_score")
+    return toxic.score_texts(docs, model).select("doc_id", toxic.is_held_out().alias("held_out"), score.alias("score"), (score >= toxic.THRESHOLD).cast("int").alias("predicted"))
