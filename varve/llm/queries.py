@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import buckets, chat, huffman, shards, tempering, toxic
+from varve.llm import buckets, capfilter, chat, hamming, huffman, langmix, ngramjoin, shards, tempering, toxic
 from varve.llm.common import table
 from varve.session import checkpointed
 
@@ -61,3 +61,27 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxic.fit(*toxic.training_sample(docs, table(spark, sf_dir, "labels")))
     score = F.col("_score")
     return toxic.score_texts(docs, model).select("doc_id", toxic.is_held_out().alias("held_out"), score.alias("score"), (score >= toxic.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op5_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langmix.identify(docs.select("doc_id", "text"), langmix.learn(docs.select("doc_id", "text", "lang")))
+    return found.select("doc_id", toxic.is_held_out().alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_lang_score").alias("score"), F.size("_lang_mix").alias("n_langs"))
+
+
+@query
+def op9_cap_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilter.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op4_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest sign codes of every vector whose id is divisible by 50, itself included."""
+    codes = hamming.sign_codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return hamming.top_k(codes.filter(F.col("id") % 50 == 0), codes, k=10).select("query_id", "vec_id", "distance", "rank")
+
+
+@query
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
