@@ -1,8 +1,58 @@
-"""The corpus pipeline."""
+"""From raw documents to packed batches: STAGES in order, each over all that the one before it kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from varve.llm import buckets, langmix, ngramjoin, tempering, toxic
+from varve.llm.common import table
+from varve.session import checkpointed
+
+REPEAT_LIMIT = 1.25
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose worst window scores below the threshold; learned from the labelled ones of ``docs``."""
+    model = toxic.fit(*toxic.training_sample(docs, table(spark, sf_dir, "labels")))
+    return toxic.score_texts(docs, model).filter(F.col("_score") < toxic.THRESHOLD).select(*docs.columns)
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which some learned language is found; texts without letters go."""
+    return langmix.identify(docs, langmix.learn(docs)).filter(F.col("_lang") != langmix.UNKNOWN).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group that n-gram links connect: the least doc_id, and one of its rows if it is repeated.
+
+    Rows with a null doc_id or without words are in no group and stay.
+    """
+    linked = ngramjoin.link_documents(docs.select("doc_id", "text"))
+    gone = linked.filter("component_id < doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    repeated = checkpointed(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id"))
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the tempered mixture of sources takes them."""
+    return tempering.mix_sources(docs, repeat_limit=REPEAT_LIMIT).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Length buckets and batches of all that is left."""
+    return buckets.pack_buckets(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("language", keep_languages), ("near_copies", drop_near_copies), ("mixture", mix), ("packing", pack)]
+# the first two stages are trained models and the third an iterative closure: tested against brute force
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

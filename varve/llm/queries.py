@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import buckets, capfilter, chat, hamming, huffman, langmix, ngramjoin, shards, tempering, toxic
+from varve.llm import buckets, capfilter, chat, checks, hamming, huffman, langmix, ngramjoin, shards, tempering, toxic
 from varve.llm.common import table
 from varve.session import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(checks.SQL)
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
