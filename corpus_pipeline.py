@@ -15,12 +15,12 @@ REPEAT_LIMIT = 1.25
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose worst window scores below the threshold; learned from the labelled ones of ``docs``."""
     model = toxic.fit(*toxic.training_sample(docs, table(spark, sf_dir, "labels")))
-    return toxic.score_texts(docs, model).filter(F.col("_score") < toxic.THRESHOLD).select(*docs.columns)
+    return toxic.score_texts(docs, model).filter(F.col("score") < toxic.THRESHOLD).select("row.*")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which some learned language is found; texts without letters go."""
-    return langmix.identify(docs, langmix.learn(docs)).filter(F.col("_lang") != langmix.UNKNOWN).select(*docs.columns)
+    return langmix.identify(docs, langmix.learn(docs)).filter(F.col("lang") != langmix.UNKNOWN).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +33,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = docs.join(gone, "doc_id", "left_anti")
     repeated = checkpointed(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id"))
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the tempered mixture of sources takes them."""
-    return tempering.mix_sources(docs, repeat_limit=REPEAT_LIMIT).select(*docs.columns)
+    return tempering.mix_sources(docs, repeat_limit=REPEAT_LIMIT).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sealed(docs: DataFrame, *more: Column, keep: list[str] | None = None) -> DataFrame:
+    """All columns (or those to ``keep``) as one struct ``row``, so that no name of theirs can clash."""
+    return docs.select(F.struct(*keep if keep else "*").alias("row"), *more)
+
+
 def key_text(*cols: str | Column) -> Column:
     """Columns as one string; a null differs from the empty string."""
     parts = [F.coalesce(F.concat(F.lit("="), (F.col(c) if isinstance(c, str) else c).cast("string")), F.lit("~")) for c in cols]

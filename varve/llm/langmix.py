@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
-from varve.llm.common import hash32
+from varve.llm.common import hash32, sealed
 from varve.llm.toxic import is_held_out, text_steps
 from varve.session import ship
 
@@ -131,26 +131,26 @@ def learn(docs: DataFrame, bound: int = SAMPLE_DOCS) -> dict:
     return {"names": names, "likelihood": table, "log": np.log(table)}
 
 
-def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with _lang, _lang_score and _lang_mix of every whole text.
+def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
+    """Rows of ``docs`` as struct ``row`` with lang, score and mix (language to proportion) of every whole text.
 
     A null text or one without a letter is ``und`` with score 0 and an empty mixture, as is every
-    text if nothing was learned. Only ``text`` is read; all columns and repeated rows are kept.
+    text if nothing was learned. Of the columns, which may have any names, only ``text`` is read;
+    repeated rows are kept. No rows give no rows.
     """
     ship(docs.sparkSession)
     packed = docs.sparkSession.sparkContext.broadcast(zlib.compress(model["likelihood"].tobytes()))  # SLOTS x languages
-    names, at = model["names"], docs.columns.index("text")
-    extra = [StructField("_lang", StringType()), StructField("_lang_score", DoubleType()), StructField("_lang_mix", MapType(StringType(), DoubleType()))]
-    kinds = [pa.string(), pa.float64(), pa.map_(pa.string(), pa.float64())]
+    names, rows = model["names"], sealed(docs, F.col("text").alias("text"), keep=keep)
+    told = [("lang", pa.string(), StringType()), ("score", pa.float64(), DoubleType()), ("mix", pa.map_(pa.string(), pa.float64()), MapType(StringType(), DoubleType()))]
 
     def run(batches):
         table = np.frombuffer(zlib.decompress(packed.value)).reshape(SLOTS, len(names))
         own = {"names": names, "likelihood": table, "log": np.log(table)}
         for batch in batches:
-            found = []
-            for begin, end in text_steps(batch.column(at)):
-                found += [infer(plain(t), own) for t in batch.column(at).slice(begin, end - begin).to_pylist()]
+            texts, found = batch.column(1), []
+            for begin, end in text_steps(texts):
+                found += [infer(plain(t), own) for t in texts.slice(begin, end - begin).to_pylist()]
             cells = [[f[0] for f in found], [f[1] for f in found], [list(f[2].items()) for f in found]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, k) for c, k in zip(cells, kinds)]], [*batch.schema.names, *[e.name for e in extra]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t[1]) for c, t in zip(cells, told)]], ["row", *[t[0] for t in told]])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *extra]))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], *[StructField(t[0], t[2]) for t in told]]))

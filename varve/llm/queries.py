@@ -38,7 +38,7 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = tempering.mix_sources(table(spark, sf_dir, "documents"), repeat_limit=1.25)
-    return mixed.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.round("_weight", 9).alias("weight"), F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_block_rank").alias("block_rank"))
+    return mixed.select("row.doc_id", "row.source", F.col("tokens").alias("n_tokens"), F.round("weight", 9).alias("weight"), "epoch", "block", "block_rank")
 
 
 @query
@@ -59,15 +59,15 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxic.fit(*toxic.training_sample(docs, table(spark, sf_dir, "labels")))
-    score = F.col("_score")
-    return toxic.score_texts(docs, model).select("doc_id", toxic.is_held_out().alias("held_out"), score.alias("score"), (score >= toxic.THRESHOLD).cast("int").alias("predicted"))
+    scored = toxic.score_texts(docs, model, keep=["doc_id"]).select("row.doc_id", "score")
+    return scored.select("doc_id", toxic.is_held_out().alias("held_out"), "score", (F.col("score") >= toxic.THRESHOLD).cast("int").alias("predicted"))
 
 
 @query
 def op5_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = langmix.identify(docs.select("doc_id", "text"), langmix.learn(docs.select("doc_id", "text", "lang")))
-    return found.select("doc_id", toxic.is_held_out().alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_lang_score").alias("score"), F.size("_lang_mix").alias("n_langs"))
+    found = langmix.identify(docs.select("doc_id", "text"), langmix.learn(docs.select("doc_id", "text", "lang")), keep=["doc_id"]).select("row.doc_id", "lang", "score", "mix")
+    return found.select("doc_id", toxic.is_held_out().alias("held_out"), F.col("lang").alias("lang_pred"), "score", F.size("mix").alias("n_langs"))
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varve.llm.common import crc32_long, hash32, spread_rank
+from varve.llm.common import crc32_long, hash32, sealed, spread_rank
 from varve.session import checkpointed
 
 LAW = "rows"
@@ -76,10 +76,9 @@ def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
 
     ``placed`` names a row by (doc_id, size, text_crc32), so all of its copies go where the first went.
     """
-    where = placed.groupBy("doc_id", "size", "text_crc32").agg(F.min(F.struct("shard", "hilbert", "slot")).alias("_w"))
-    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
-    keyed = docs.withColumns({"_size": size, "_crc": crc32_long("text")})
-    same = keyed["doc_id"].eqNullSafe(where["doc_id"]) & (keyed["_size"] == where["size"]) & (keyed["_crc"] == where["text_crc32"])
-    rows = keyed.join(where, same).select(*[keyed[c] for c in docs.columns], F.col("_w.shard").alias("_shard"), F.col("_w.hilbert").alias("_hilbert"), F.col("_w.slot").alias("_slot"))
-    ordered = rows.repartitionByRange("_shard", "_hilbert", "_slot").sortWithinPartitions("_shard", "_hilbert", "_slot").drop("_hilbert", "_slot")
-    ordered.write.partitionBy("_shard").parquet(path)
+    where = placed.groupBy("doc_id", "size", "text_crc32").agg(F.min(F.struct("shard", "hilbert", "slot")).alias("w")).select(F.col("doc_id").alias("_id"), F.col("size").alias("_s"), F.col("text_crc32").alias("_c"), "w.*")
+    keyed = sealed(docs, F.col("doc_id").alias("_doc"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("_size"), crc32_long("text").alias("_crc"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_s")) & (F.col("_crc") == F.col("_c"))
+    order = ["shard", "hilbert", "slot"]
+    rows = keyed.join(where, same).select("row", *order).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.select("row", F.col("shard").alias("in_shard")).write.partitionBy("in_shard").parquet(path)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varve.llm.common import HASH_RANGE, hash32, key_text, word_count
+from varve.llm.common import HASH_RANGE, hash32, key_text, sealed, word_count
 from varve.session import checkpointed
 
 BLOCK_DOCS = 1024
@@ -45,24 +45,20 @@ def find_exponent(totals: DataFrame, budget: float, repeat_limit: float | None,
     return high
 
 
-def _source_key(column: str) -> Column:
-    return key_text(column)
-
-
 def mix_sources(
     docs: DataFrame, budget: float | None = None, repeat_limit: float | None = None, target_entropy: float | None = None, block_docs: int = BLOCK_DOCS, seed: str = "mix-1"
 ) -> DataFrame:
-    """The rows of ``docs`` the mixture takes, with _tokens, _weight, _epoch, _block and _block_rank.
+    """The rows of ``docs`` the mixture takes, each as struct ``row`` with tokens, weight, epoch, block and block_rank.
 
     A source's weight is its share of tokens (words, one at least per row) to an exponent, normalised.
     It is due weight x budget tokens (budget: the corpus), whole epochs first and then part of one.
     Each epoch permutes the source's blocks, which are cut by hash, so a source with a third of all
     rows is many blocks; the last block is taken up to the document that meets the due amount. Order
-    of training: (_epoch, _block_rank, hash of the row). A null source is a source; null and empty
+    of training: (epoch, block_rank, hash of the row). A null source is a source; null and empty
     texts weigh one token; rows with equal doc_id share a place and go together; no rows give no rows.
-    All columns of ``docs`` come back; none may start with an underscore.
+    Columns of ``docs`` may have any names: they stay inside ``row``.
     """
-    rows = docs.withColumns({"_tokens": F.greatest(word_count("text"), F.lit(1)), "_source": _source_key("source"), "_h": hash32(F.lit(seed), F.col("doc_id"))})
+    rows = sealed(docs, F.greatest(word_count("text"), F.lit(1)).alias("_tokens"), key_text("source").alias("_source"), hash32(F.lit(seed), F.col("doc_id")).alias("_h"))
     slim = checkpointed(rows.select("_source", "_h", "_tokens"))
     totals = checkpointed(slim.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")))
     corpus = totals.agg(F.sum("tokens")).first()[0] or 0
@@ -94,4 +90,4 @@ def mix_sources(
     chosen = taken.join(last, ["_source", "_block", "_epoch"], "left").select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "_epoch", "_block_rank", "_last")
     out = in_blocks(rows).join(chosen, (F.col("_source") == F.col("_s")) & (F.col("_block") == F.col("_b")))
     kept = out.filter(F.col("_last").isNull() | (F.col("_h") <= F.col("_last")))
-    return kept.select(*docs.columns, "_tokens", "_weight", "_epoch", "_block", "_block_rank")
+    return kept.select("row", *[F.col(f"_{c}").alias(c) for c in ("tokens", "weight", "epoch", "block", "block_rank")])

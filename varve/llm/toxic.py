@@ -16,8 +16,9 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from varve.llm.common import hash32
+from varve.llm.common import hash32, sealed
 from varve.session import ship
 
 TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 1000, 2000, 10_000
@@ -326,27 +327,21 @@ def _any(conditions):
     return out
 
 
-def score_texts(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with ``_score`` (0 to 1): the highest of all overlapping windows of the whole text.
+def score_texts(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
+    """Rows of ``docs`` as struct ``row`` with ``score`` (0 to 1): the highest of all overlapping windows of the whole text.
 
-    A text without letters, empty or null scores 0. All columns and repeated rows are kept; none of
-    them but ``text`` is read. No rows give no rows.
+    A text without letters, empty or null scores 0. Repeated rows are kept; of the columns, which may
+    have any names, only ``text`` is read. No rows give no rows.
     """
     ship(docs.sparkSession)
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by the sample
-    at, schema = docs.columns.index("text"), docs.schema
+    rows = sealed(docs, F.col("text").alias("text"), keep=keep)
 
     def run(batches):
         scorer = Scorer(pickle.loads(packed.value))
         for batch in batches:
-            texts = batch.column(at)
+            texts = batch.column(1)
             parts = [scorer.scores(texts.slice(b, e - b).to_pylist()) for b, e in text_steps(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], ["row", "score"])
 
-    return docs.mapInArrow(run, _with_score(schema))
-
-
-def _with_score(schema):
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return StructType([*schema.fields, StructField("_score", DoubleType())])
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
