@@ -60,7 +60,9 @@ def select_candidate(scores: DataFrame, by: Sequence[str] = (), tie_band: float
     """Best score plus the tie band, then the simplest candidate inside it.
 
     Linear before boosted; a larger penalty first; then shallower trees, larger leaves, smaller
-    steps; the id decides what is left. At most a grid's worth of rows per replicate.
+    steps; the id decides what is left. At most a grid's worth of rows per replicate. Without ``by``
+    the result is one row, and it is an error when read if no candidate is usable; with ``by`` a
+    group without a usable candidate has no row.
     """
     keys = [F.col(k) for k in by] or [F.lit(0)]
     usable = scores.filter(F.col("mean_score").isNotNull())
@@ -71,7 +73,12 @@ def select_candidate(scores: DataFrame, by: Sequence[str] = (), tie_band: float
         F.col("leaf").desc_nulls_last(), F.col("rate").asc_nulls_last(), F.col("candidate_id"),
     ]
     ranked = tied.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).withColumn("n_tied", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    return ranked.filter("_r = 1").select(*by, "candidate_id", "best_score", F.col("mean_score").alias("selected_score"), "n_tied")
+    chosen = ranked.filter("_r = 1").select(*by, "candidate_id", "best_score", F.col("mean_score").alias("selected_score"), "n_tied")
+    if by:
+        return chosen
+    # a global aggregate has a row even where nothing is left to aggregate
+    one = chosen.agg(F.first(F.struct(*chosen.columns)).alias("c"))
+    return one.select(F.coalesce("c", F.when(F.col("c").isNull(), F.raise_error(F.lit("no usable candidate")))).alias("c")).select("c.*")
 
 
 def conformal_rank(n: Column, alpha: float = 0.1) -> Column:

@@ -260,12 +260,18 @@ def _soft_descent(a: np.ndarray, c: np.ndarray, lam: np.ndarray, b: np.ndarray,
     return b
 
 
-def fit_linear(rows: DataFrame, grid: Sequence[dict], taus: Sequence[float] = ENDPOINTS, features: str = "full", max_rounds: int = 60, gap: float = 1e-6) -> Linear:
+STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001, 1.5, 3.0, 8.0)
+LEVELS = tuple(0.1 * 0.25**k for k in range(9))
+
+
+def fit_linear(rows: DataFrame, grid: Sequence[dict], taus: Sequence[float] = ENDPOINTS, features: str = "full", max_rounds: int = 400, gap: float = 1e-6) -> Linear:
     """L1-penalised linear quantile regression: mean pinball loss + alpha * |coefficients|_1.
 
-    Majorise-minimise: |r| is bounded by a parabola at the current residual, so a round is one
-    weighted Gram aggregate per model and a small penalised solve. The smoothing shrinks to 1e-6 of
-    the target's spread; rounds stop at a relative objective change below ``gap``.
+    The pinball loss is rounded off near zero, by less and less of the target's spread (``LEVELS``).
+    A round is a penalised Newton step: one aggregate for the weighted Gram matrices, a small solve,
+    and one aggregate for the losses at several step lengths, of which the best is taken. A level is
+    left when no step lowers any objective by more than ``gap`` of it (the last level; 100 times that before); rounds that run out before the
+    last level is done are an error.
     """
     grid, taus = list(grid), tuple(float(t) for t in taus)
     rows, reps = _replicates(rows)
@@ -283,13 +289,12 @@ def fit_linear(rows: DataFrame, grid: Sequence[dict], taus: Sequence[float] = EN
         sd[r["_rep"], r["k"]] = r["s"] if r["s"] > 0 else 1.0
         n_of[r["_rep"]], ys[r["_rep"]], ym[r["_rep"]] = r["n"], max(r["ys"], 1e-12), r["ym"]
     q = p + 1
-    size = q * q + q + q + 1
     coef = np.zeros((n_rep, n_task, q))
     coef[..., 0] = ym[:, None]
-    smooth, floor = 0.1, 1e-6
-    previous = np.full((n_rep, n_task), np.inf)
 
-    def aggregate(coefs: np.ndarray, eps: float) -> np.ndarray:
+    def sums(size: int, part) -> np.ndarray:
+        """Add up ``part(rep, x, y)`` (tasks x size numbers) over all rows, first within each task."""
+
         def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             acc = np.zeros((n_rep, n_task, size))
             for pdf in batches:
@@ -297,39 +302,54 @@ def fit_linear(rows: DataFrame, grid: Sequence[dict], taus: Sequence[float] = EN
                 x_all = _matrix(pdf["x"]) if len(pdf) else np.zeros((0, p))
                 for r in np.unique(rep_all):
                     at = rep_all == r
-                    x = np.column_stack([np.ones(at.sum()), (x_all[at] - mean[r]) / sd[r]])
-                    y = y_all[at]
-                    res = y[:, None] - x @ coefs[r].T
-                    loss = np.where(res >= 0, tau_of * res, (tau_of - 1.0) * res).sum(0)
-                    w = 1.0 / (4.0 * (np.abs(res) + eps * ys[r]))
-                    for t in range(n_task):
-                        xw = x * w[:, [t]]
-                        acc[r, t] += np.concatenate([(x.T @ xw).ravel(), xw.T @ y, x.sum(0), [loss[t]]])
+                    acc[r] += part(r, np.column_stack([np.ones(at.sum()), (x_all[at] - mean[r]) / sd[r]]), y_all[at])
             yield pd.DataFrame({"rt": np.arange(n_rep * n_task), "v": list(acc.reshape(n_rep * n_task, size))})
 
         parts = rows.mapInPandas(reduce, "rt int, v array<double>").select("rt", F.posexplode("v").alias("i", "v"))
         total = parts.groupBy("rt", "i").agg(F.sum("v").alias("v")).toPandas()
         out = np.zeros((n_rep * n_task, size))
         out[total["rt"], total["i"]] = total["v"]
-        return out.reshape(n_rep, n_task, size)
-
-    best, best_coef = np.full((n_rep, n_task), np.inf), coef.copy()
-    for _ in range(max_rounds):
-        acc = aggregate(coef, smooth)
-        objective = acc[..., -1] / n_of[:, None] + lam * np.abs(coef[..., 1:]).sum(-1)
-        better = objective < best
-        best = np.where(better, objective, best)
-        best_coef = np.where(better[..., None], coef, best_coef)
-        settled = np.abs(previous - objective) <= gap * np.maximum(np.abs(objective), 1e-12)
-        if smooth <= floor and settled.all():
-            break
-        previous = objective
-        n = n_of[:, None, None]
-        gram = (acc[..., : q * q] / n).reshape(-1, q, q)
-        right = (acc[..., q * q : q * q + q] + (tau_of[:, None] - 0.5) / 2.0 * acc[..., q * q + q : q * q + 2 * q]) / n
-        coef = _soft_descent(gram, right.reshape(-1, q), np.tile(lam, n_rep), coef.reshape(-1, q)).reshape(n_rep, n_task, q)
-        smooth = max(smooth * 0.5, floor)
-    return Linear(grid, taus, reps, mean, sd, best_coef, best)
+        return out.reshape(n_rep, n_task, size) / n_of[:, None, None]
+
+    def curvature(coefs: np.ndarray, level: float):
+        def part(r: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            eps = level * ys[r]
+            res = y[:, None] - x @ coefs[r].T
+            soft = np.sqrt(res * res + eps * eps)
+            slope = tau_of - 0.5 + res / (2 * soft)
+            # Newton's weight, with a little of the weight that surely descends where few residuals are near zero
+            w = eps * eps / (2 * soft**3) + 0.02 / (2 * soft)
+            return np.stack([np.concatenate([(x.T @ (x * w[:, [t]])).ravel(), x.T @ slope[:, t]]) for t in range(n_task)])
+
+        return part
+
+    def losses(trials: np.ndarray, level: float):
+        def part(r: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            eps = level * ys[r]
+            res = y[:, None, None] - np.einsum("np,tsp->nts", x, trials[r])
+            return ((tau_of - 0.5)[:, None] * res + 0.5 * np.sqrt(res * res + eps * eps)).sum(axis=0)
+
+        return part
+
+    lengths, rounds = np.array((0.0, *STEPS)), 0
+    for level in LEVELS:
+        open_models = np.ones((n_rep, n_task), bool)
+        while open_models.any():
+            if rounds == max_rounds:
+                raise RuntimeError(f"{int(open_models.sum())} linear models did not settle in {max_rounds} rounds")
+            rounds += 1
+            acc = sums(q * q + q, curvature(coef, level))
+            hess = acc[..., : q * q].reshape(-1, q, q)
+            flat = coef.reshape(-1, q)
+            target = (np.einsum("mij,mj->mi", hess, flat) + acc[..., q * q :].reshape(-1, q)) / 2
+            step = _soft_descent(hess / 2, target, np.tile(lam, n_rep), flat).reshape(n_rep, n_task, q) - coef
+            trials = coef[:, :, None] + lengths[:, None] * step[:, :, None]
+            objective = sums(len(lengths), losses(trials, level)) + lam[:, None] * np.abs(trials[..., 1:]).sum(-1)
+            pick = objective.argmin(axis=-1)
+            lowest = np.take_along_axis(objective, pick[..., None], -1)[..., 0]
+            open_models = objective[..., 0] - lowest > (gap if level == LEVELS[-1] else 100 * gap) * np.maximum(np.abs(objective[..., 0]), 1e-12)
+            coef = np.take_along_axis(trials, pick[..., None, None], 2)[:, :, 0]
+    return Linear(grid, taus, reps, mean, sd, coef, lowest)
 
 
 def predict_linear(rows: DataFrame, model: Linear, features: str = "full", id_col: str = "entity_id") -> DataFrame:

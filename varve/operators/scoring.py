@@ -57,6 +57,9 @@ def method_summary(scored: DataFrame, cohort: DataFrame, by: Sequence[str] = ("m
     )
     gate = cohort_gate(scored, cohort, by, id_col).select(*by, "primary_status")
     g = g.join(F.broadcast(gate), list(by))
+    # a summary that is not finite makes the primary result unavailable, however complete the cohort
+    summed = is_finite(F.col("_s")) & is_finite(F.col("_ae")) & is_finite(F.col("_se")) & is_finite(F.col("_e")) & is_finite(F.col("mean_width"))
+    g = g.withColumn("primary_status", F.when(summed, F.col("primary_status")).otherwise("UNAVAILABLE"))
     ok = lambda c: F.when(F.col("primary_status") == "AVAILABLE", c)
     n = F.col("n")
     return g.select(

@@ -213,9 +213,9 @@ def cqr3(spark, sf):
 
 @query("cqr5_median_model")
 def cqr5(spark, sf):
-    """Select on the tuning role, then refit the chosen candidate's median on fit + tune."""
+    """Select on the tuning role with features of the fit role alone, then rebuild them on fit + tune and refit the chosen candidate's median."""
+    chosen = quantreg.select_on_tuning(learning_rows(spark, sf), trees=TREES)
     rows = learning_rows(spark, sf, ("fit", "tune"))
-    chosen = quantreg.select_on_tuning(rows, trees=TREES)
     refit = rows.filter("role <> 'calibration'")
     pred = quantreg.fit_predict(refit, rows.filter("role = 'calibration'"), [chosen], (0.5,), trees=TREES)
     return pred.select("entity_id", "candidate_id", rnd("prediction", 3), (F.col("prediction") < 0).alias("negative_median"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
+from varve.session import checkpointed
+
 
 def write_once(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Write a new Parquet table; an existing one is an error."""
@@ -21,14 +23,20 @@ def unregistered(runs: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def append_runs(spark: SparkSession, runs: DataFrame, path: str) -> int:
-    """Append new registry rows and return how many were new; refuse a batch that repeats an id."""
+    """Append new registry rows and return how many were new; refuse a batch that repeats an id.
+
+    Only a missing path counts as an empty registry. Two writers at once need a lock of their own.
+    """
     if not runs.groupBy("run_id").count().filter("count > 1").isEmpty():
         raise ValueError("a batch names a run id twice")
     try:
         registry = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         registry = None
-    fresh = runs if registry is None else unregistered(runs, registry)
+    # written first, so that what is counted is what is appended
+    fresh = checkpointed(runs if registry is None else unregistered(runs, registry))
     n = fresh.count()
     if n:
         fresh.write.mode("append").parquet(path)
