@@ -9,7 +9,7 @@ from varve.operators import mixture, precision
 from varve.plans import base
 from varve.plans.q_scoring import predictive, quantile_ctes
 from varve.plans.registry import query, rnd
-from varve.plans.sqlkit import build, cte
+from varve.plans.sqlkit import build, cte, precision_ctes, upper_ctes
 
 ENTITY = ["entity_id"]
 TAIL = 0.025
@@ -95,34 +95,6 @@ def prd8(spark, sf):
 cte("mx_h", "SELECT f.entity_id, f.p, f.chain, f.draw, f.w * (f.cdf - f.p) AS h FROM mx_f f")
 
 
-def precision_ctes(name: str, keys: str, series: str, quant: str) -> None:
-    """Batch-means precision of the quantiles of one key set, as SQL."""
-    k = keys.replace(" ", "").split(",")
-    u = ", ".join(k)
-    cte(f"{name}_c", f"SELECT {u}, min(c) AS n FROM (SELECT {u}, chain, count(*) / 3 AS c FROM {series} GROUP BY {u}, chain) GROUP BY {u}")
-    cte(f"{name}_z", f"SELECT *, least(greatest(greatest(1, floor(n ** (1.0 / 3.0))) + 1, floor(sqrt(n))), floor(n / 2))::BIGINT AS b2, greatest(1, floor(n ** (1.0 / 3.0)))::BIGINT AS b1 FROM {name}_c WHERE n >= 4")
-    cte(f"{name}_bs", f"SELECT {u}, unnest([least(b1, b2 - 1), b2]) AS batch_size FROM {name}_z")
-    cte(f"{name}_m", f"SELECT {u}, p, batch_size, chain, draw // batch_size AS g, avg(h) AS m, count(*) AS n FROM {series} JOIN {name}_bs USING ({u}) GROUP BY {u}, p, batch_size, chain, g")
-    cte(f"{name}_l", f"SELECT {u}, p, batch_size, chain, sum(n)::BIGINT AS n_chain, count(*) FILTER (WHERE n = batch_size) AS nb, batch_size * var_samp(m) FILTER (WHERE n = batch_size) AS lrv FROM {name}_m GROUP BY {u}, p, batch_size, chain")
-    cte(f"{name}_v", f"SELECT {u}, p, batch_size, var_h FROM (SELECT {u}, p, var_samp(h) AS var_h FROM {series} GROUP BY {u}, p) JOIN {name}_bs USING ({u})")
-    cte(f"{name}_p", f"SELECT {u}, p, batch_size, n_chain, nb, n_chain * lrv / (n_total ** 2 * mean_w ** 2 * density ** 2) AS part FROM {name}_l JOIN {quant} USING ({u}, p)")
-    cte(f"{name}_a", f"SELECT {u}, p, batch_size, count(*) AS chains, sum(part) AS variance, sum(part) ** 2 / nullif(sum(CASE WHEN part > 0 THEN part ** 2 / (nb - 1) END), 0) AS dof FROM {name}_p GROUP BY {u}, p, batch_size")
-    cte(f"{name}_rec", f"SELECT {u}, p, batch_size, chains, variance, dof, q.quantile, q.quantile * sqrt(variance) AS mcse, var_h / nullif(variance * (q.density * q.mean_w) ** 2, 0) AS influence_ess, q.weight_ess, q.cdf - p AS residual FROM {name}_a JOIN {quant} q USING ({u}, p) JOIN {name}_v USING ({u}, p, batch_size)")
-
-
-def upper_ctes(name: str, keys: str) -> None:
-    """Upper MCSE from a chi-square quantile: bisect half of it in the series of the incomplete gamma function."""
-    u = ", ".join(keys.replace(" ", "").split(","))
-    gamma = "list_sum(list_transform(range(0, 400), lambda n: exp((a + n) * ln((lo + hi) / 2) - (lo + hi) / 2 - lgamma(a + n + 1))))"
-    cte(
-        f"{name}_chi",
-        f"SELECT {u}, p, batch_size, dof / 2 AS a, 0::DOUBLE AS lo, dof / 2 AS hi, 0 AS i FROM {name}_rec WHERE dof IS NOT NULL UNION ALL "
-        f"SELECT {u}, p, batch_size, a, CASE WHEN below THEN (lo + hi) / 2 ELSE lo END, CASE WHEN below THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM (SELECT *, {gamma} < {TAIL!r} AS below FROM {name}_chi WHERE i < 50)",
-        recursive=True,
-    )
-    cte(f"{name}_up", f"SELECT r.*, r.mcse * sqrt(c.a / c.hi) AS upper_mcse FROM {name}_rec r LEFT JOIN {name}_chi c ON {' AND '.join(f'r.{k} = c.{k}' for k in u.split(', '))} AND r.p = c.p AND r.batch_size = c.batch_size AND c.i = 50")
-
-
 cte("mf_h", "SELECT f.fit, f.entity_id, f.p, f.chain, f.draw, f.w * (f.cdf - f.p) AS h FROM mf_f f")
 precision_ctes("mxp", "entity_id", "mx_h", "mx_q")
 precision_ctes("mfp", "fit, entity_id", "mf_h", "mf_q")

@@ -8,7 +8,7 @@ from varve.operators import mixture, precision, scoring
 from varve.operators.precision import default_batch_sizes
 from varve.plans import base
 from varve.plans.registry import query, rnd
-from varve.plans.sqlkit import build, cte, pdf, phi
+from varve.plans.sqlkit import build, cte, pdf, phi, precision_ctes, upper_ctes
 from varve.session import checkpointed
 
 cte(
@@ -168,6 +168,15 @@ cte("pt_batch", "SELECT h.fit, b.b, h.chain, h.draw // b.b AS batch, avg(h) AS m
 cte("pt_lrv", "SELECT fit, b, chain, sum(n)::BIGINT AS n_chain, count(*) FILTER (WHERE n = b) AS n_batches, b * var_samp(m) FILTER (WHERE n = b) AS lrv FROM pt_batch GROUP BY 1, 2, 3")
 cte("pt_part", "SELECT *, n_chain * lrv / (sum(n_chain) OVER (PARTITION BY fit, b)) ** 2 AS part FROM pt_lrv")
 
+# upper MCSEs: of every endpoint, and of the mean score of each fit
+cte("pt_hh", "SELECT fit, entity_id, p, chain, draw, w * (cdf - p) AS h FROM pt_f")
+precision_ctes("ptp", "fit, entity_id", "pt_hh", "pt_q")
+upper_ctes("ptp", "fit, entity_id")
+cte("pt_radii", "SELECT fit, entity_id, batch_size, max(CASE WHEN p = 0.05 THEN upper_mcse END) AS r_lower, max(CASE WHEN p = 0.95 THEN upper_mcse END) AS r_upper FROM ptp_up GROUP BY 1, 2, 3")
+cte("pt_kink", "SELECT e.fit, e.entity_id, r.batch_size, coalesce(abs(y - lower) <= 3 * r_lower, TRUE) AS lower_kink, coalesce(abs(y - upper) <= 3 * r_upper, TRUE) AS upper_kink FROM pt_ends e JOIN pt_radii r ON r.fit = e.fit AND r.entity_id = e.entity_id")
+cte("ptm_rec", "SELECT fit, 0 AS p, b AS batch_size, sqrt(sum(part)) AS mcse, sum(part) ** 2 / nullif(sum(CASE WHEN part > 0 THEN part ** 2 / (n_batches - 1) END), 0) AS dof FROM pt_part GROUP BY 1, 2, 3")
+upper_ctes("ptm", "fit")
+
 
 def predictive(spark, sf):
     """Terms of every supplier under the draws of its nation, and the labels."""
@@ -225,7 +234,7 @@ def _flagged(spark, sf):
     return scoring.kink_flags(ends.join(_radii(x, q), ["fit", "entity_id"])), x, ends, sizes
 
 
-@query("sco11_kink_flags")
+@query("sco11_kink_flags", build("SELECT fit, entity_id, batch_size, lower_kink, upper_kink FROM pt_kink"))
 def sco11(spark, sf):
     flagged, _, _, _ = _flagged(spark, sf)
     return flagged.select("fit", "entity_id", "batch_size", "lower_kink", "upper_kink")
@@ -249,14 +258,19 @@ def sco13(spark, sf):
     return scoring.project_covariance(cov, ends).select("fit", "b", rnd("projected_variance", 3))
 
 
-@query("sco14_lipschitz_bound")
+@query("sco14_lipschitz_bound", build("SELECT r.fit, r.batch_size, count(*) AS n, round(19 * sum(r_lower + r_upper) / count(*), 4) AS bound FROM pt_ends e JOIN pt_radii r ON r.fit = e.fit AND r.entity_id = e.entity_id GROUP BY 1, 2"))
 def sco14(spark, sf):
     _, q, x, ends, sizes = score_inputs(spark, sf)
     r = ends.join(_radii(x, q), ["fit", "entity_id"])
     return scoring.lipschitz_bound(r, ["fit", "batch_size"]).select("fit", "batch_size", "n", rnd("bound", 4))
 
 
-@query("sco15_qualification")
+@query(
+    "sco15_qualification",
+    build("SELECT fit, CASE WHEN undefined OR above OR kink THEN 'NUMERICALLY_QUALIFIED' ELSE 'PASS' END AS status, "
+          "concat_ws(',', CASE WHEN undefined THEN 'undefined_upper_mcse' END, CASE WHEN above THEN 'upper_mcse_above_limit' END, CASE WHEN kink THEN 'label_near_endpoint' END) AS reasons, CASE WHEN NOT undefined THEN round(top, 4) END AS max_upper_mcse "
+          "FROM (SELECT fit, bool_or(upper_mcse IS NULL) AS undefined, NOT bool_or(upper_mcse IS NULL) AND max(upper_mcse) > 0.5 AS above, max(upper_mcse) AS top FROM ptm_up GROUP BY 1) JOIN (SELECT fit, bool_or(lower_kink OR upper_kink) AS kink FROM pt_kink GROUP BY 1) USING (fit)"),
+)
 def sco15(spark, sf):
     flagged, x, ends, sizes = _flagged(spark, sf)
     m = scoring.score_mcse(_sized(scoring.score_influence(x, ends), sizes), F.col("sizes"), TAIL)
