@@ -38,3 +38,12 @@ def test_global_hash_rank(spark):
     df = spark.range(300).withColumn("h", F.sha2(F.col("id").cast("string"), 256))
     got = ordering.hash_rank(df, "h", "id", "r").collect()
     assert [r.r for r in sorted(got, key=lambda r: r.h)] == list(range(1, 301)) and {r.n_all for r in got} == {300}
+
+
+def test_blocks_of_sparse_ids_are_even_and_rise_with_the_id(spark):
+    from varve.operators.ordering import id_blocks
+
+    ids = [i**5 + 7 for i in range(400)]
+    rows = id_blocks(spark.createDataFrame([(i,) for i in ids], "entity_id long"), "entity_id", "b", rows=40).orderBy("entity_id").collect()
+    blocks = [r.b for r in rows]
+    assert blocks == sorted(blocks) and len(set(blocks)) == 10 and max(blocks.count(b) for b in set(blocks)) <= 44

@@ -48,6 +48,19 @@ def test_one_bad_row_withholds_the_method(spark, change):
     assert s["B"].primary_status == "UNAVAILABLE" and s["B"].mean_score is None and s["C"].primary_status == "AVAILABLE"
 
 
+def test_large_errors_are_summed_and_infinite_ones_withhold(spark):
+    cohort = spark.range(1, 101).withColumnRenamed("id", "entity_id")
+
+    def summary(median):
+        df = spark.createDataFrame(_two_methods(lambda r: r[0].__setitem__(3, median)), SCHEMA)
+        return {r.method: r for r in scoring.method_summary(scoring.components(df), cohort).collect()}["B"]
+
+    fine = summary(5e9)
+    assert fine.primary_status == "AVAILABLE" and fine.median_rmse == pytest.approx(5e8, rel=1e-6)
+    lost = summary(1e200)
+    assert lost.primary_status == "UNAVAILABLE" and lost.mean_score is None and lost.median_rmse is None
+
+
 def test_cancellation_of_large_scores(spark):
     rows = [(m, i + 1, 1.0, 1.0, 1.0, 1.0) for i in range(100) for m in "BC"]
     bump = {("B", 1): 1e16 + 2, ("B", 2): 2.0, ("C", 3): 1e16 + 2}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from varve.functions.hashing import digest, digest_mod, hash_mod
 from varve.functions.numeric import reasons, status
-from varve.operators.ordering import dense_index, hash_rank
+from varve.operators.ordering import dense_index, hash_rank, id_blocks
 
 # The default role shares and the fewest distinct eligible entities a stage may have.
 ROLE_SHARES = (("fit", 55), ("tune", 15), ("calibration", 30))
@@ -63,7 +63,7 @@ def endpoint_cutoffs(rows: DataFrame, id_col: str = "entity_id") -> DataFrame:
 
 def role_rosters(entities: DataFrame, id_col: str = "entity_id", block: int = 1 << 14) -> DataFrame:
     """Position 1..n of each entity inside its role, ids ascending, and the role size."""
-    cut = entities.select(id_col, "role").withColumn("_block", F.floor(F.col(id_col) / block))
+    cut = id_blocks(entities.select(id_col, "role"), id_col, "_block", block)
     numbered = dense_index(cut, ["role"], ["_block"], [id_col], "slot").drop("_block")
     sizes = entities.groupBy("role").agg(F.count(F.lit(1)).alias("n_role"))
     return numbered.join(sizes, "role")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve.functions.hashing import hash_mod
-from varve.operators.ordering import cumulative_counts, dense_index, linear_quantiles
+from varve.operators.ordering import cumulative_counts, dense_index, id_blocks, linear_quantiles
 from varve.operators.stats import associations, summary
 
 ROLES = ("fit", "tune", "calibration")
@@ -51,7 +51,7 @@ def cutoff_bands(entities: DataFrame, low: int, width: int, bands: int = 5, role
 def lifetime_quartiles(entities: DataFrame, id_col: str = "entity_id", block: int = 1 << 14) -> DataFrame:
     """Rank quartile min(3, floor(4 i / n)), i counted from 0 by (lifetime, id)."""
     before = cumulative_counts(entities, [], "lifetime").select("lifetime", "n_before", "n_key")
-    cut = entities.withColumn("_block", F.floor(F.col(id_col) / block))
+    cut = id_blocks(entities, id_col, "_block", block)
     inside = dense_index(cut, ["lifetime"], ["_block"], [id_col], "_i").drop("_block")
     i = F.col("n_before") + F.col("_i") - 1
     return inside.join(before, "lifetime").withColumn("quartile", F.least(F.lit(3), F.floor(i * 4 / F.col("n_key"))).cast("int")).drop("_i", "n_before", "n_key")

@@ -53,6 +53,20 @@ def dense_index(
     return rows
 
 
+def id_blocks(df: DataFrame, id_col: str, name: str, rows: int = 1 << 14, most: int = 1024) -> DataFrame:
+    """Add a block number that rises with the id; blocks hold about ``rows`` rows however the ids are spaced.
+
+    Borders are sketched quantiles of the ids at hand. They are constants of the plan and steer its
+    layout only, so a task that runs again sees the same blocks.
+    """
+    blocks = min(most, -(-df.count() // rows))
+    if blocks < 2:
+        return df.withColumn(name, F.lit(0))
+    cuts = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+    borders = df.select(F.percentile_approx(id_col, cuts, 8 * blocks)).first()[0] or []
+    return df.withColumn(name, F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b < F.col(id_col))))
+
+
 def hash_rank(df: DataFrame, hex_col: str, tiebreak: str, name: str, hex_digits: int = 3) -> DataFrame:
     """Global 1..n rank by a uniform hex digest, plus the total ``n_all``.
 
@@ -69,14 +83,16 @@ def hash_rank(df: DataFrame, hex_col: str, tiebreak: str, name: str, hex_digits:
     return ranked.drop("_cell", "_start")
 
 
-def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 64) -> DataFrame:
+def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
     """Distinct values of each key with ``n_at``, ``n_before`` and ``n_key``.
 
     Repeats are collapsed first, so ties cannot pile into one task. Bucket borders come from a
     mergeable sketch of the distinct values; they only steer the split, so the counts are exact.
-    The border table is checkpointed: a recomputed task must see the same borders.
+    The border table is checkpointed: a recomputed task must see the same borders. A key is cut into as
+    many buckets as the session has shuffle partitions, 64 at least.
     """
     keys = list(keys)
+    buckets = buckets or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_at"))
     if not keys:
         counts = counts.withColumn("_all", F.lit(0))

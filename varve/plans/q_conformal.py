@@ -66,13 +66,17 @@ def cqr6(spark, sf):
 _BAND = 3000.0
 
 
-@query(
-    "cqr7_select_candidate",
-    build(f"SELECT candidate_id, round(best, 6) AS best_score, round(mean_score, 6) AS selected_score, n_tied FROM (SELECT *, count(*) OVER () AS n_tied, row_number() OVER (ORDER BY candidate_id NOT LIKE 'linear%', k) AS r FROM "
-          f"(SELECT *, min(mean_score) OVER () AS best FROM cand_score JOIN (VALUES " + ", ".join(
-              f"('{r['candidate_id']}', {i})" for i, r in enumerate(sorted(conformal.grid_rows(), key=lambda r: (r["family"] != "linear", -(r["alpha"] or 0), r["depth"] or 0, -(r["leaf"] or 0), r["rate"] or 0)))) +
-          f") o(candidate_id, k) USING (candidate_id)) WHERE mean_score <= best + {_BAND}) WHERE r = 1"),
-)
+_ORDER = sorted(conformal.grid_rows(), key=lambda r: (r["family"] != "linear", -(r["alpha"] or 0), r["depth"] or 0, -(r["leaf"] or 0), r["rate"] or 0))
+cte("cand_order", "SELECT * FROM (VALUES " + ", ".join(f"('{r['candidate_id']}', {i})" for i, r in enumerate(_ORDER)) + ") o(candidate_id, k)")
+
+
+def _selected(band: float) -> str:
+    """The simplest candidate within ``band`` of the best score, as SQL."""
+    return ("SELECT candidate_id, best, mean_score, n_tied FROM (SELECT *, count(*) OVER () AS n_tied, row_number() OVER (ORDER BY candidate_id NOT LIKE 'linear%', k) AS r FROM "
+            f"(SELECT *, min(mean_score) OVER () AS best FROM cand_score JOIN cand_order USING (candidate_id)) WHERE mean_score <= best + {band!r}) WHERE r = 1")
+
+
+@query("cqr7_select_candidate", build(f"SELECT candidate_id, round(best, 6) AS best_score, round(mean_score, 6) AS selected_score, n_tied FROM ({_selected(_BAND)})"))
 def cqr7(spark, sf):
     """Selection with a tie band of 3000, a fitting width for prices."""
     s = conformal.candidate_scores(candidate_forecasts(spark, sf), conformal.candidate_grid(spark))
@@ -231,7 +235,10 @@ def cqr13(spark, sf):
     return out.select("replicate", "status", "candidate_id", "n_calibration_rows", "n_calibration_distinct", rnd("correction", 3))
 
 
-@query("asg10_selection_barrier")
+@query(
+    "asg10_selection_barrier",
+    build(f"SELECT e.entity_id, 'a' AS dataset, c.candidate_id FROM s_ent e CROSS JOIN ({_selected(conformal.TIE_BAND)}) c WHERE e.role = 'calibration' AND e.entity_id % 2 = 0"),
+)
 def asg10(spark, sf):
     """Calibration rows appear only for the data set whose selection record is frozen."""
     cal = base.ship_entities(spark, sf).filter("role = 'calibration'").withColumn("dataset", F.when(F.col("entity_id") % 2 == 0, "a").otherwise("b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from varve.operators import assign, audit, features, linear, quality
-from varve.operators.ordering import dense_index
+from varve.operators.ordering import dense_index, linear_quantiles
 from varve.plans import base
 from varve.plans.base import CHANNELS, READ_CHANNELS, READ_LOW, READ_WIDTH, SEED, table
 from varve.plans.registry import query, rnd
@@ -135,10 +135,9 @@ def val4(spark, sf):
 @query("val4_lifetime_profile", build("SELECT sum(lifetime)::BIGINT AS n_rows, count(*) AS n_entities, min(lifetime) AS lifetime_min, quantile_cont(lifetime::DOUBLE, 0.5) AS lifetime_median, max(lifetime) AS lifetime_max FROM u_life"))
 def val4b(spark, sf):
     lives = table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("lifetime"))
-    return lives.agg(
-        F.sum("lifetime").alias("n_rows"), F.count(F.lit(1)).alias("n_entities"), F.min("lifetime").alias("lifetime_min"),
-        F.percentile("lifetime", F.lit(0.5)).alias("lifetime_median"), F.max("lifetime").alias("lifetime_max"),
-    )
+    median = linear_quantiles(lives, [], "lifetime", {"lifetime_median": 0.5}).select("lifetime_median", F.lit(0).alias("_k"))
+    whole = lives.agg(F.sum("lifetime").alias("n_rows"), F.count(F.lit(1)).alias("n_entities"), F.min("lifetime").alias("lifetime_min"), F.max("lifetime").alias("lifetime_max"))
+    return whole.withColumn("_k", F.lit(0)).join(median, "_k").drop("_k")
 
 
 @query(

@@ -9,7 +9,7 @@ from varve.operators import mixture, precision
 from varve.plans import base
 from varve.plans.q_scoring import predictive, quantile_ctes
 from varve.plans.registry import query, rnd
-from varve.plans.sqlkit import build, cte, precision_ctes, upper_ctes
+from varve.plans.sqlkit import build, cte, pdf, phi, precision_ctes, upper_ctes
 
 ENTITY = ["entity_id"]
 TAIL = 0.025
@@ -252,7 +252,16 @@ def mce14(spark, sf):
     return out.select("n_records", rnd("min_weight_ess", 5), rnd("min_influence_ess", 4), rnd("max_upper_mcse", 3), "n_failed", "n_comparisons", "n_incompatible", "status")
 
 
-@query("val14_recheck_quantiles")
+# the terms at the stored roots: which stored values do they not give back?
+cte("val_root", "SELECT entity_id, p, q + CASE WHEN entity_id % 20 = 7 AND p = 0.5 THEN 1e-6 ELSE 0 END AS q, cdf, density FROM mx_q")
+cte("val_at", "SELECT r.entity_id, r.p, r.cdf, r.density, t.w, t.sd, (r.q - t.mu) / t.sd AS v FROM val_root r JOIN mx_w t ON t.entity_id = r.entity_id")
+cte("val_again", f"SELECT entity_id, p, cdf, density, sum(w * {phi('v')}) / sum(w) AS cdf2, sum(w * {pdf('v')} / sd) / sum(w) AS density2 FROM val_at GROUP BY 1, 2, 3, 4")
+
+
+@query(
+    "val14_recheck_quantiles",
+    build("SELECT entity_id, p, 'cdf' AS column, 'differs' AS reason FROM val_again WHERE abs(cdf2 - cdf) > 1e-12 UNION ALL SELECT entity_id, p, 'density', 'differs' FROM val_again WHERE abs(density2 - density) > 1e-11 * density"),
+)
 def val14(spark, sf):
     """Stored quantile records, some with a moved root, recomputed from the terms: only those come back."""
     prepared, q = pooled_quantiles(spark, sf)
