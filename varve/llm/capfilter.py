@@ -22,6 +22,7 @@ BLOCKS, CODE = 4, 16
 HEIGHT = 3.6  # of a cap, in standard deviations of a random direction's inner product
 LEAST = 8  # a vector in fewer caps takes its nearest ones
 CHUNK = 1024
+FILTERS_A_GROUP = 32
 
 
 def product_code(dim: int, blocks: int = BLOCKS, code: int = CODE, seed: int = 11) -> list[np.ndarray]:
@@ -94,14 +95,9 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(threshold: float):
-    """Links between two chunks of a filter (or within one): per vector the weight of those whose first common filter this is, and a forest of all of them."""
+    """Links within filters, or between two chunks of one: per vector the weight of those whose first common filter it is, and a forest of all of them."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, left, right = int(pdf["filter"].iloc[0]), int(pdf["left"].iloc[0]), int(pdf["right"].iloc[0])
-        x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        node, weight, filters = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), pdf["filters"].to_numpy()
-        chunk = pdf["chunk"].to_numpy()
+    def linked(name, x, weight, filters, chunk, left, right):
         ia, ib = np.flatnonzero(chunk == left), np.flatnonzero(chunk == right)
         near = np.argwhere(x[ia] @ x[ib].T >= threshold - 1e-12)
         i, j = ia[near[:, 0]], ib[near[:, 1]]
@@ -109,18 +105,32 @@ def _compare(threshold: float):
             i, j = i[i < j], j[i < j]
         exact = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
         i, j = i[exact], j[exact]
-        # which of the pair's common filters is the first: all pairs here share this one
-        first = np.fromiter((np.intersect1d(filters[a], filters[b], assume_unique=True)[0] == name for a, b in zip(i, j)), bool, len(i)) if len(i) < 64 else _first_common(filters, i, j, name)
-        links = np.bincount(i[first], weight[j[first]], len(node)) + np.bincount(j[first], weight[i[first]], len(node))
-        root = _roots(len(node), i, j)
-        told = (links > 0) | (root != np.arange(len(node)))
-        return pd.DataFrame({"node": node[told], "links": links[told].astype(np.int64), "root": node[root[told]]})
+        # all pairs here share this filter: is it the first of those they share?
+        first = _first_common(filters, i, j, name) if len(i) else np.zeros(0, bool)
+        links = np.bincount(i[first], weight[j[first]], len(x)) + np.bincount(j[first], weight[i[first]], len(x))
+        return links, _roots(len(x), i, j)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = int(pdf["left"].iloc[0]), int(pdf["right"].iloc[0])
+        pdf = pdf.sort_values(["filter", "node"], kind="stable")
+        x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        name, node, weight, chunk, filters = (pdf[c].to_numpy() for c in ("filter", "node", "copies", "chunk", "filters"))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(name)) + 1, [len(name)]])
+        told = []
+        for a, b in zip(cuts, cuts[1:]):
+            links, root = linked(int(name[a]), x[a:b], weight[a:b], filters[a:b], chunk[a:b], left, right)
+            some = np.flatnonzero((links > 0) | (root != np.arange(b - a)))
+            told.append((node[a:b][some], links[some].astype(np.int64), node[a:b][root[some]]))
+        return pd.DataFrame(dict(zip(("node", "links", "root"), map(np.concatenate, zip(*told)))))
 
     return run
 
 
 def _first_common(filters: np.ndarray, i: np.ndarray, j: np.ndarray, name: int) -> np.ndarray:
     """Whether no filter below ``name`` is common to the rows of each pair."""
+    if len(i) < 64:
+        return np.fromiter((np.intersect1d(filters[a], filters[b], assume_unique=True)[0] == name for a, b in zip(i, j)), bool, len(i))
     earlier = [f[f < name] for f in filters]
     values = np.unique(np.concatenate(earlier)) if len(earlier) else np.zeros(0, np.int64)
     out = np.ones(len(i), bool)
@@ -161,8 +171,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sizes = entries.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("filter", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     placed = decoded.withColumn("filter", F.explode("filters")).join(sizes, "filter").withColumn("chunk", F.floor(F.col("h") * F.col("chunks") / F.lit(HASH_RANGE)).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("left"), F.greatest(c, F.col("chunk")).alias("right")))
-    dealt = placed.select("filter", F.explode(pairs).alias("p"), "chunk", "node", "copies", "vec", "filters").select("filter", "p.left", "p.right", "chunk", "node", "copies", "vec", "filters")
-    found = checkpointed(dealt.groupBy("filter", "left", "right").applyInPandas(_compare(threshold), "node bigint, links bigint, root bigint"))
+    # small filters are dealt out many to a group; one that is cut has its groups to itself
+    bunch = F.when(F.col("chunks") == 1, F.floor(F.col("filter") / FILTERS_A_GROUP)).otherwise(-1 - F.col("filter"))
+    dealt = placed.select(bunch.alias("bunch"), "filter", F.explode(pairs).alias("p"), "chunk", "node", "copies", "vec", "filters").select("bunch", "filter", "p.left", "p.right", "chunk", "node", "copies", "vec", "filters")
+    found = checkpointed(dealt.groupBy("bunch", "left", "right").applyInPandas(_compare(threshold), "node bigint, links bigint, root bigint"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     per_vector = distinct.join(links, "node", "left").join(groups, "node", "left").select("vec", "node", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
