@@ -77,3 +77,14 @@ def test_bootstrap_status_order(spark):
     assert m.mean_difference == 1.0
     bad = stats.benchmark_mean(spark.createDataFrame([(1.0,), (float("inf"),)], "x double"), "x").first()
     assert bad.status == "FAIL" and bad.mean_difference is None
+
+
+def test_labels_must_cover_the_cohort_once(spark):
+    cohort = spark.range(1, 6).withColumnRenamed("id", "entity_id")
+
+    def told(rows):
+        return tuple(readers.label_completeness(spark.createDataFrame(rows, "entity_id long, y double"), cohort).first())
+
+    whole = [(i, 1.0 * i) for i in range(1, 6)]
+    assert told(whole) == (0, 0, 0, 0, True)
+    assert told(whole[1:] + [(9, 2.0), (2, 2.0), (3, float("nan"))]) == (1, 1, 2, 1, False)

@@ -97,6 +97,17 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("reject", label_rejects(raw))
 
 
+def label_completeness(labels: DataFrame, cohort: DataFrame, id_col: str = "entity_id") -> DataFrame:
+    """One row: cohort members without a label, labels of strangers, repeated and rejected labels, and whether all are none."""
+    per = labels.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"), F.count_if(label_rejects(labels).isNotNull()).alias("_bad"), F.lit(True).alias("_l"))
+    known = cohort.select(id_col).distinct().withColumn("_c", F.lit(True))
+    out = per.join(known, id_col, "full_outer").agg(
+        F.count_if(F.col("_l").isNull()).alias("n_missing"), F.count_if(F.col("_c").isNull()).alias("n_unknown"),
+        F.count_if(F.col("_n") > 1).alias("n_repeated"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("n_rejected"),
+    )
+    return out.withColumn("complete", F.col("n_missing") + F.col("n_unknown") + F.col("n_repeated") + F.col("n_rejected") == 0)
+
+
 def read_draws(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
     """Parquet draw table; the axes and every required parameter must be present."""
     df = spark.read.parquet(path)
