@@ -41,7 +41,8 @@ def _part(code: Column, shift: int, width: int) -> Column:
 
 
 def _flipped(value: Column, masks: list[int]) -> Column:
-    return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: value.bitwiseXOR(m))
+    constants = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")
+    return F.transform(constants, lambda m: value.bitwiseXOR(m))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -60,8 +61,10 @@ def top_k(queries: DataFrame, codes: DataFrame, k: int) -> DataFrame:
     index = checkpointed(codes.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     size = index.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("ids")).first()
     wanted = min(k, size["ids"])
-    active = checkpointed(queries.select(F.col("code").alias("query")).distinct())
-    segments = _segments(min(20, max(8, round(size["n"]).bit_length())))
+    # bound: the distance of a query's k-th code so far, beyond which none matters
+    active = checkpointed(queries.select(F.col("code").alias("query"), F.lit(BITS).alias("bound")).distinct())
+    # some eight codes a bucket
+    segments = _segments(min(20, max(8, size["n"].bit_length() - 3)))
     keys = [F.struct(F.lit(i).alias("seg"), _part(F.col("code"), *s).alias("val")) for i, s in enumerate(segments)]
     table = index.select(F.explode(F.array(*keys)).alias("s"), "code", "ids").select("s.seg", "s.val", "code", "ids")
     done, best, radius = None, None, 0
@@ -71,12 +74,13 @@ def top_k(queries: DataFrame, codes: DataFrame, k: int) -> DataFrame:
             if radius <= width:
                 masks = [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
                 own = _part(F.col("query"), shift, width)
-                probes.append(active.select("query", F.lit(i).alias("seg"), F.explode(_flipped(own, masks)).alias("val")))
+                probes.append(active.select("query", "bound", F.lit(i).alias("seg"), F.explode(_flipped(own, masks)).alias("val")))
         probe = probes[0]
         for p in probes[1:]:
             probe = probe.unionByName(p)
-        met = probe.join(table, ["seg", "val"])
+        # the probes are many rows made from few, so their size is not what the optimizer takes it for
         differ = F.col("query").bitwiseXOR(F.col("code"))
+        met = probe.hint("merge").join(table, ["seg", "val"]).filter(F.bit_count(differ) <= F.col("bound"))
         met = met.withColumns({f"_d{i}": F.bit_count(_part(differ, *s)) for i, s in enumerate(segments)})
         elsewhere = F.lit(False)
         for i in range(len(segments)):
@@ -89,7 +93,8 @@ def top_k(queries: DataFrame, codes: DataFrame, k: int) -> DataFrame:
         settled = best.filter((F.col("rank") == wanted) & (F.col("distance") <= covered)).select("query")
         ready = best.join(settled, "query", "left_semi")
         done = ready if done is None else done.unionByName(ready)
-        active = checkpointed(active.join(settled, "query", "left_anti"))
+        far = best.filter(F.col("rank") == wanted).select("query", F.col("distance").alias("_far"))
+        active = checkpointed(active.join(settled, "query", "left_anti").join(far, "query", "left").select("query", F.coalesce("_far", "bound").alias("bound")))
         if active.isEmpty() or covered >= BITS or not wanted:
             break
         best, radius = best.join(active, "query", "left_semi"), radius + 1
