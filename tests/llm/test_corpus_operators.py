@@ -286,6 +286,27 @@ def test_windows_cover_every_word():
         assert all(b - a <= toxic.STRIDE for a, b in zip(starts, starts[1:]))
 
 
+def test_score_is_that_of_the_worst_of_all_windows():
+    """Every run of WINDOW words counts, wherever it begins; short texts between long ones change nothing."""
+    rng = np.random.default_rng(11)
+    model = {"net": toxic.new_network(rng), "words": {f"{chr(97 + i)}x": (i + 1, float(v)) for i, v in enumerate(rng.uniform(-2, 3, 26))}}
+    texts = [" ".join(f"{chr(97 + i)}x" for i in rng.integers(0, 26, n)) for n in (90, 3, 33, 32, 1, 57, 250, 2, 5, 1)]
+    net, brute = model["net"], toxic.Scorer(model)
+    for text, score in zip(texts, toxic.Scorer(model).scores(texts)):
+        words = text.split()
+        words = list(np.resize(words, max(toxic.WINDOW, len(words))))
+        slots, lean = np.array([[model["words"][w] for w in words[i : i + toxic.WINDOW]] for i in range(len(words) - toxic.WINDOW + 1)]).transpose(2, 0, 1)
+        spelt = np.stack([toxic.word_grams(words[i : i + toxic.WINDOW]) for i in range(len(slots))])
+        proj = toxic.projected(net, toxic.word_inputs(net, slots.astype(int), spelt, lean.astype(np.float32))).transpose(1, 0, 2)
+        h, n = toxic.HIDDEN, toxic.WINDOW
+        ahead = toxic._run_gru(lambda t: proj[t, :, : 3 * h], net["uhf"], range(n))
+        back = toxic._run_gru(lambda t: proj[t, :, 3 * h :], net["uhb"], range(n - 1, -1, -1))[::-1]
+        _, pooled = toxic._pooled(np.concatenate([np.stack(ahead), np.stack(back)], axis=2), net["attend"])
+        assert abs(toxic._sigmoid(pooled @ net["out"] + net["bias"]).max() - score) < 1e-5
+        alone = [brute.scores([" ".join(words[i : i + toxic.WINDOW])])[0] for i in range(len(slots))]
+        assert abs(max(alone) - score) < 1e-5
+
+
 def test_toxic_words_anywhere_are_caught(spark, odd, none):
     bad = "vile rotten foul".split()
 

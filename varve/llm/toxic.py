@@ -2,7 +2,7 @@
 
 A word's input joins a learned vector of its hash, the mean of learned vectors of its character
 trigrams, and how strongly the word itself speaks for a label in the training sample. Texts are read
-in overlapping windows; a text's score is that of its worst window.
+in overlapping windows, one from each word on; a text's score is that of its worst window.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from varve.session import ship
 
 TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 1000, 2000, 10_000
 KNOWN_TEXTS, DROPOUT = 3, 0.7
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 1  # every window of a text is read
 THRESHOLD = 0.7  # fixed by the contract
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 WORD_SLOTS, CHAR_SLOTS = 1 << 14, 1 << 12
@@ -105,17 +105,77 @@ def _pooled(states: np.ndarray, attend: np.ndarray):
     return weight, (weight[..., None] * states).sum(axis=0)
 
 
-def score_windows(index: np.ndarray, table: np.ndarray, net: dict) -> np.ndarray:
-    """Probability of each window; index: (windows, length) rows of ``table``, whose rows are both projections of a word."""
-    scores, h3 = [], 3 * HIDDEN
-    for at in range(0, len(index), _LANES):
-        lanes = np.ascontiguousarray(index[at : at + _LANES].T)
-        n = len(lanes)
-        ahead = _run_gru(lambda t: table[lanes[t], :h3], net["uhf"], range(n))
-        back = _run_gru(lambda t: table[lanes[t], h3:], net["uhb"], range(n - 1, -1, -1))[::-1]
-        _, pooled = _pooled(np.concatenate([np.stack(ahead), np.stack(back)], axis=2), net["attend"])
-        scores.append(_sigmoid(pooled @ net["out"] + net["bias"]))
-    return np.concatenate(scores) if scores else np.zeros(0, np.float32)
+# 1 / (1 + exp(-x)) is the logistic function, 1 - 2 / (1 + exp(2 * x)) the hyperbolic tangent
+_EXPONENT = np.repeat(np.float32([-1, 2]), (2 * HIDDEN, HIDDEN))
+
+
+def _heads_of_states(x_at, u: np.ndarray, heads: np.ndarray, steps, lanes: int) -> np.ndarray:
+    """Products of the states with ``heads`` (HIDDEN, 2) at each step, (2, WINDOW, lanes); no state is kept.
+
+    Lanes run along the last axis. ``x_at(t)`` and ``u`` come times _EXPONENT, so that one exponential gives a gate or a new state.
+    """
+    h = HIDDEN
+    weights = np.ascontiguousarray(np.concatenate([u, heads], axis=1).T)
+    out, state, from_state = np.empty((2, WINDOW, lanes), np.float32), np.zeros((h, lanes), np.float32), np.zeros((3 * h + 2, lanes), np.float32)
+    gates, before = np.empty((2 * h, lanes), np.float32), None
+    for t in steps:
+        if before is not None:
+            np.matmul(weights, state, out=from_state)
+            out[:, before] = from_state[3 * h :]
+        x = x_at(t)
+        np.add(x[: 2 * h], from_state[: 2 * h], out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        new = from_state[2 * h : 3 * h]
+        new *= gates[h:]
+        new += x[2 * h :]
+        np.exp(new, out=new)
+        new += 1
+        np.divide(-2, new, out=new)
+        new += 1
+        state -= new
+        state *= gates[:h]
+        state += new
+        before = t
+    out[:, before] = heads.T @ state
+    return out
+
+
+def score_windows(ids: np.ndarray, starts: np.ndarray, table: np.ndarray, net: dict) -> np.ndarray:
+    """Probability of the window of WINDOW words at each of the ascending ``starts`` in the stream of words ``ids``.
+
+    ``ids`` are rows of ``table``, whose rows are both projections of a word. Lanes that follow each other
+    read slices of the stream; what memory is used depends on ``_LANES``, not on the stream.
+    """
+    h = HIDDEN
+    weights = [net[k] * _EXPONENT for k in ("uhf", "uhb")]
+    heads = [np.stack([net["attend"][a : a + h], net["out"][a : a + h]], axis=1) for a in (0, h)]
+    scores = np.empty(len(starts), np.float32)
+    for at in range(0, len(starts), _LANES):
+        lanes = starts[at : at + _LANES] - starts[at]
+        x = np.ascontiguousarray((table[ids[starts[at] : starts[at] + lanes[-1] + WINDOW]] * np.tile(_EXPONENT, 2)).T)
+        span = int(lanes[-1]) + 1
+        # a few windows over the border of two texts cost less than gathering words at each step
+        joined = span <= 1.4 * len(lanes)
+        read = (lambda rows: lambda t: rows[:, t : t + span]) if joined else (lambda rows: lambda t: rows.take(lanes + t, axis=1))
+        n = span if joined else len(lanes)
+        with np.errstate(over="ignore"):  # an infinite exponential is a gate of 0 or a new state of 1
+            ahead = _heads_of_states(read(x[: 3 * h]), weights[0], heads[0], range(WINDOW), n)
+            ahead += _heads_of_states(read(x[3 * h :]), weights[1], heads[1], range(WINDOW - 1, -1, -1), n)
+        weight = np.exp(ahead[0] - ahead[0].max(axis=0))
+        score = _sigmoid((weight * ahead[1]).sum(axis=0) / weight.sum(axis=0) + net["bias"])
+        scores[at : at + _LANES] = score[lanes] if joined else score
+    return scores
+
+
+def windows_of(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stream of the words of all documents, starts of their windows in it, first window of each document); none may be empty."""
+    docs = [np.resize(d, WINDOW) if len(d) < WINDOW else d for d in docs]  # short texts repeat to fill a window
+    size = np.array([len(d) for d in docs], np.int64)
+    own = [window_starts(n) for n in size]
+    first = np.cumsum([0, *map(len, own)])[:-1]
+    return np.concatenate(docs), np.concatenate([s + b for s, b in zip(own, np.cumsum(size) - size)]), first
 
 
 def word_inputs(net: dict, slots: np.ndarray, grams: np.ndarray, lean: np.ndarray) -> np.ndarray:
@@ -205,17 +265,12 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 4, s
     net, grams = model["net"], word_grams(names)
     # a word's leaning while training leaves out the text at hand
     held = [leaning(count[1] - 1, count[0], n[1] - 1, n[0]) * known, leaning(count[1], count[0] - 1, n[1], n[0] - 1) * known]
-    windows, owner = [], []
-    for i, d in enumerate(ids):
-        d = np.resize(d, WINDOW) if len(d) < WINDOW else d  # short texts repeat to fill a window
-        for s in window_starts(len(d)):
-            windows.append(d[s : s + WINDOW])
-            owner.append(i)
-    windows, owner = np.stack(windows), np.asarray(owner)
+    stream, starts, first = windows_of(ids)
+    owner = np.repeat(np.arange(len(ids)), np.diff(np.r_[first, len(starts)]))
     bad = toxic[owner]
-    lean = np.where(bad[:, None], held[0][windows], held[1][windows]).astype(np.float32)
-    first = np.flatnonzero(np.r_[True, np.diff(owner) > 0])
-    score = np.sort(lean, axis=1)[:, -2:].sum(axis=1)
+    word_bad = np.repeat(toxic, [max(len(d), WINDOW) for d in ids])
+    stream_lean = np.where(word_bad, held[0][stream], held[1][stream]).astype(np.float32)
+    score = _two_highest(stream_lean, starts)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.items()}
     step = 0
     for r in range(rounds):
@@ -227,11 +282,12 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 4, s
         weight = np.where(label > 0, 1 / max(1, label.sum()), 1 / max(1, (1 - label).sum())).astype(np.float32) * len(chosen)
         for _ in range(max(epochs, 240 * 128 // (rounds * max(1, len(chosen))))):
             for at in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // 128)):
-                pick = chosen[at]
+                pick = starts[chosen[at]][:, None] + np.arange(WINDOW)
+                words = stream[pick]
                 # learned vectors of most words are hidden, so that a small sample is not learnt by heart
-                hidden = rng.random(windows[pick].shape) < DROPOUT
-                spelt = np.where(hidden[..., None], -1, grams[windows[pick]])
-                _, grad = _gradients(net, np.where(hidden, 0, slots[windows[pick]]), spelt, lean[pick], label[at], weight[at])
+                hidden = rng.random(words.shape) < DROPOUT
+                spelt = np.where(hidden[..., None], -1, grams[words])
+                _, grad = _gradients(net, np.where(hidden, 0, slots[words]), spelt, stream_lean[pick], label[at], weight[at])
                 step += 1
                 for k, g in grad.items():
                     m, v = moment[k]
@@ -240,15 +296,17 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 4, s
                     rate = 0.001 if k in ("words", "chars") else 0.01
                     net[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
                     net[k] *= 1 - 0.1 * rate
-        base = projected(net, word_inputs(net, slots, grams, np.zeros(len(slots), np.float32)))
-        tilt = np.concatenate([net["wxf"][0], net["wxb"][0]])
-        score = np.concatenate([_score_rows(net, base, tilt, lean[a : a + 1024], windows[a : a + 1024]) for a in range(0, len(windows), 1024)])
+        if r < rounds - 1:
+            # rows of toxic texts' words, then those of clean ones: their leanings differ
+            inputs = np.concatenate([word_inputs(net, slots, grams, side.astype(np.float32)) for side in held])
+            score = score_windows(stream + np.where(word_bad, 0, len(names)), starts, projected(net, inputs), net)
     return model
 
 
-def _score_rows(net, base, tilt, lean, windows):
-    proj = (base[windows] + lean[..., None] * tilt).reshape(-1, 6 * HIDDEN)
-    return score_windows(np.arange(len(proj)).reshape(windows.shape), proj, net)
+def _two_highest(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sum of the two highest values of each window."""
+    steps = [starts[a : a + _LANES, None] + np.arange(WINDOW) for a in range(0, len(starts), _LANES)]
+    return np.concatenate([np.partition(values[s], WINDOW - 2, axis=1)[:, -2:].sum(axis=1) for s in steps])
 
 
 # --- scoring whole texts ------------------------------------------------------------------------
@@ -278,15 +336,10 @@ class Scorer(dict):
             self.table = np.concatenate([self.table, projected(self.net, inputs)])
             self.fresh = []
         out = np.zeros(len(texts))
-        windows, owners = [], []
-        for i, d in enumerate(docs):
-            if len(d):
-                d = np.resize(d, WINDOW) if len(d) < WINDOW else d
-                starts = window_starts(len(d))
-                windows.append(d[starts[:, None] + np.arange(WINDOW)])
-                owners.append(np.full(len(starts), i))
-        if windows:
-            np.maximum.at(out, np.concatenate(owners), score_windows(np.concatenate(windows), self.table, self.net))
+        filled = [i for i, d in enumerate(docs) if len(d)]
+        if filled:
+            stream, starts, first = windows_of([docs[i] for i in filled])
+            out[filled] = np.maximum.reduceat(score_windows(stream, starts, self.table, self.net), first)
         return out
 
 
