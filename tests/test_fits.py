@@ -121,6 +121,22 @@ def test_duplicate_screen_against_brute_force(spark):
     assert sum(r.pairs for r in cross) == 2
 
 
+def test_cross_screen_fails_on_near_copies(spark):
+    """Near copies of longer histories count from 30 cycles, times their copies; without a hit the gate passes."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(5, 60, 2))
+    def table(hist):
+        rows = [(e, t + 1, len(h), float(h[t, 0]), float(h[t, 1])) for e, h in hist.items() for t in range(len(h))]
+        return spark.createDataFrame(rows, "entity_id long, cycle int, cutoff int, u double, v double")
+    left = table({1: base[0][:40], 2: base[1][:35], 3: base[2][:45]})
+    scales = linear.channel_scales(left, ["u", "v"])
+    hits = lambda right: tuple(audit.cross_screen(left, table(right), scales, ["u", "v"]).first())
+    near = base[0] + 0.005
+    assert hits({1: near, 2: near, 3: base[3], 4: base[1][:20] + 0.005}) == (0, 2, "FAIL")
+    assert hits({1: base[3], 2: base[2]}) == (1, 0, "FAIL")
+    assert hits({1: base[3], 2: base[4], 3: base[1][:20] + 0.005}) == (0, 0, "PASS")
+
+
 def test_quantile_learners_reach_low_pinball_loss(spark):
     rng = np.random.default_rng(4)
     x = rng.uniform(-1, 1, size=(300, 3))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from varve.functions.hashing import hash_mod
 from varve.operators.ordering import cumulative_counts, dense_index, id_blocks, linear_quantiles
 from varve.operators.stats import associations, summary
+from varve.session import checkpointed
 
 ROLES = ("fit", "tune", "calibration")
 # Thresholds of the duplicate screen.
@@ -255,6 +256,22 @@ def near_pairs(
     return near.join(ca, "a").join(cb, "b")
 
 
+def cross_screen(left: DataFrame, right: DataFrame, scales: DataFrame, channels: Sequence[str], id_col: str = "entity_id") -> DataFrame:
+    """One row: exact pairs at any common length, near pairs from MIN_COMMON cycles, and the status, FAIL on any hit.
+
+    ``scales`` are those of the training side. Histories on the right are cut after the longest on the left:
+    nothing after it is common.
+    """
+    count = lambda df, n, name: df.agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(name)).withColumn("_k", F.lit(0))
+    exact = count(cross_exact_groups(left, right, channels, id_col), F.col("pairs"), "exact_pairs")
+    bound = left.agg(F.max("cutoff").alias("_p")).withColumn("_k", F.lit(0))
+    cut = right.withColumn("_k", F.lit(0)).join(F.broadcast(bound), "_k").filter(F.col("cycle") <= F.col("_p"))
+    cut = checkpointed(cut.select(id_col, "cycle", F.least("cutoff", "_p").alias("cutoff"), *channels))
+    near = count(near_pairs(left, cut, scales, channels, id_col=id_col), F.col("copies_a") * F.col("copies_b"), "near_pairs")
+    hit = (F.col("exact_pairs") > 0) | (F.col("near_pairs") > 0)
+    return exact.join(near, "_k").select("exact_pairs", "near_pairs", F.when(hit, "FAIL").otherwise("PASS").alias("status"))
+
+
 def closest_pairs(prefix: DataFrame, scales: DataFrame, channels: Sequence[str], k: int = 5, start: float = 0.02, id_col: str = "entity_id") -> DataFrame:
     """The k closest pairs by (mean, worst channel, longer common history first), exactly.
 

@@ -465,3 +465,25 @@ def aud9(spark, sf):
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).withColumn("_k", F.lit(0))
     sizes = count(left.filter("cycle = 1"), "_l").join(count(everyone, "_r"), "_k").join(hits.withColumn("_k", F.lit(0)), "_k")
     return sizes.select((F.col("_l") * F.col("_r")).alias("comparisons"), "exact_pairs")
+
+
+# Planted from table rows, by id: near copies, exact copies, and histories that meet only by chance.
+_PLANT9 = (1.001, 1.0, 3.0)
+_MS9 = ", ".join(f"sum(((a.{c} - b.{c}) / k_{c}) ** 2) / count(*) AS ms_{c}" for c in READ_CHANNELS)
+cte("sc9", "SELECT " + ", ".join(f"CASE WHEN stddev_pop({c}) > 1e-12 THEN stddev_pop({c}) ELSE 1 END AS k_{c}" for c in READ_CHANNELS) + " FROM u_prefix")
+cte("plant9", "SELECT entity_id, cycle, c1 * CASE entity_id % 3 WHEN 0 THEN {!r} WHEN 1 THEN {!r} ELSE {!r} END AS c1, c2 FROM u_traj".format(*_PLANT9))
+cte("pairs9", f"SELECT a.entity_id AS a, b.entity_id AS b, count(*) AS common_cycles, {_MS9} FROM u_prefix a JOIN plant9 b ON a.cycle = b.cycle, sc9 GROUP BY 1, 2")
+cte("hits9", "SELECT count(*) FILTER (WHERE ms_c1 = 0 AND ms_c2 = 0) AS exact_pairs, count(*) FILTER (WHERE common_cycles >= 30 AND ms_c1 + ms_c2 > 0 AND sqrt((ms_c1 + ms_c2) / 2) <= 0.02 AND sqrt(greatest(ms_c1, ms_c2)) <= 0.10) AS near_pairs FROM pairs9")
+
+
+@query("aud9_cross_table_gate", build("SELECT exact_pairs, near_pairs, CASE WHEN exact_pairs > 0 OR near_pairs > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM hits9"))
+def aud9b(spark, sf):
+    """Exact and near openings shared between the cut histories of eligible users and histories with planted copies, and the gate's status."""
+    left = checkpointed(base.read_prefix(spark, sf))
+    everyone = base.read_entities(spark, sf).select("entity_id", F.col("lifetime").alias("cutoff"))
+    bound = everyone.withColumn("upto", F.lit(READ_LOW + READ_WIDTH))
+    right = dense_index(base.readings(spark, sf), ["entity_id"], base.READ_CELLS, base.READ_ORDER, "cycle", bound)
+    kind = F.col("entity_id") % 3
+    factor = F.when(kind == 0, F.lit(_PLANT9[0])).when(kind == 1, F.lit(_PLANT9[1])).otherwise(F.lit(_PLANT9[2]))
+    planted = checkpointed(right.withColumn("c1", F.col("c1") * factor).select("entity_id", "cycle", "cutoff", *READ_CHANNELS))
+    return audit.cross_screen(left, planted, linear.channel_scales(left, READ_CHANNELS), READ_CHANNELS)
