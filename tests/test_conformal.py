@@ -51,3 +51,20 @@ def test_selection_rule(spark):
 def test_crossed_endpoints_are_sorted(spark):
     df = conformal.ordered_endpoints(spark.createDataFrame([(5.0, 4.0), (10.0, 15.0)], "lower double, upper double"))
     assert sorted((r.lower, r.upper) for r in df.collect()) == [(4.0, 5.0), (10.0, 15.0)]
+
+
+def test_resampled_corrections_by_method(spark):
+    """Every method gets its own corrections, the same as when it is alone."""
+    from varve.operators import assign
+
+    rng = np.random.default_rng(6)
+    s = spark.createDataFrame([(m, e, float(rng.normal(k))) for k, m in enumerate("ab") for e in range(30)], "method string, entity_id long, score double")
+    alone = s.filter("method = 'b'")
+    pick = lambda df, *c: sorted((tuple(r[x] for x in c), r.correction) for r in df.filter("method = 'b'").collect())
+    got = conformal.subset_corrections(s, (9, 19), 4, "t", by=["method"])
+    want = conformal.subset_corrections(alone, (9, 19), 4, "t")
+    assert pick(got, "size", "replicate") == sorted(((r["size"], r.replicate), r.correction) for r in want.collect())
+    rosters = assign.role_rosters(alone.select("entity_id").selectExpr("entity_id", "'calibration' AS role"))
+    both = conformal.bootstrap_corrections(s, rosters, 3, "t", by=["method"])
+    one = conformal.bootstrap_corrections(alone, rosters, 3, "t")
+    assert both.count() == 6 and pick(both, "replicate") == sorted(((r.replicate,), r.correction) for r in one.collect())

@@ -138,23 +138,25 @@ def _replicate_corrections(drawn: DataFrame, by: Sequence[str], score: str, alph
     return g.select(*by, "n", F.when(inf, F.lit(float("inf"))).otherwise(F.greatest(F.lit(0.0), F.col("_s"))).alias("correction"))
 
 
-def subset_corrections(scores: DataFrame, sizes: Sequence[int], replicates: int, seed: str, score: str = "score", id_col: str = "entity_id", alpha: float = 0.1) -> DataFrame:
-    """Corrections of random subsets drawn without replacement: the ``size`` smallest hashes of each replicate.
+def subset_corrections(scores: DataFrame, sizes: Sequence[int], replicates: int, seed: str, score: str = "score", id_col: str = "entity_id", alpha: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
+    """Corrections of random subsets drawn without replacement: the ``size`` smallest hashes of each replicate (and of ``by``).
 
     Hash cells bound the sort, and cells past the subset size are dropped before the shuffle.
     """
-    rep = scores.select(id_col, score).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    rep = scores.select(*by, id_col, score).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     rep = rep.withColumn("_h", digest(seed, "subset", F.col("replicate"), F.col(id_col))).withColumn("_cell", F.substring("_h", 1, 3))
     bound = scores.sparkSession.range(1, replicates + 1).select(F.col("id").cast("int").alias("replicate"), F.lit(max(sizes)).alias("upto"))
-    top = dense_index(rep, ["replicate"], ["_cell"], ["_h", id_col], "_order", bound)
+    if by:
+        bound = scores.select(*by).distinct().crossJoin(bound)
+    top = dense_index(rep, [*by, "replicate"], ["_cell"], ["_h", id_col], "_order", bound)
     sized = top.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).filter(F.col("_order") <= F.col("size"))
-    return _replicate_corrections(sized, ["size", "replicate"], score, alpha)
+    return _replicate_corrections(sized, [*by, "size", "replicate"], score, alpha)
 
 
-def bootstrap_corrections(scores: DataFrame, rosters: DataFrame, replicates: int, seed: str, score: str = "score", id_col: str = "entity_id", alpha: float = 0.1) -> DataFrame:
-    """Corrections of full-size resamples with replacement."""
-    drawn = bootstrap_draws(rosters, replicates, seed, id_col).join(scores.select(id_col, score), id_col)
-    return corrections(drawn, ["replicate"], score, alpha)
+def bootstrap_corrections(scores: DataFrame, rosters: DataFrame, replicates: int, seed: str, score: str = "score", id_col: str = "entity_id", alpha: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
+    """Corrections of full-size resamples with replacement; every group of ``by`` sees the same draws of entities."""
+    drawn = bootstrap_draws(rosters, replicates, seed, id_col).join(scores.select(*by, id_col, score), id_col)
+    return corrections(drawn, [*by, "replicate"], score, alpha)
 
 
 def correction_ranges(replicated: DataFrame, by: Sequence[str] = ("size",)) -> DataFrame:

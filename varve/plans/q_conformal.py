@@ -164,6 +164,39 @@ def cqr12b(spark, sf):
     return out.select("replicate", "n", rnd("correction"))
 
 
+# The replicate counts of the reference, over both methods.
+ALL_SUBSET_REPS, ALL_BOOT_REPS = 500, 2000
+cte("suba_h", f"SELECT n.method, r.replicate, n.score, row_number() OVER (PARTITION BY n.method, r.replicate ORDER BY sha256('{SEED}|subset|' || r.replicate || '|' || n.entity_id), n.entity_id) AS o FROM ncs n, range(1, {ALL_SUBSET_REPS + 1}) r(replicate)")
+cte("suba_r", "SELECT h.method, s.size, h.replicate, h.score, row_number() OVER (PARTITION BY h.method, s.size, h.replicate ORDER BY h.score) AS i, count(*) OVER (PARTITION BY h.method, s.size, h.replicate) AS n FROM suba_h h JOIN (VALUES (9), (19), (24), (25)) s(size) ON h.o <= s.size")
+cte("suba_c", "SELECT method, size, replicate, CASE WHEN ceil((n + 1)::DECIMAL(20,0) * 0.9) > n THEN 'infinity'::DOUBLE ELSE greatest(0, max(CASE WHEN i = ceil((n + 1)::DECIMAL(20,0) * 0.9) THEN score END)) END AS c FROM suba_r GROUP BY method, size, replicate, n")
+
+
+@query(
+    "cqr12_subset_corrections_all",
+    build("SELECT method, size, count(*) AS replicates, round(quantile_cont(c, 0.025), 4) AS low, round(quantile_cont(c, 0.5), 4) AS mid, round(quantile_cont(c, 0.975), 4) AS high FROM suba_c GROUP BY 1, 2"),
+)
+def cqr12c(spark, sf):
+    reps = conformal.subset_corrections(checkpointed(_scores(spark, sf)), SUBSETS, ALL_SUBSET_REPS, SEED, by=["method"])
+    r = conformal.correction_ranges(reps, ["method", "size"])
+    return r.select("method", "size", "replicates", rnd("low", 4), rnd("mid", 4), rnd("high", 4))
+
+
+cte("cba_pool", "SELECT entity_id, row_number() OVER (ORDER BY entity_id) AS slot, count(*) OVER () AS n_role FROM (SELECT DISTINCT entity_id FROM ncs)")
+cte("cba_draw", f"SELECT d.replicate, n.method, n.score FROM (SELECT replicate, 1 + {digest_mod('h', 'n_role')} AS pick FROM (SELECT g.replicate, n_role, sha256('{SEED}|' || g.replicate || '|calibration|' || slot) AS h FROM cba_pool, range(1, {ALL_BOOT_REPS + 1}) g(replicate))) d JOIN cba_pool p ON p.slot = d.pick JOIN ncs n USING (entity_id)")
+cte("cba_rank", "SELECT *, row_number() OVER (PARTITION BY method, replicate ORDER BY score) AS i, count(*) OVER (PARTITION BY method, replicate) AS n FROM cba_draw")
+
+
+@query(
+    "cqr12_bootstrap_corrections_all",
+    build("SELECT method, replicate, n, round(CASE WHEN ceil((n + 1)::DECIMAL(20,0) * 0.9) > n THEN 'infinity'::DOUBLE ELSE greatest(0, max(CASE WHEN i = ceil((n + 1)::DECIMAL(20,0) * 0.9) THEN score END)) END, 6) AS correction FROM cba_rank GROUP BY 1, 2, 3"),
+)
+def cqr12d(spark, sf):
+    scores = checkpointed(_scores(spark, sf))
+    rosters = assign.role_rosters(scores.select("entity_id", F.lit("calibration").alias("role")).distinct())
+    out = conformal.bootstrap_corrections(scores, rosters, ALL_BOOT_REPS, SEED, by=["method"])
+    return out.select("method", "replicate", "n", rnd("correction"))
+
+
 @query(
     "cqr14_posthoc_identity",
     build("SELECT 2 * count(*) FILTER (WHERE role = 'calibration') AS identical, 0::BIGINT AS changed, 0::BIGINT AS only_right, 0::BIGINT AS only_left FROM fc_wide"),
