@@ -69,4 +69,49 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesc
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.a = w.doc_id
 """
 
-SQL = {"op1_chat_format": CHAT, "op2_ngram_join": NGRAMS, "op4_hamming_topk": HAMMING, "op9_cap_filter_dedup": VECTORS}
+LEVELS = 12  # of eight-ary foldings, more than any table here needs
+
+
+def _tree_levels(name: str, levels: int = LEVELS) -> str:
+    """From nodes ``name0`` (tree, pos, digest, n): all levels, each node's siblings, and walkers ``name_w0`` (id, tree, pos, x, sib) led up."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{name}{k + 1} AS (
+  SELECT tree, pos // 8 AS pos, CASE WHEN n > 1 THEN sha256(string_agg(digest, '' ORDER BY pos)) ELSE any_value(digest) END AS digest, (n + 7) // 8 AS n
+  FROM {name}{k} GROUP BY tree, pos // 8, n
+), {name}_s{k} AS (
+  SELECT tree, pos, n,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY tree, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY tree, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}{k}
+), {name}_w{k + 1} AS (
+  SELECT id, w.tree, w.pos // 8 AS pos, CASE WHEN s.n > 1 THEN sha256(l || x || r) ELSE x END AS x, CASE WHEN s.n > 1 THEN sib || l || r ELSE sib END AS sib
+  FROM {name}_w{k} AS w JOIN {name}_s{k} AS s ON w.tree = s.tree AND w.pos = s.pos
+)""")
+    return ", ".join(out)
+
+
+def _field(name: str) -> str:
+    return f"coalesce(octet_length(encode({name}::VARCHAR))::VARCHAR || ':' || {name}::VARCHAR, '-')"
+
+
+_HEAD = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_CRC32 = """xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda c, b:
+    list_reduce(range(8), lambda s, i: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+MERKLE = f"""
+WITH d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({_HEAD} || {_field("text")}) AS leaf,
+    CASE WHEN {_CRC32} % 3 = 0 THEN sha256({_HEAD} || {_field(f"translate(text, '{UPPER}', '{UPPER.lower()}')")}) END AS changed FROM documents
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY tree, doc_id, leaf) AS id, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d
+), a0 AS (SELECT tree, pos, leaf AS digest, n FROM p), a_w0 AS (SELECT id, tree, pos, coalesce(changed, leaf) AS x, '' AS sib FROM p),
+{_tree_levels("a")},
+b0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, digest, count(*) OVER () AS n, tree AS name FROM a{LEVELS}),
+b_w0 AS (SELECT w.id, '' AS tree, b0.pos, w.x, w.sib FROM a_w{LEVELS} AS w JOIN b0 ON b0.name = w.tree),
+{_tree_levels("b")}
+SELECT p.doc_id, p.leaf, b0.digest AS subroot, r.digest AS root, sha256(w.sib) AS proof_sha256, w.x AS folded_root, w.x = r.digest AS verified
+FROM p JOIN b_w{LEVELS} AS w ON w.id = p.id JOIN b0 ON b0.name = p.tree, b{LEVELS} AS r
+"""
+
+SQL = {"op13_merkle_manifest": MERKLE, "op1_chat_format": CHAT, "op2_ngram_join": NGRAMS, "op4_hamming_topk": HAMMING, "op9_cap_filter_dedup": VECTORS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import buckets, capfilter, chat, checks, hamming, huffman, langmix, ngramjoin, shards, tempering, toxic
+from varve.llm import buckets, capfilter, chat, checks, hamming, huffman, langmix, merkle, ngramjoin, shards, tempering, toxic
 from varve.llm.common import table
 from varve.session import checkpointed
 
@@ -85,3 +85,13 @@ def op4_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document by crc32 is read back with its A-Z lower-cased."""
+    fields = ("doc_id", "source", "lang", "n_chars")
+    low = F.translate("text", checks.UPPER, checks.UPPER.lower())
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.record_hash(*fields, low))
+    proofs = merkle.manifest(table(spark, sf_dir, "documents"), merkle.record_hash(*fields, "text"), F.col("lang"), "doc_id", changed)
+    return proofs.select("row.doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
