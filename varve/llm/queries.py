@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import buckets, capfilter, chat, checks, hamming, huffman, langmix, merkle, ngramjoin, shards, tempering, toxic
+from varve.llm import buckets, capfilter, chat, checks, factor, hamming, huffman, langmix, merkle, ngramjoin, shards, tempering, toxic
 from varve.llm.common import table
 from varve.session import checkpointed
 
@@ -95,3 +95,11 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.record_hash(*fields, low))
     proofs = merkle.manifest(table(spark, sf_dir, "documents"), merkle.record_hash(*fields, "text"), F.col("lang"), "doc_id", changed)
     return proofs.select("row.doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query
+def op12_factor_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = factor.fit(*factor.training_examples(docs, table(spark, sf_dir, "labels")))
+    scored = factor.score_texts(docs, model, keep=["doc_id"]).select("row.doc_id", "score")
+    return scored.select("doc_id", factor.is_held_out().alias("held_out"), "score", (F.col("score") >= factor.THRESHOLD).cast("int").alias("predicted"))
