@@ -30,7 +30,7 @@ _BYTE_CLASSES = np.zeros((256, 7), np.int64)
 for _k, _bytes in enumerate((range(65, 91), range(97, 123), range(48, 58), (32, 9, 11, 12, 13), (10,), range(0x80, 0xC0), [b for b in range(33, 127) if not chr(b).isalnum()])):
     _BYTE_CLASSES[list(_bytes), _k] = 1
 _PUNCTUATION = [ord(c) for c in ".,;:!?$#&*%@<>/\\{}()[]=_|~^+-'\""]
-STATISTICS = 14 + len(_PUNCTUATION)
+STATISTICS = 15 + len(_PUNCTUATION)
 
 
 class Words(dict):
@@ -43,18 +43,20 @@ class Words(dict):
         return at
 
 
-def word_inputs(texts: list[str | None], slots: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, slot, value) of all words of whole texts, values of a text of length 1; number of words and of distinct slots by text."""
+def word_inputs(texts: list[str | None], slots: Words) -> tuple[np.ndarray, ...]:
+    """(text, slot, value) of all words of whole texts, values of a text of length 1; number of words, of distinct slots and of words like the one before by text."""
     words = [(t or "").split() for t in texts]
     size = np.fromiter(map(len, words), np.int64, len(texts))
     slot = np.fromiter((slots[w] for ws in words for w in ws), np.int64, int(size.sum()))
-    key, n = np.unique(np.repeat(np.arange(len(texts)), size) * SLOTS + slot, return_counts=True)
+    coded = np.repeat(np.arange(len(texts)), size) * SLOTS + slot
+    again = np.bincount(coded[1:][coded[1:] == coded[:-1]] // SLOTS, minlength=len(texts))
+    key, n = np.unique(coded, return_counts=True)
     owner, value = key // SLOTS, np.log1p(n)
     norm = np.sqrt(np.bincount(owner, value * value, len(texts)))
-    return owner, key % SLOTS, value / norm[owner], size, np.bincount(owner, minlength=len(texts))
+    return owner, key % SLOTS, value / norm[owner], size, np.bincount(owner, minlength=len(texts)), again
 
 
-def statistics(text: str | None, n_words: int, distinct: int, n_chars: int | None) -> list[float]:
+def statistics(text: str | None, n_words: int, distinct: int, again: int, n_chars: int | None) -> list[float]:
     """Shares of kinds of bytes, lengths, repeated words and lines, and the recorded length against the real one."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
@@ -65,7 +67,7 @@ def statistics(text: str | None, n_words: int, distinct: int, n_chars: int | Non
     own = [
         upper / max(1, upper + lower), digits / total, blanks / total, breaks / total, inner / total, marks / total,
         np.log1p(total), np.log1p(n_words), chars / max(1, n_words), distinct / max(1, n_words),
-        len(set(lines)) / len(lines), np.log1p(total / len(lines)), np.log1p(recorded), abs(np.log1p(recorded) - np.log1p(chars)),
+        len(set(lines)) / len(lines), np.log1p(total / len(lines)), np.log1p(recorded), abs(np.log1p(recorded) - np.log1p(chars)), again / max(1, n_words),
     ]
     return own + np.sqrt(counts[_PUNCTUATION] / max(1, n_words)).tolist()
 
@@ -153,8 +155,8 @@ def _steps(texts: pa.Array):
 
 def inputs_of(texts: list[str | None], recorded: list[int | None], slots: Words):
     """Word inputs of whole texts (owner, slot, value) and their raw statistics."""
-    owner, slot, value, words, distinct = word_inputs(texts, slots)
-    stats = np.array([statistics(t, w, d, n) for t, w, d, n in zip(texts, words.tolist(), distinct.tolist(), recorded)], np.float64).reshape(-1, STATISTICS)
+    owner, slot, value, words, distinct, again = word_inputs(texts, slots)
+    stats = np.array([statistics(*x) for x in zip(texts, words.tolist(), distinct.tolist(), again.tolist(), recorded)], np.float64).reshape(-1, STATISTICS)
     return owner, slot, value, stats
 
 
