@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import buckets, capfilter, chat, checks, factor, hamming, huffman, langmix, merkle, ngramjoin, shards, tempering, toxic
+from varve.llm import align, buckets, capfilter, chat, checks, factor, hamming, huffman, langmix, merkle, ngramjoin, shards, tempering, toxic
 from varve.llm.common import table
 from varve.session import checkpointed
 
@@ -103,3 +103,10 @@ def op12_factor_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = factor.fit(*factor.training_examples(docs, table(spark, sf_dir, "labels")))
     scored = factor.score_texts(docs, model, keep=["doc_id"]).select("row.doc_id", "score")
     return scored.select("doc_id", factor.is_held_out().alias("held_out"), "score", (F.col("score") >= factor.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
