@@ -199,16 +199,16 @@ def test_ids_survive_the_files(spark, odd, none, tmp_path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(TOKENIZER)
-    code = huffman.write_tokens(odd, str(tmp_path / "a"), TOKENIZER, 2)
-    got = sorted(huffman.read_tokens(spark, str(tmp_path / "a"), code).collect(), key=lambda r: r.start)
+    huffman.write_tokens(odd, str(tmp_path / "a"), TOKENIZER, 2)
+    got = sorted(huffman.read_tokens(spark, str(tmp_path / "a")).collect(), key=lambda r: r.start)
     rows = sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, zlib.crc32((r.text or "").encode())))
     at = 0
     for r, g in zip(rows, got, strict=True):
         ids = plain.encode(r.text or "", add_special_tokens=False).ids + [2]
         assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
-    code = huffman.write_tokens(none, str(tmp_path / "b"), TOKENIZER, 2)
-    assert huffman.read_tokens(spark, str(tmp_path / "b"), code).collect() == []
+    huffman.write_tokens(none, str(tmp_path / "b"), TOKENIZER, 2)
+    assert huffman.read_tokens(spark, str(tmp_path / "b")).collect() == []
 
 
 @pytest.mark.parametrize("text", ["a\tb\x1cc ́x é", "<|endoftext|> it's 'S x's<|startoftext|>y", "\n\n", "", "ΟΔΥΣΣΕΥΣ Σ", "a  b\x0bc\x85d", "́ \née"])

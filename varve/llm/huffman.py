@@ -1,42 +1,67 @@
 """Token ids in canonical length-limited Huffman code: independent blocks, bit-offset checkpoints, table decoding.
 
-A written corpus is a folder of Parquet files, ``part=N`` in ascending doc_id order. A row is a chunk
-of whole documents: its number in the part, doc_ids, tokens per document, the code bits as big-endian
-32-bit words, and the bit offset of every block of ``BLOCK`` ids, from which blocks decode alone.
+A written corpus is a folder with the code (the length of each id's code and the length limit, one
+row) and ``chunks``, Parquet files ``part=N`` in ascending doc_id order. A row is a chunk of whole
+documents: its number in the part, doc_ids, tokens per document, the code bits as big-endian 32-bit
+words, and the bit offset of every block of ``BLOCK`` ids, from which blocks decode alone.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from varve.llm.memory import Ragged, WordMemory
 from varve.session import checkpoint_dir, checkpointed, ship
 
 BLOCK = 512
 CHUNK = 1 << 18
 MAX_BITS = 16
-CACHED_WORDS = 200_000
-_TEXT_STEP = 1 << 20
+_TEXT_STEP, _TOGETHER = 1 << 20, 500
+# words of these letters only, without the marks that special tokens begin with, and the parts that end a word in them
+_LATIN = re.compile(r"[!-;=-\u024f]+").fullmatch
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
 _CHUNK_ROW = "part int, seq int, doc_ids binary, sizes binary, ids binary"
+_CODE = "lengths binary, limit_bits int"
 _CODE_ROW = "part int, seq int, doc_ids binary, sizes binary, bits binary, offsets binary"
 
 
 # --- tokenizing ---------------------------------------------------------------------------------
 
 
-class WordIds(dict):
-    """Ids of blank-separated words, encoded once each; the key None is the end mark.
+_RUN_OF_MARKS = re.compile(r"[^A-Za-z0-9\sÀ-ÖØ-öø-ÿ][.,] ")
+
+
+def _words(text: str) -> list[str]:
+    """Blank-separated words that together have the text's ids: the tokenizer drops blanks and lower-cases letters, too."""
+    text = text.replace("\n", " ")
+    if "<|" in text:  # special tokens are found in the text as it is
+        return text.split(" ")
+    try:
+        text.encode("latin-1")  # no marks that combine with letters, and lower case by single letters
+        text = text.lower()
+    except UnicodeEncodeError:
+        pass
+    if not _RUN_OF_MARKS.search(text):  # each mark before a blank is a part of its own
+        text = text.replace(". ", " . ").replace(", ", " , ")
+    return text.split(" ")
+
+
+class WordIds(WordMemory):
+    """Ids of blank-separated words, remembered by use; a blank, which no word holds, stands for the end mark.
 
     The tokenizer drops white space, and none of its steps looks across a blank, so the ids of a text
-    are those of its words. The memory is bounded: beyond ``CACHED_WORDS`` words it starts anew.
+    are those of its words.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -44,41 +69,57 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        self._reset()
-
-    def _reset(self) -> None:
-        self.clear()
-        self[None], self.fresh = 0, []
-        self.pool, self.begin, self.size = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
-
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        self.fresh.append(word)
-        return at
+        self.tokenizer, self.end_id, self.ids = Tokenizer.from_file(path), end_id, Ragged(np.uint32)
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(names.values()) + 1, bool)
+        self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, each with its end mark, and the number of ids of each."""
         words, firsts = [], []
         for text in texts:
             firsts.append(len(words))
-            words += (text or "").replace("\n", " ").split(" ")
-            words.append(None)
-        if len(self) > CACHED_WORDS:
-            self._reset()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            words += _words(text or "")
+            words.append(" ")
+        stay = self.forget()
+        if stay is not None:
+            self.ids.kept(stay)
+        at = self.numbers(words)
         if self.fresh:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(self.fresh, add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.pool = np.concatenate([self.pool, np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))])
+            self.ids.append(*self._worked_out(self.fresh))
             self.fresh = []
-        size = self.size[at]
-        ends = np.cumsum(size)
-        ids = self.pool[np.repeat(self.begin[at] - (ends - size), size) + np.arange(ends[-1])]
+        ids, size = self.ids.rows(at)
         return ids, np.add.reduceat(size, firsts)
 
+    def _worked_out(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words and their numbers: Latin ones many in one text, told apart by their ends of word; others one by one."""
+        n = len(words)
+        ends = np.fromiter((len(_PARTS(w.lower())) if _LATIN(w) else 0 for w in words), np.int64, n)
+        size, parts = np.zeros(n, np.int64), []
+        together, apart = np.flatnonzero(ends), []
+        for at in np.array_split(together, -(-len(together) // _TOGETHER)) if len(together) else []:
+            ids = np.array(self._ids([" ".join(map(words.__getitem__, at.tolist()))])[0], np.uint32)
+            closing = np.flatnonzero(self.closes[ids]) + 1
+            if len(closing) != ends[at].sum():  # some word has other parts than foreseen
+                apart += at.tolist()
+                continue
+            cut = closing[np.cumsum(ends[at]) - 1]
+            size[at] = np.diff(cut, prepend=0)
+            parts.append((at, ids))
+        apart = np.sort(np.r_[np.array(apart, np.int64), np.flatnonzero(ends == 0)])
+        if len(apart):
+            found = [[self.end_id] if words[i] == " " else ids for i, ids in zip(apart.tolist(), self._ids(list(map(words.__getitem__, apart.tolist()))))]
+            size[apart] = list(map(len, found))
+            parts.append((apart, np.fromiter((i for ids in found for i in ids), np.uint32, int(size[apart].sum()))))
+        begin, flat = np.cumsum(size) - size, np.zeros(int(size.sum()), np.uint32)
+        for at, ids in parts:
+            own = size[at]
+            flat[np.repeat(begin[at] - (np.cumsum(own) - own), own) + np.arange(len(ids))] = ids
+        return flat, size
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
 
 _encoders: dict[tuple[str, int], WordIds] = {}
 
@@ -234,8 +275,8 @@ def token_counts(chunks: DataFrame, vocabulary: int) -> np.ndarray:
     return counts
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, limit: int = MAX_BITS) -> dict:
-    """Encode whole texts and write them to ``path``; returns what a reader needs besides the files.
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, limit: int = MAX_BITS) -> None:
+    """Encode whole texts and write them to ``path``, with all that a reader needs.
 
     Null and empty texts are the end id alone; rows with equal doc_id are kept, each a document; a
     null doc_id sorts first and is read back as null; no rows write no chunks; other columns are ignored.
@@ -261,15 +302,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, l
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.int32(), *[pa.binary()] * 4))], ["part", "seq", "doc_ids", "sizes", "bits", "offsets"])
 
     coded = chunks.mapInArrow(run, _CODE_ROW).sortWithinPartitions("part", "seq")
-    coded.write.partitionBy("part").option("compression", "uncompressed").parquet(path)
-    return {"lengths": packed_lengths, "limit": limit}
+    coded.write.partitionBy("part").option("compression", "uncompressed").parquet(f"{path}/chunks")
+    docs.sparkSession.createDataFrame([(bytearray(packed_lengths), limit)], _CODE).coalesce(1).write.parquet(f"{path}/code")
 
 
-def read_tokens(spark: SparkSession, path: str, code: dict) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files' decoded ids."""
     ship(spark)
-    stored = spark.read.schema("seq int, doc_ids binary, sizes binary, bits binary, offsets binary, part int").parquet(path)
-    packed_lengths, limit = code["lengths"], code["limit"]
+    stored = spark.read.schema("seq int, doc_ids binary, sizes binary, bits binary, offsets binary, part int").parquet(f"{path}/chunks")
+    code = spark.read.schema(_CODE).parquet(f"{path}/code").first()  # one row, a byte for each id of the vocabulary before compression
+    packed_lengths, limit = bytes(code.lengths), code.limit_bits
 
     def run(batches):
         table = decode_table(np.frombuffer(zlib.decompress(packed_lengths), np.uint8), limit)

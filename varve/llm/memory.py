@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-REMEMBERED, LONG = 150_000, 256
+REMEMBERED, LONG = 200_000, 256
 
 
 class Ragged:

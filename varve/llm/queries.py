@@ -51,8 +51,8 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = huffman.scratch_path(spark)
-    code = huffman.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return huffman.read_tokens(spark, path, code)
+    huffman.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return huffman.read_tokens(spark, path)
 
 
 @query
