@@ -211,13 +211,21 @@ def test_ids_survive_the_files(spark, odd, none, tmp_path):
     assert huffman.read_tokens(spark, str(tmp_path / "b")).collect() == []
 
 
-@pytest.mark.parametrize("text", ["a\tb\x1cc ́x é", "<|endoftext|> it's 'S x's<|startoftext|>y", "\n\n", "", "ΟΔΥΣΣΕΥΣ Σ", "a  b\x0bc\x85d", "́ \née"])
+@pytest.mark.parametrize("text", ["a\tb\x1cc ́x é", "<|endoftext|> it's 'S x's<|startoftext|>y", "\n\n", "", "ΟΔΥΣΣΕΥΣ Σ", "a  b\x0bc\x85d", "́ \née", "H̱ İ Σ. ΣΑΣ.", "Wait?. Yes., »No. 3. 4, e.g. a.b, X.", "_. a_, <|START. b", "ß. Ünï, œ. x", "Don'T. 'Ll, 've."])
 def test_words_encode_like_whole_texts(text):
     from tokenizers import Tokenizer
 
     assert huffman.WordIds(TOKENIZER, 2).encode([text])[0].tolist()[:-1] == Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aB .,'s?é̀İΣœ3_\n<|»", max_size=30))
+def test_any_words_encode_like_whole_texts(text):
+    own = test_any_words_encode_like_whole_texts.__dict__
+    own.setdefault("words", huffman.WordIds(TOKENIZER, 2))
+    assert own["words"].encode([text])[0].tolist()[:-1] == own["words"].tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 40), min_size=1, max_size=3000), st.integers(6, 12))
 def test_code_is_optimal_and_decodes(ids, limit):

@@ -62,21 +62,28 @@ def list_decode(unit: np.ndarray, code: list[np.ndarray], height: float = HEIGHT
     return np.concatenate(rows), np.concatenate(filters)
 
 
-def _decoded(vectors: DataFrame, dim: int) -> DataFrame:
-    """Distinct vectors with their sorted filters."""
+def _units(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of one length at norm 1; scaled by their largest component first, so that no square is lost."""
+    x = np.stack(vectors).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _decoded(vectors: DataFrame) -> DataFrame:
+    """Distinct vectors with their sorted filters; each length has a product code and filters of its own."""
     names = vectors.columns
 
     def run(batches):
-        code = product_code(dim)
+        codes: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack(batch["vec"].to_numpy()).astype(np.float64)
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            row, name = list_decode(unit, code)
-            order = np.lexsort((name, row))
-            split = np.split(name[order], np.cumsum(np.bincount(row, minlength=len(x)))[:-1])
-            yield batch.assign(filters=split)
+            length = batch["vec"].map(len)
+            for dim in np.unique(length):
+                own = batch[length == dim]
+                unit = _units(own["vec"].to_numpy())
+                row, name = list_decode(unit, codes.setdefault(int(dim), product_code(int(dim))))
+                order = np.lexsort((name, row))
+                split = np.split(name[order] + int(dim) * CODE**BLOCKS, np.cumsum(np.bincount(row, minlength=len(unit)))[:-1])
+                yield own.assign(filters=split)
 
     return vectors.mapInPandas(run, ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in names) + ", filters array<bigint>")
 
@@ -113,8 +120,7 @@ def _compare(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = int(pdf["left"].iloc[0]), int(pdf["right"].iloc[0])
         pdf = pdf.sort_values(["filter", "node"], kind="stable")
-        x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _units(pdf["vec"].to_numpy())
         name, node, weight, chunk, filters = (pdf[c].to_numpy() for c in ("filter", "node", "copies", "chunk", "filters"))
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(name)) + 1, [len(name)]])
         told = []
@@ -158,15 +164,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ship(vectors.sparkSession)
     vec = F.col("embedding")
     bad = F.exists(vec, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    norm = F.aggregate(vec.cast("array<double>"), F.lit(0.0), lambda s, v: s + v * v)
-    usable = F.coalesce(F.col("vec_id").isNotNull() & ~bad & (norm > 0) & (norm < float("inf")), F.lit(False))
+    usable = F.coalesce(F.col("vec_id").isNotNull() & ~bad & F.exists(vec, lambda v: v != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable, vec).alias("vec"))
-    lengths = rows.filter("vec is not null").groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    if lengths is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = lengths["d"]
-    distinct = rows.filter(F.size("vec") == dim).groupBy("vec").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    decoded = checkpointed(_decoded(distinct.select("node", "copies", "vec").withColumn("h", hash32("node")), dim))
+    distinct = rows.filter("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    decoded = checkpointed(_decoded(distinct.select("node", "copies", "vec").withColumn("h", hash32("node"))))
     entries = decoded.select("node", "h", F.explode("filters").alias("filter"))
     sizes = entries.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("filter", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     placed = decoded.withColumn("filter", F.explode("filters")).join(sizes, "filter").withColumn("chunk", F.floor(F.col("h") * F.col("chunks") / F.lit(HASH_RANGE)).cast("int"))
@@ -178,6 +179,6 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     per_vector = distinct.join(links, "node", "left").join(groups, "node", "left").select("vec", "node", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
-    placed_rows = rows.filter(F.size("vec") == dim).join(per_vector, "vec").select("vec_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("component").alias("component_id"))
-    lone = rows.filter(F.col("vec").isNull() | (F.size("vec") != dim)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    placed_rows = rows.filter("vec is not null").join(per_vector, "vec").select("vec_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("component").alias("component_id"))
+    lone = rows.filter("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return placed_rows.unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -32,6 +32,8 @@ _NO_LETTERS = re.compile(r"[\W\d_]+")
 def plain(text: str | None) -> str:
     """Lower-case words with single blanks around them; empty if there is no letter."""
     words = _NO_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    if words and not words.replace(" ", "").isalpha():  # numerals that are neither digits nor letters
+        words = " ".join("".join(c if c.isalpha() else " " for c in words).split())
     return f" {words} " if words else ""
 
 

@@ -23,17 +23,17 @@ from varve.session import ship
 
 TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 1000, 2000, 10_000
 KNOWN_TEXTS, DROPOUT = 3, 0.7
-WINDOW, STRIDE = 32, 1  # every window of a text is read
+WINDOW, STRIDE = 16, 1  # every window of a text is read
 THRESHOLD = 0.7  # fixed by the contract
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 WORD_SLOTS, CHAR_SLOTS = 1 << 14, 1 << 12
 CACHED_WORDS = 200_000
-_GRAMS, _LANES, _TEXT_STEP = 10, 4096, 1 << 20
-_WORD = re.compile(r"[^\W\d_]+")
+_GRAMS, _LANES, _TEXT_STEP = 20, 4096, 1 << 20
+_WORD = re.compile(rf"[^\W\d_]{{1,{_GRAMS}}}")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
+    """Runs of letters, lower-cased; one of more than _GRAMS letters is several words, so that all its letters are read."""
     return _WORD.findall(text.lower()) if text else []
 
 
@@ -43,14 +43,13 @@ def window_starts(n: int) -> np.ndarray:
 
 
 def word_grams(words: list[str]) -> np.ndarray:
-    """Slots of up to _GRAMS spread character trigrams of each word with its borders (-1: none)."""
+    """Slots of all character trigrams of each word of up to _GRAMS letters with its borders (-1: none)."""
     size = np.fromiter(map(len, words), np.int64, len(words))  # a word of n letters has n trigrams
     raw = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), "<u4").astype(np.int64)
     begin = np.cumsum(size + 2) - (size + 2)
     k = np.arange(_GRAMS)
-    spread = np.where(size[:, None] > _GRAMS, k * (size[:, None] - 1) // (_GRAMS - 1), k)
     there = k < size[:, None]
-    at = np.where(there, begin[:, None] + spread, 0)
+    at = np.where(there, begin[:, None] + k, 0)
     code = raw[at] * 961 + raw[at + 1] * 31 + raw[at + 2] if len(raw) else at
     return np.where(there, code * 2654435761 % (1 << 32) * CHAR_SLOTS >> 32, -1)
 
@@ -360,7 +359,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, toxic_bound: int = TOXIC
     """Texts and labels of at most about the bounds' numbers of labelled documents that are not held out, chosen by hash.
 
     Texts over SAMPLE_CHARS characters do not teach (all are scored). Of several labels of a document
-    the highest counts; a null label is none.
+    the highest counts, of several texts the least; a null label is none.
     """
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     bound = {1: toxic_bound, 0: clean_bound}
@@ -368,8 +367,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, toxic_bound: int = TOXIC
     ranges = {k: int((1 << 32) * min(1.0, bound[k] / n)) for k, n in have.items()}
     chosen = usable.filter(_any([(F.col("toxic") == k) & (hash32(F.lit("toxic"), F.col("doc_id")) < v) for k, v in ranges.items()]))
     # the chosen ids number toxic_bound + clean_bound about at most, so they may be broadcast
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    got = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).toPandas().sort_values("doc_id")
+    rows = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    got = rows.toPandas().sort_values("doc_id")
     return got["text"].tolist(), got["toxic"].to_numpy(dtype=np.int64)
 
 
