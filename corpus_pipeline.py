@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varve.llm import buckets, langmix, ngramjoin, tempering, toxic
 from varve.llm.common import table
+from varve.llm.merkle import numbered
 from varve.session import checkpointed
 
 REPEAT_LIMIT = 1.25
@@ -24,16 +25,21 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group that n-gram links connect: the least doc_id, and one of its rows if it is repeated.
+    """One row of each group that n-gram links connect: that of the least key. Rows without words are in no group and stay.
 
-    Rows with a null doc_id or without words are in no group and stay.
+    A row's key is its doc_id; rows whose doc_id is null, negative or repeated, which name no row, have
+    negative keys of their own, numbered in order of doc_id and text.
     """
-    linked = ngramjoin.link_documents(docs.select("doc_id", "text"))
-    gone = linked.filter("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = checkpointed(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id"))
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    repeated = checkpointed(docs.filter("doc_id >= 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    named = rows.filter("doc_id >= 0").join(repeated, "doc_id", "left_anti").withColumn("key", F.col("doc_id"))
+    others = rows.filter("doc_id is null or doc_id < 0").unionByName(rows.join(repeated, "doc_id", "left_semi"))
+    spread = F.monotonically_increasing_id()  # so that a row repeated without end is not one task
+    others = numbered(checkpointed(others.withColumn("tree", F.lit("")).withColumn("spread", spread)), ["doc_id", "text", "spread"]).withColumn("key", F.col("pos") - F.col("n"))
+    keyed = named.select("key", "text", "row").unionByName(others.select("key", "text", "row"))
+    linked = ngramjoin.link_documents(keyed.select(F.col("key").alias("doc_id"), "text"))
+    gone = linked.filter("component_id < doc_id").select(F.col("doc_id").alias("key"))
+    return keyed.join(gone, "key", "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
