@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varve.operators import conformal
 from varve.session import checkpointed
 
 ENDPOINTS = (0.05, 0.95)
@@ -264,6 +263,54 @@ STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001, 1.5, 3.0, 8.0)
 LEVELS = tuple(0.1 * 0.25**k for k in range(9))
 
 
+def settle(sums, n_rep: int, tasks: Sequence[tuple[dict, float]], p: int, ym: np.ndarray, ys: np.ndarray, max_rounds: int = 400, gap: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (replicates, tasks, p + 1) and objectives; ``sums(size, part)`` averages ``part(rep, design, y)`` over the rows of each replicate."""
+    n_task, q = len(tasks), p + 1
+    tau_of, lam = np.array([tau for _, tau in tasks]), np.array([g["alpha"] for g, _ in tasks])
+    coef = np.zeros((n_rep, n_task, q))
+    coef[..., 0] = ym[:, None]
+
+    def curvature(coefs: np.ndarray, level: float):
+        def part(r: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            eps = level * ys[r]
+            res = y[:, None] - x @ coefs[r].T
+            soft = np.sqrt(res * res + eps * eps)
+            slope = tau_of - 0.5 + res / (2 * soft)
+            # Newton's weight, with a little of the weight that surely descends where few residuals are near zero
+            w = eps * eps / (2 * soft**3) + 0.02 / (2 * soft)
+            return np.stack([np.concatenate([(x.T @ (x * w[:, [t]])).ravel(), x.T @ slope[:, t]]) for t in range(n_task)])
+
+        return part
+
+    def losses(trials: np.ndarray, level: float):
+        def part(r: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            eps = level * ys[r]
+            res = y[:, None, None] - np.einsum("np,tsp->nts", x, trials[r])
+            return ((tau_of - 0.5)[:, None] * res + 0.5 * np.sqrt(res * res + eps * eps)).sum(axis=0)
+
+        return part
+
+    lengths, rounds = np.array((0.0, *STEPS)), 0
+    for level in LEVELS:
+        open_models = np.ones((n_rep, n_task), bool)
+        while open_models.any():
+            if rounds == max_rounds:
+                raise RuntimeError(f"{int(open_models.sum())} linear models did not settle in {max_rounds} rounds")
+            rounds += 1
+            acc = sums(q * q + q, curvature(coef, level))
+            hess = acc[..., : q * q].reshape(-1, q, q)
+            flat = coef.reshape(-1, q)
+            target = (np.einsum("mij,mj->mi", hess, flat) + acc[..., q * q :].reshape(-1, q)) / 2
+            step = _soft_descent(hess / 2, target, np.tile(lam, n_rep), flat).reshape(n_rep, n_task, q) - coef
+            trials = coef[:, :, None] + lengths[:, None] * step[:, :, None]
+            objective = sums(len(lengths), losses(trials, level)) + lam[:, None] * np.abs(trials[..., 1:]).sum(-1)
+            pick = objective.argmin(axis=-1)
+            lowest = np.take_along_axis(objective, pick[..., None], -1)[..., 0]
+            open_models = objective[..., 0] - lowest > (gap if level == LEVELS[-1] else 100 * gap) * np.maximum(np.abs(objective[..., 0]), 1e-12)
+            coef = np.take_along_axis(trials, pick[..., None, None], 2)[:, :, 0]
+    return coef, lowest
+
+
 def fit_linear(rows: DataFrame, grid: Sequence[dict], taus: Sequence[float] = ENDPOINTS, features: str = "full", max_rounds: int = 400, gap: float = 1e-6) -> Linear:
     """L1-penalised linear quantile regression: mean pinball loss + alpha * |coefficients|_1.
 
@@ -277,8 +324,6 @@ def fit_linear(rows: DataFrame, grid: Sequence[dict], taus: Sequence[float] = EN
     rows, reps = _replicates(rows)
     tasks = [(g, tau) for g in grid for tau in taus]
     n_rep, n_task = len(reps), len(tasks)
-    tau_of = np.array([tau for _, tau in tasks])
-    lam = np.array([g["alpha"] for g, _ in tasks])
     rows = checkpointed(rows.select("_rep", "y", F.col(features).alias("x")))
     p = len(rows.select("x").first()[0])
     moments = rows.select("_rep", "y", F.posexplode("x").alias("k", "v")).groupBy("_rep", "k").agg(
@@ -288,9 +333,6 @@ def fit_linear(rows: DataFrame, grid: Sequence[dict], taus: Sequence[float] = EN
         mean[r["_rep"], r["k"]] = r["m"]
         sd[r["_rep"], r["k"]] = r["s"] if r["s"] > 0 else 1.0
         n_of[r["_rep"]], ys[r["_rep"]], ym[r["_rep"]] = r["n"], max(r["ys"], 1e-12), r["ym"]
-    q = p + 1
-    coef = np.zeros((n_rep, n_task, q))
-    coef[..., 0] = ym[:, None]
 
     def sums(size: int, part) -> np.ndarray:
         """Add up ``part(rep, x, y)`` (tasks x size numbers) over all rows, first within each task."""
@@ -311,44 +353,7 @@ def fit_linear(rows: DataFrame, grid: Sequence[dict], taus: Sequence[float] = EN
         out[total["rt"], total["i"]] = total["v"]
         return out.reshape(n_rep, n_task, size) / n_of[:, None, None]
 
-    def curvature(coefs: np.ndarray, level: float):
-        def part(r: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            eps = level * ys[r]
-            res = y[:, None] - x @ coefs[r].T
-            soft = np.sqrt(res * res + eps * eps)
-            slope = tau_of - 0.5 + res / (2 * soft)
-            # Newton's weight, with a little of the weight that surely descends where few residuals are near zero
-            w = eps * eps / (2 * soft**3) + 0.02 / (2 * soft)
-            return np.stack([np.concatenate([(x.T @ (x * w[:, [t]])).ravel(), x.T @ slope[:, t]]) for t in range(n_task)])
-
-        return part
-
-    def losses(trials: np.ndarray, level: float):
-        def part(r: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            eps = level * ys[r]
-            res = y[:, None, None] - np.einsum("np,tsp->nts", x, trials[r])
-            return ((tau_of - 0.5)[:, None] * res + 0.5 * np.sqrt(res * res + eps * eps)).sum(axis=0)
-
-        return part
-
-    lengths, rounds = np.array((0.0, *STEPS)), 0
-    for level in LEVELS:
-        open_models = np.ones((n_rep, n_task), bool)
-        while open_models.any():
-            if rounds == max_rounds:
-                raise RuntimeError(f"{int(open_models.sum())} linear models did not settle in {max_rounds} rounds")
-            rounds += 1
-            acc = sums(q * q + q, curvature(coef, level))
-            hess = acc[..., : q * q].reshape(-1, q, q)
-            flat = coef.reshape(-1, q)
-            target = (np.einsum("mij,mj->mi", hess, flat) + acc[..., q * q :].reshape(-1, q)) / 2
-            step = _soft_descent(hess / 2, target, np.tile(lam, n_rep), flat).reshape(n_rep, n_task, q) - coef
-            trials = coef[:, :, None] + lengths[:, None] * step[:, :, None]
-            objective = sums(len(lengths), losses(trials, level)) + lam[:, None] * np.abs(trials[..., 1:]).sum(-1)
-            pick = objective.argmin(axis=-1)
-            lowest = np.take_along_axis(objective, pick[..., None], -1)[..., 0]
-            open_models = objective[..., 0] - lowest > (gap if level == LEVELS[-1] else 100 * gap) * np.maximum(np.abs(objective[..., 0]), 1e-12)
-            coef = np.take_along_axis(trials, pick[..., None, None], 2)[:, :, 0]
+    coef, lowest = settle(sums, n_rep, tasks, p, ym, ys, max_rounds, gap)
     return Linear(grid, taus, reps, mean, sd, coef, lowest)
 
 
@@ -381,48 +386,3 @@ def fit_predict(train: DataFrame, test: DataFrame, grid: Sequence[dict], taus: S
     if linear:
         parts.append(predict_linear(test, fit_linear(train, linear, taus)))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def endpoints(predictions: DataFrame, taus: Sequence[float] = ENDPOINTS) -> DataFrame:
-    """Ordered lower and upper endpoint per row and candidate; rows repeated in a replicate stay repeated."""
-    low, high = taus
-    keys = [c for c in ("replicate", "entity_id", "role", "y", "candidate_id") if c in predictions.columns]
-    g = predictions.groupBy(*keys).agg(
-        F.count_if(F.col("tau") == low).alias("copies"),
-        F.max(F.when(F.col("tau") == low, F.col("prediction"))).alias("lower"), F.max(F.when(F.col("tau") == high, F.col("prediction"))).alias("upper"))
-    return conformal.ordered_endpoints(g)
-
-
-def _by_id(candidate_id: str) -> dict:
-    return next(g for g in conformal.grid_rows() if g["candidate_id"] == candidate_id)
-
-
-def select_on_tuning(rows: DataFrame, trees: int | None = None) -> dict:
-    """The selected candidate: fit on the fit role, score on the tuning role, apply the tie rule."""
-    pred = endpoints(fit_predict(rows.filter("role = 'fit'"), rows.filter("role = 'tune'"), conformal.grid_rows(), trees=trees))
-    scores = conformal.candidate_scores(pred, conformal.candidate_grid(rows.sparkSession))
-    return _by_id(conformal.select_candidate(scores).first()["candidate_id"])
-
-
-def bootstrap_pipeline(rows: DataFrame, multiplicities: DataFrame, trees: int | None = None) -> DataFrame:
-    """Reselect, refit and calibrate for every replicate in shared jobs.
-
-    A replicate whose stage is empty keeps its row with status ``failed``. Both the number of
-    calibration rows and of distinct calibration entities are reported.
-    """
-    expanded = multiplicities.join(rows.drop("role"), "entity_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("multiplicity").cast("int")))).drop("_copy", "multiplicity")
-    expanded = checkpointed(expanded.withColumn("replicate", F.col("replicate").cast("int")))
-    tune = endpoints(fit_predict(expanded.filter("role = 'fit'"), expanded.filter("role = 'tune'"), conformal.grid_rows(), trees=trees))
-    repeated = tune.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    scores = conformal.candidate_scores(repeated, conformal.candidate_grid(rows.sparkSession), by=["replicate"])
-    chosen = checkpointed(conformal.select_candidate(scores, ["replicate"]))
-    used = [_by_id(r[0]) for r in chosen.select("candidate_id").distinct().collect()]
-    refit = fit_predict(expanded.filter("role <> 'calibration'"), expanded.filter("role = 'calibration'"), used, trees=trees)
-    cal = endpoints(refit).join(F.broadcast(chosen.select("replicate", "candidate_id")), ["replicate", "candidate_id"])
-    scored = cal.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).withColumn("score", conformal.nonconformity(F.col("y"), F.col("lower"), F.col("upper")))
-    scored = checkpointed(scored)
-    q = conformal.corrections(scored, ["replicate"]).select("replicate", "correction")
-    sizes = scored.groupBy("replicate").agg(F.count(F.lit(1)).alias("n_calibration_rows"), F.count_distinct("entity_id").alias("n_calibration_distinct"))
-    everyone = multiplicities.select(F.col("replicate").cast("int").alias("replicate")).distinct()
-    j = everyone.join(chosen.select("replicate", "candidate_id"), "replicate", "left").join(sizes, "replicate", "left").join(q, "replicate", "left")
-    return j.withColumn("status", F.when(F.col("correction").isNotNull(), "completed").otherwise("failed"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varve.operators import assign, conformal, features, quantreg
+from varve.operators import assign, conformal, features, quantreg, replicates
 from varve.operators.quality import identical_tables
 from varve.plans import base
 from varve.plans.base import SEED
@@ -226,16 +226,17 @@ def learning_rows(spark, sf, fit_roles=("fit",)):
     ))
 
 
-TREES = 12
+def single(rows):
+    """Rows as the one replicate of themselves."""
+    return rows.withColumns({"replicate": F.lit(0), "multiplicity": F.lit(1).cast("long")})
 
 
 @query("cqr2_boosted_quantiles")
 def cqr2(spark, sf):
-    """All eight boosted candidates at both endpoint levels, scored on the tuning suppliers."""
-    rows = learning_rows(spark, sf)
+    """All eight boosted candidates of 200 trees at both endpoint levels, scored on the tuning suppliers."""
+    rows = single(learning_rows(spark, sf))
     grid = [g for g in conformal.grid_rows() if g["family"] == "boosted"]
-    model = quantreg.fit_boosted(rows.filter("role = 'fit'"), grid, (0.05, 0.95), trees=TREES)
-    pred = quantreg.predict_boosted(rows.filter("role = 'tune'"), model)
+    pred = replicates.fit_predict_groups(rows.filter("role = 'fit'"), rows.filter("role = 'tune'"), grid)
     return pred.groupBy("candidate_id", "tau").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(quantreg.pinball(F.col("y"), F.col("prediction"), F.col("tau"))), 4, "pinball"))
 
 
@@ -251,21 +252,79 @@ def cqr3(spark, sf):
 @query("cqr5_median_model")
 def cqr5(spark, sf):
     """Select on the tuning role with features of the fit role alone, then rebuild them on fit + tune and refit the chosen candidate's median."""
-    chosen = quantreg.select_on_tuning(learning_rows(spark, sf), trees=TREES)
-    rows = learning_rows(spark, sf, ("fit", "tune"))
-    refit = rows.filter("role <> 'calibration'")
-    pred = quantreg.fit_predict(refit, rows.filter("role = 'calibration'"), [chosen], (0.5,), trees=TREES)
+    rows = single(learning_rows(spark, sf))
+    tuned = replicates.intervals(replicates.fit_predict_groups(rows.filter("role = 'fit'"), rows.filter("role = 'tune'"), conformal.grid_rows()))
+    best = conformal.select_candidate(conformal.candidate_scores(tuned, conformal.candidate_grid(spark))).first()  # one row
+    chosen = [g for g in conformal.grid_rows() if g["candidate_id"] == best["candidate_id"]]
+    rows = single(learning_rows(spark, sf, ("fit", "tune")))
+    pred = replicates.fit_predict_groups(rows.filter("role <> 'calibration'"), rows.filter("role = 'calibration'"), chosen, (0.5,))
     return pred.select("entity_id", "candidate_id", rnd("prediction", 3), (F.col("prediction") < 0).alias("negative_median"))
 
 
+# Fixed value: the number of planned perturbation replicates.
+REPLICATES = 8
+cte("s_rost", "SELECT role, entity_id, eligible, row_number() OVER (PARTITION BY role ORDER BY entity_id) AS slot, count(*) OVER (PARTITION BY role) AS n_role FROM s_ent")
+cte(
+    "s_boot",
+    f"SELECT d.replicate, d.role, r.entity_id, r.eligible FROM (SELECT replicate, role, 1 + {digest_mod('h', 'n_role')} AS pick FROM "
+    f"(SELECT *, sha256('{SEED}|' || replicate || '|' || role || '|' || slot) AS h FROM s_rost, range(1, {REPLICATES + 1}) g(replicate))) d JOIN s_rost r ON r.role = d.role AND r.slot = d.pick",
+)
+cte("s_mult", "SELECT replicate, role, entity_id, eligible, count(*) AS m FROM s_boot GROUP BY ALL")
+cte("s_least", "SELECT * FROM (VALUES ('calibration', 9), ('fit', 20), ('tune', 5)) v(role, least)")
+cte(
+    "s_gate",
+    "SELECT r.replicate, l.role, coalesce(sum(m), 0)::BIGINT AS draws, coalesce(sum(m) FILTER (WHERE eligible), 0)::BIGINT AS eligible_draws, "
+    f"count(*) FILTER (WHERE eligible) < any_value(l.least) AS failing FROM range(1, {REPLICATES + 1}) r(replicate) CROSS JOIN s_least l LEFT JOIN s_mult s ON s.replicate = r.replicate AND s.role = l.role GROUP BY 1, 2",
+)
+
+
+def stage_draws(spark, sf):
+    """(entities, multiplicities) of REPLICATES draws from whole rosters, eligible or not."""
+    entities = checkpointed(base.ship_entities(spark, sf))
+    return entities, checkpointed(assign.stage_multiplicities(assign.bootstrap_draws(assign.role_rosters(entities), REPLICATES, SEED)))
+
+
+@query(
+    "cqr13_stage_gates",
+    build("SELECT replicate, sum(draws)::BIGINT AS draws, sum(eligible_draws)::BIGINT AS eligible_draws, coalesce(string_agg(CASE WHEN failing THEN role END, ',' ORDER BY role), '') AS failing, "
+          "CASE WHEN bool_or(failing) THEN 'FAIL' ELSE 'PASS' END AS status FROM s_gate GROUP BY 1 HAVING sum(draws) > 0"),
+)
+def cqr13_gates(spark, sf):
+    entities, mult = stage_draws(spark, sf)
+    out = replicates.stage_gates(mult, entities)
+    return out.select("replicate", "draws", "eligible_draws", F.array_join(F.array_sort("failing_stages"), ",").alias("failing"), "status")
+
+
+_PAIRS = [(a, b) for i, a in enumerate(base.CHANNELS) for b in base.CHANNELS[i:]]
+cte("s_use", "SELECT s.replicate, g.stage, s.entity_id, s.m FROM s_mult s, (VALUES ('select', 'fit'), ('refit', 'fit'), ('refit', 'tune')) g(stage, role) WHERE s.role = g.role AND s.eligible")
+cte("s_wrow", "SELECT u.replicate, u.stage, u.m / (sum(u.m) FILTER (WHERE p.cycle = 1) OVER (PARTITION BY u.replicate, u.stage) * p.cutoff) AS w, p.* FROM s_use u JOIN s_prefix p USING (entity_id)")
+cte("s_mean", "SELECT replicate, stage, " + ", ".join(f"sum(w * {c}) AS m_{c}" for c in base.CHANNELS) + " FROM s_wrow GROUP BY 1, 2")
+cte("s_cov", "SELECT replicate, stage, " + ", ".join(f"sum(w * ({a} - m_{a}) * ({b} - m_{b})) AS v_{a}_{b}" for a, b in _PAIRS) + " FROM s_wrow JOIN s_mean USING (replicate, stage) GROUP BY 1, 2")
+
+
+@query(
+    "cqr13_stage_preprocessors",
+    build("SELECT replicate, stage, " + ", ".join(f"round(m_{c}, 5) AS mean_{c}, round(sqrt(v_{c}_{c}), 5) AS sd_{c}" for c in base.CHANNELS) + ", "
+          + ", ".join(f"round(v_{a}_{b} / sqrt(v_{a}_{a} * v_{b}_{b}), 8) AS corr_{a}_{b}" for a, b in _PAIRS if a != b) + " FROM s_mean JOIN s_cov USING (replicate, stage)"),
+)
+def cqr13_preprocessors(spark, sf):
+    """Weighted means, deviations and correlations that each replicate's selection and refit stages standardise by."""
+    entities, mult = stage_draws(spark, sf)
+    eligible = mult.join(entities.filter("eligible").select("entity_id"), "entity_id")
+    m = replicates.stage_moments(replicates.entity_moments(base.ship_prefix(spark, sf), base.CHANNELS), eligible, base.CHANNELS)
+    sd = {c: F.sqrt(f"cov_{c}_{c}") for c in base.CHANNELS}
+    return m.select(
+        "replicate", "stage", *[rnd(f"mean_{c}", 5, f"mean_{c}") for c in base.CHANNELS], *[rnd(sd[c], 5, f"sd_{c}") for c in base.CHANNELS],
+        *[rnd(F.col(f"cov_{a}_{b}") / (sd[a] * sd[b]), 8, f"corr_{a}_{b}") for a, b in _PAIRS if a != b],
+    )
+
+
 @query("cqr13_bootstrap_reselection")
 def cqr13(spark, sf):
-    """Reselect, refit and calibrate for bootstrap replicates, all in the same jobs."""
-    rows = learning_rows(spark, sf)
-    rosters = assign.role_rosters(rows)
-    mult = assign.stage_multiplicities(assign.bootstrap_draws(rosters, 3, SEED))
-    out = quantreg.bootstrap_pipeline(rows, mult, trees=4)
-    return out.select("replicate", "status", "candidate_id", "n_calibration_rows", "n_calibration_distinct", rnd("correction", 3))
+    """Reselect, refit and calibrate every planned replicate: whole-roster draws, stage minimums, preprocessors of its own, 200 trees."""
+    entities, mult = stage_draws(spark, sf)
+    out = replicates.bootstrap(checkpointed(base.ship_prefix(spark, sf)), entities, mult, base.CHANNELS, base.WINDOW)
+    return out.select("replicate", "status", "draws", "eligible_draws", "candidate_id", "n_calibration_rows", "n_calibration_distinct", rnd("correction", 3))
 
 
 @query(
