@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.functions.special import t_ppf
+from varve.session import ship
 
 SD_FLOOR = 1e-8
 ROW_SPACE_TOLERANCE = 1e-8
@@ -77,6 +78,7 @@ def principal_component(moments: DataFrame, channels: Sequence[str], by: Sequenc
 
     Channels whose weighted SD is at most 1e-8 drop out; the largest absolute loading is positive.
     """
+    ship(moments.sparkSession)
     k = len(channels)
     name = lambda i, j: f"cov_{channels[min(i, j)]}_{channels[max(i, j)]}"
     flat = F.array(*[F.col(name(i, j)) for i in range(k) for j in range(k)])

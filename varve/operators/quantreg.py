@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varve.session import checkpointed
+from varve.session import checkpointed, ship
 
 ENDPOINTS = (0.05, 0.95)
 BINS = 64
@@ -85,6 +85,7 @@ def fit_boosted(rows: DataFrame, grid: Sequence[dict], taus: Sequence[float] = E
     are applied on the fly and folded into the written score table every ``refresh`` rounds.
     """
     grid, taus = list(grid), tuple(float(t) for t in taus)
+    ship(rows.sparkSession)
     rows, reps = _replicates(rows)
     tasks = [(g, tau) for g in grid for tau in taus]
     n_rep, n_task = len(reps), len(tasks)
@@ -321,6 +322,7 @@ def fit_linear(rows: DataFrame, grid: Sequence[dict], taus: Sequence[float] = EN
     last level is done are an error.
     """
     grid, taus = list(grid), tuple(float(t) for t in taus)
+    ship(rows.sparkSession)
     rows, reps = _replicates(rows)
     tasks = [(g, tau) for g in grid for tau in taus]
     n_rep, n_task = len(reps), len(tasks)

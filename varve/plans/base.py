@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from varve.functions.hashing import digest, hex_chunk
 from varve.operators import assign, features
 from varve.operators.ordering import dense_index
-from varve.session import checkpointed
+from varve.session import checkpointed, ship
 
 SEED = "varve-1"
 SHIP_CELLS, SHIP_ORDER = ["day", "block"], ["l_orderkey", "l_linenumber"]
@@ -21,7 +21,8 @@ WINDOW = 30
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; every registered query passes here, so the package is sent to the Python workers here, too."""
+    return ship(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 def shipments(spark: SparkSession, sf: str) -> DataFrame:
