@@ -51,7 +51,7 @@ def word_grams(words: list[str]) -> np.ndarray:
     there = k < size[:, None]
     at = np.where(there, begin[:, None] + k, 0)
     code = raw[at] * 961 + raw[at + 1] * 31 + raw[at + 2] if len(raw) else at
-    return np.where(there, code * 2654435761 % (1 << 32) * CHAR_SLOTS >> 32, -1)
+    return np.where(there, code * 2654435761 % (1 << 32) * CHAR_SLOTS >> 32, -1).astype(np.int16)
 
 
 def leaning(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -187,6 +187,13 @@ def projected(net: dict, inputs: np.ndarray) -> np.ndarray:
     return np.concatenate([inputs @ net["wxf"] + net["bxf"], inputs @ net["wxb"] + net["bxb"]], axis=-1).astype(np.float32)
 
 
+def projected_words(net: dict, slots: np.ndarray, grams: np.ndarray, lean: np.ndarray, step: int = 8192) -> np.ndarray:
+    """Both projections of each word of a vocabulary; trigram vectors are gathered for ``step`` words at a time."""
+    cuts = [slice(a, a + step) for a in range(0, len(slots), step)]
+    parts = [projected(net, word_inputs(net, slots[c], grams[c], lean[c].astype(np.float32))) for c in cuts]
+    return np.concatenate([np.zeros((0, 6 * HIDDEN), np.float32), *parts])
+
+
 def _gru_gradient(kept, u, dstates, order):
     """Back through time: gradients of the projected inputs by step, and of u."""
     h, du = HIDDEN, np.zeros_like(u)
@@ -245,11 +252,10 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 4, s
     """Train on whole labelled texts. A toxic text teaches by its worst window only, which the network picks anew each round;
     clean texts teach by their worst windows and by windows at random."""
     rng = np.random.default_rng(seed)
-    docs = [words_of(t) for t in texts]
-    keep = [i for i, d in enumerate(docs) if d]
-    docs, toxic = [docs[i] for i in keep], np.asarray(toxic, bool)[keep]
     vocabulary: dict[str, int] = {}
-    ids = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in d), np.int64, len(d)) for d in docs]
+    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
+    keep = [i for i, d in enumerate(ids) if len(d)]
+    ids, toxic = [ids[i] for i in keep], np.asarray(toxic, bool)[keep]
     count = np.zeros((2, max(1, len(vocabulary))), np.int64)
     for d, t in zip(ids, toxic):
         count[int(t), np.unique(d)] += 1
@@ -297,8 +303,8 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 4, s
                     net[k] *= 1 - 0.1 * rate
         if r < rounds - 1:
             # rows of toxic texts' words, then those of clean ones: their leanings differ
-            inputs = np.concatenate([word_inputs(net, slots, grams, side.astype(np.float32)) for side in held])
-            score = score_windows(stream + np.where(word_bad, 0, len(names)), starts, projected(net, inputs), net)
+            table = np.concatenate([projected_words(net, slots, grams, side) for side in held])
+            score = score_windows(stream + np.where(word_bad, 0, len(names)), starts, table, net)
     return model
 
 
@@ -331,8 +337,7 @@ class Scorer(dict):
         docs = [np.fromiter(map(self.__getitem__, words_of(t)), np.int64) for t in texts]
         if self.fresh:
             slots, lean = np.array([self.known.get(w, (0, 0.0)) for w in self.fresh]).T
-            inputs = word_inputs(self.net, slots.astype(np.int64), word_grams(self.fresh), lean.astype(np.float32))
-            self.table = np.concatenate([self.table, projected(self.net, inputs)])
+            self.table = np.concatenate([self.table, projected_words(self.net, slots.astype(np.int64), word_grams(self.fresh), lean)])
             self.fresh = []
         out = np.zeros(len(texts))
         filled = [i for i, d in enumerate(docs) if len(d)]
