@@ -8,6 +8,7 @@ from varve.functions.special import norm_ppf
 from varve.operators import mixture, precision
 
 SCHEMA = "entity_id long, chain int, draw long, mu double, var double, log_w double, sigma_r double"
+# The parameters of the simulation law that the mixture is checked under.
 TRUTH = dict(beta0=math.log(100), beta1=-0.4, gamma0=-0.35, gamma1=0.15, g00=0.1, g01=0.5, g10=-0.1, g11=-0.25, tau0=0.45, tau1=0.3, r_g=0.2, sigma_z=0.3, sigma_r=0.25)
 
 
