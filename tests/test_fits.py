@@ -114,13 +114,57 @@ def test_duplicate_screen_against_brute_force(spark):
     exact = audit.exact_groups(df, ["u", "v"]).collect()
     assert sum(r.pairs for r in exact) == 3
     top = [(r.a, r.b) for r in audit.closest_pairs(df, scales, ["u", "v"], k=3).collect()]
-    # 3 and 4 share one history and are screened as one
-    brute = [(a, b) for m, a, b in sorted(dist) if 4 not in (a, b)][:3]
-    assert top == brute
+    assert top == [(a, b) for m, c, a, b in sorted((m, -min(len(hist[a]), len(hist[b])), a, b) for m, a, b in dist)][:3]
     cross = audit.cross_exact_groups(df.filter("entity_id in (3, 6)"), df.filter("entity_id in (4, 5, 7)"), ["u", "v"]).collect()
     assert sum(r.pairs for r in cross) == 2
 
 
+def test_pivot_index_loses_no_pair(spark):
+    """Every pair within the radius is a candidate, within one table and across two, whatever the lengths; few others are."""
+    rng = np.random.default_rng(21)
+    hist = {}
+    for e in range(60):
+        hist[e] = np.cumsum(rng.normal(size=(int(rng.integers(25, 120)), 2)), axis=0) if e % 2 else rng.normal(size=(int(rng.integers(28, 90)), 2))
+        twin = np.vstack([hist[e], rng.normal(size=(int(rng.integers(1, 60)), 2))]) if e % 3 else hist[e][: max(25, len(hist[e]) - e)]
+        hist[100 + e] = twin + rng.normal(size=twin.shape) * rng.choice([0.0, 0.005, 0.03, 0.2])
+    rows = [(e, t + 1, len(h), float(h[t, 0]), float(h[t, 1])) for e, h in hist.items() for t in range(len(h))]
+    df = spark.createDataFrame(rows, "entity_id long, cycle int, cutoff int, u double, v double")
+    index = lambda d: audit.pivot_index(d, audit.pivot_points(df, ["u", "v"]), ["u", "v"])
+    mean = lambda a, b, n: np.sqrt(((hist[a][:n] - hist[b][:n]) ** 2).mean())
+    usable = [e for e in hist if len(hist[e]) >= 30]
+    n_of = lambda a, b: min(len(hist[a]), len(hist[b]))
+    for limit in (1e-12, 0.02, 0.1):
+        want = {(a, b) for a in usable for b in usable if a < b and mean(a, b, n_of(a, b)) <= limit}
+        got = [(r.a, r.b) for r in audit.candidate_pairs(index(df), None, 2, limit).collect()]
+        assert len(got) == len(set(got)) and want and want <= set(got) and len(got) <= 3 * len(usable)
+        low, high = df.filter("entity_id < 100"), df.filter("entity_id >= 100")
+        cross = [(r.a, r.b) for r in audit.candidate_pairs(index(low), index(high), 2, limit).collect()]
+        assert len(cross) == len(set(cross)) and {p for p in want if p[0] < 100 <= p[1]} <= set(cross)
+
+
+def test_closest_pairs_with_copies_and_without_close_ones(spark):
+    """Copies are pairs of their own, ties go by length and ids, and few or no histories give few or no pairs."""
+    rng = np.random.default_rng(22)
+    base = rng.normal(size=(6, 60, 1))
+    hist = {1: base[0][:40], 2: base[1], 3: base[2][:29], 4: base[0][:40], 5: base[0][:40], 6: base[1], 7: base[3], 8: base[0][:40], 9: base[2][:29]}
+    rows = [(e, t + 1, len(h), float(h[t, 0])) for e, h in hist.items() for t in range(len(h))]
+    df = spark.createDataFrame(rows, "entity_id long, cycle int, cutoff int, u double")
+    scales = linear.channel_scales(df, ["u"])
+    s = scales.first()[0]
+    every = []
+    for a in hist:
+        for b in hist:
+            n = min(len(hist[a]), len(hist[b]))
+            if a < b and n >= 30:
+                every.append((np.sqrt((((hist[a][:n] - hist[b][:n]) / s) ** 2).mean()), -n, a, b))
+    pairs = lambda d, k: [(r.a, r.b) for r in audit.closest_pairs(d, scales, ["u"], k=k).collect()]
+    rank = lambda chosen: [(a, b) for m, n, a, b in sorted((round(m, 9), n, a, b) for m, n, a, b in chosen)]
+    assert pairs(df, 5) == rank(every)[:5] and pairs(df, 9) == rank(every)[:9]
+    few = {2, 7, 3}
+    assert pairs(df.filter("entity_id in (2, 3, 7)"), 5) == rank(x for x in every if x[2] in few and x[3] in few)
+    assert pairs(df.filter("entity_id = 3"), 5) == [] and pairs(df.limit(0), 5) == []
+
+
 def test_cross_screen_fails_on_near_copies(spark):
     """Near copies of longer histories count from 30 cycles, times their copies; without a hit the gate passes."""
     rng = np.random.default_rng(12)

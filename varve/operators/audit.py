@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,8 @@ from varve.session import checkpointed
 ROLES = ("fit", "tune", "calibration")
 # Thresholds of the duplicate screen.
 MIN_COMMON, MEAN_LIMIT, CHANNEL_LIMIT = 30, 0.02, 0.10
-SKETCH_GROUPS, SKETCH_DIMS, CELL_RADII = 10, 6, 4.0
+# Pivots of the metric index, those that make its grid, and how much longer each band of histories is.
+PIVOTS, KEYED, GROWTH = 8, 3, 1.25
 
 
 def role_counts(entities: DataFrame) -> DataFrame:
@@ -163,51 +165,76 @@ def distinct_histories(prefix: DataFrame, channels: Sequence[str], id_col: str =
     return fp.groupBy("length", "_a", "_b").agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("copies")).select(id_col, "copies")
 
 
-def _openings(scaled_prefix: DataFrame, channels: Sequence[str], head: int, id_col: str) -> DataFrame:
-    rows = scaled_prefix.filter((F.col("cycle") <= head) & (F.col("cutoff") >= head))
-    packed = F.sort_array(F.collect_list(F.struct("cycle", F.array(*channels).alias("_v"))))
-    return rows.groupBy(id_col, "cutoff").agg(F.flatten(F.transform(packed, lambda s: s["_v"])).alias("_vec"))
+def _segment(cycle: Column, head: int) -> Column:
+    """Segments of growing length: 0 holds the first ``head`` cycles, each border is GROWTH times the one before."""
+    return F.greatest(F.lit(0), F.ceil(F.log(cycle / F.lit(float(head))) / F.lit(math.log(GROWTH)) - F.lit(1e-9))).cast("int")
 
 
-def candidate_pairs(
-    left: DataFrame, right: DataFrame, n_channels: int, longest: Column, mean_limit: float, head: int, same: bool, id_col: str = "entity_id"
-) -> DataFrame:
-    """Pairs that can still lie within ``mean_limit``; none that does is lost.
+def pivot_points(rows: DataFrame, channels: Sequence[str], head: int = MIN_COMMON, id_col: str = "entity_id") -> DataFrame:
+    """PIVOTS histories chosen by hash, as one row per cycle: ``_p`` holds each pivot's channels.
+
+    A pivot may be any point, so a history that has ended, or is missing, counts as zero. The table
+    has at most as many rows as the longest history.
+    """
+    firsts = rows.filter((F.col("cycle") == 1) & (F.col("cutoff") >= head)).select(id_col)
+    chosen = firsts.orderBy(F.xxhash64(F.lit(8), id_col), id_col).limit(PIVOTS)
+    numbered = chosen.withColumn("_n", F.row_number().over(Window.orderBy(id_col)))
+    points = rows.join(numbered, id_col).groupBy("cycle").agg(*[
+        F.max(F.when(F.col("_n") == p + 1, F.col(c))).alias(f"_p{p}_{i}") for p in range(PIVOTS) for i, c in enumerate(channels)])
+    return checkpointed(points)
 
-    With K channels the squared scaled distance over the common cycles is K * common * mean^2, so
-    over the first ``head`` cycles it is at most B = K * longest * limit^2. Split those entries into
-    groups: by the pigeonhole principle one group holds at most B / groups, hence each of its
-    entries differs by at most r = sqrt(B / groups). Each side is keyed by the grid cells of a few
-    entries per group; the right side enters every cell within r.
+
+def pivot_index(rows: DataFrame, points: DataFrame, channels: Sequence[str], head: int = MIN_COMMON, id_col: str = "entity_id") -> DataFrame:
+    """Distances of every history to the pivots over its first segments, one row per (history, segment).
+
+    ``band`` is the last segment counted; only segments that lie wholly inside the history have a row.
+    ``own`` marks a history's last one.
+    """
+    square = lambda p: sum(((F.col(c) - F.coalesce(F.col(f"_p{p}_{i}"), F.lit(0.0))) ** 2 for i, c in enumerate(channels)), F.lit(0.0))
+    last = _segment(F.col("cutoff") + 1, head) - 1
+    j = rows.join(points, "cycle", "left").withColumn("band", _segment(F.col("cycle"), head)).filter(F.col("band") <= last)
+    parts = j.groupBy(id_col, "cutoff", "band").agg(*[F.sum(square(p)).alias(f"_s{p}") for p in range(PIVOTS)])
+    w = Window.partitionBy(id_col).orderBy("band").rowsBetween(Window.unboundedPreceding, 0)
+    return parts.select(id_col, "cutoff", "band", (F.col("band") == last).alias("own"), *[F.sqrt(F.sum(f"_s{p}").over(w)).alias(f"_d{p}") for p in range(PIVOTS)])
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame | None, n_channels: int, mean_limit: float, head: int = MIN_COMMON, id_col: str = "entity_id") -> DataFrame:
+    """Pairs of indexed histories that can still lie within ``mean_limit``; none that does is lost.
+
+    With K channels the squared scaled distance over the common cycles is K * common * mean^2. A pair
+    is met in the band of its shorter history, all of whose cycles are common, so over that band
+    the distance of the two is at most r = mean_limit * sqrt(K * longest history of the band), and by
+    the triangle inequality their distances to any pivot differ by at most r. The first KEYED pivots
+    make a grid of cells 2 r wide, in which the shorter side enters every cell within r; the join
+    drops whatever another pivot tells apart. A pair meets in one cell at most, so nothing is repeated.
     """
-    entries = head * n_channels
-    groups = max(1, min(SKETCH_GROUPS, entries // SKETCH_DIMS))
-    per_group = entries // groups
-    r = F.sqrt(F.lit(float(n_channels)) * longest * F.lit(mean_limit**2 / groups)) * F.lit(1.0 + 1e-9)
-
-    def keyed(side: DataFrame, name: str, widen: bool) -> DataFrame:
-        g = side.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("_r", r)
-        cells = []
-        for d in range(min(SKETCH_DIMS, per_group)):
-            v = F.element_at("_vec", (F.col("_g") * per_group + d + 1).cast("int"))
-            cell = lambda x: F.floor(x / (F.col("_r") * CELL_RADII))
-            if widen:
-                g = g.withColumn(f"_c{d}", F.explode(F.array_distinct(F.array(cell(v - F.col("_r")), cell(v + F.col("_r"))))))
-            else:
-                g = g.withColumn(f"_c{d}", cell(v))
-            cells.append(f"_c{d}")
-        return g.select(F.col(id_col).alias(name), F.xxhash64("_g", *cells).alias("_key"))
-
-    hits = keyed(left, "a", False).join(keyed(right, "b", True), "_key")
-    if same:
-        hits = hits.filter(F.col("a") < F.col("b"))
-    pairs = hits.select("a", "b").distinct()
-    la = left.select(F.col(id_col).alias("a"), F.col("cutoff").alias("_ca"), F.col("_vec").alias("_va"))
-    rb = right.select(F.col(id_col).alias("b"), F.col("cutoff").alias("_cb"), F.col("_vec").alias("_vb"))
-    j = pairs.join(la, "a").join(rb, "b").withColumn("common_cycles", F.least("_ca", "_cb"))
-    d2 = F.aggregate(F.zip_with("_va", "_vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
-    bound = F.lit(float(n_channels)) * F.col("common_cycles") * F.lit(mean_limit**2 * (1.0 + 1e-9))
-    return j.filter(d2 <= bound).select("a", "b", "common_cycles")
+    r = (F.lit(mean_limit * (1.0 + 1e-9)) * F.sqrt(F.lit(float(n_channels)) * (F.lit(float(head)) * F.pow(F.lit(GROWTH), F.col("band") + 1) + 2)) + F.lit(1e-9))
+    cells = [f"_c{d}" for d in range(KEYED)]
+
+    def shorter(side: DataFrame, name: str) -> DataFrame:
+        g = side.filter("own").withColumn("_r", r)
+        for d, c in enumerate(cells):
+            reach = F.col("_r") + F.col(f"_d{d}") * F.lit(1e-12)
+            at = lambda x: F.floor(x / (F.col("_r") * 2))
+            g = g.withColumn(c, F.explode(F.array_distinct(F.array(at(F.col(f"_d{d}") - reach), at(F.col(f"_d{d}") + reach)))))
+        return g.select(F.col(id_col).alias(name), F.col("cutoff").alias("_cs"), "_r", "band", *cells, *[F.col(f"_d{p}").alias(f"_e{p}") for p in range(PIVOTS)])
+
+    def longer(side: DataFrame, name: str) -> DataFrame:
+        g = side.withColumn("_r", r)
+        grid = [F.floor(F.col(f"_d{d}") / (F.col("_r") * 2)).alias(c) for d, c in enumerate(cells)]
+        return g.select(F.col(id_col).alias(name), F.col("cutoff").alias("_cl"), "own", "band", *grid, *[f"_d{p}" for p in range(PIVOTS)])
+
+    near = F.lit(True)
+    for p in range(PIVOTS):
+        near = near & (F.abs(F.col(f"_d{p}") - F.col(f"_e{p}")) <= F.col("_r") + F.col(f"_d{p}") * F.lit(1e-12))
+    common = F.least("_cs", "_cl").alias("common_cycles")
+    on = ["band", *cells]
+    if right is None:
+        once = ~F.col("own") | (F.struct("_cs", "_s") < F.struct("_cl", "_l"))
+        return shorter(left, "_s").join(longer(left, "_l"), on).filter(near & once).select(F.least("_s", "_l").alias("a"), F.greatest("_s", "_l").alias("b"), common)
+    first = shorter(left, "a").join(longer(right, "b"), on).filter(near)
+    second = shorter(right, "b").join(longer(left, "a").filter(~F.col("own")), on).filter(near)
+    return first.select("a", "b", common).unionByName(second.select("a", "b", common))
 
 
 def pair_distances(pairs: DataFrame, left: DataFrame, right: DataFrame, channels: Sequence[str], id_col: str = "entity_id") -> DataFrame:
@@ -225,6 +252,12 @@ def pair_distances(pairs: DataFrame, left: DataFrame, right: DataFrame, channels
     return g.select("a", "b", "common_cycles", F.sqrt(total / len(channels)).alias("mean_nrmse"), worst.alias("max_channel_nrmse"))
 
 
+def _screened(side: DataFrame, scales: DataFrame, channels: Sequence[str], id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Representatives with their number of copies, and the representatives' scaled rows."""
+    reps = distinct_histories(side, channels, id_col)
+    return reps, scaled(side.join(reps.select(id_col), id_col, "left_semi"), scales, channels)
+
+
 def near_pairs(
     left: DataFrame, right: DataFrame | None, scales: DataFrame, channels: Sequence[str], mean_limit: float = MEAN_LIMIT,
     channel_limit: float = CHANNEL_LIMIT, head: int = MIN_COMMON, id_col: str = "entity_id", include_exact: bool = False,
@@ -234,19 +267,11 @@ def near_pairs(
     Identical histories are collapsed to one representative first (``copies``), so a group of
     copies costs one history, not its square.
     """
-    same = right is None
-    def prepare(side: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        reps = distinct_histories(side, channels, id_col)
-        rows = scaled(side.join(reps.select(id_col), id_col, "left_semi"), scales, channels)
-        return reps, rows, _openings(rows, channels, head, id_col)
-
-    lreps, lrows, lopen = prepare(left)
-    rreps, rrows, ropen = (lreps, lrows, lopen) if same else prepare(right)
-    longest = left.agg(F.max("cutoff").cast("double").alias("_p"))
-    if not same:
-        longest = longest.unionByName(right.agg(F.max("cutoff").cast("double").alias("_p"))).agg(F.min("_p").alias("_p"))
-    attach = lambda df: df.withColumn("_k", F.lit(0)).join(F.broadcast(longest.withColumn("_k", F.lit(0))), "_k").drop("_k")
-    pairs = candidate_pairs(attach(lopen), attach(ropen), len(channels), F.col("_p"), mean_limit, head, same, id_col)
+    lreps, lrows = _screened(left, scales, channels, id_col)
+    rreps, rrows = (lreps, lrows) if right is None else _screened(right, scales, channels, id_col)
+    points = pivot_points(lrows, channels, head, id_col)
+    index = lambda rows: checkpointed(pivot_index(rows, points, channels, head, id_col))
+    pairs = candidate_pairs(index(lrows), None if right is None else index(rrows), len(channels), mean_limit, head, id_col)
     dist = pair_distances(pairs, lrows, rrows, channels, id_col)
     near = dist.filter((F.col("mean_nrmse") <= mean_limit) & (F.col("max_channel_nrmse") <= channel_limit))
     if not include_exact:
@@ -272,18 +297,45 @@ def cross_screen(left: DataFrame, right: DataFrame, scales: DataFrame, channels:
     return exact.join(near, "_k").select("exact_pairs", "near_pairs", F.when(hit, "FAIL").otherwise("PASS").alias("status"))
 
 
-def closest_pairs(prefix: DataFrame, scales: DataFrame, channels: Sequence[str], k: int = 5, start: float = 0.02, id_col: str = "entity_id") -> DataFrame:
-    """The k closest pairs by (mean, worst channel, longer common history first), exactly.
+def least_members(prefix: DataFrame, channels: Sequence[str], k: int, id_col: str = "entity_id") -> DataFrame:
+    """(representative, member) for the ``k`` least members of each identical history, itself included.
+
+    Members are cut to ``k`` within hash blocks first, so a history held by most entities is no single task.
+    """
+    fp = prefix_fingerprints(prefix, channels, id_col).filter("full").withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(64)))
+    key = ["length", "_a", "_b"]
+    cut = lambda df, by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(id_col))).filter(F.col("_n") <= k)
+    least = cut(cut(fp, [*key, "_salt"]), key)
+    return least.select(F.min(id_col).over(Window.partitionBy(*key)).alias("rep"), F.col(id_col).alias("member"), F.col("length").alias("common_cycles"))
+
+
+def closest_pairs(prefix: DataFrame, scales: DataFrame, channels: Sequence[str], k: int = 5, start: float = MEAN_LIMIT, id_col: str = "entity_id") -> DataFrame:
+    """The ``k`` closest pairs by (mean, worst channel, longer common history, a, b), exactly; fewer if there are no more.
 
-    The search radius doubles until k pairs lie inside it; a pair outside cannot be closer. Rows with
-    identical histories count as one.
+    Rounds over one pivot index: the radius doubles but never passes the k-th distance met so far,
+    which later rounds can only lower; the search ends when that distance lies within the radius, as
+    a pair outside it cannot be closer. Copies of one history are pairs at distance zero: each
+    history stands for its ``k`` least members, since any other pair has ``k`` better ones. On
+    data without close pairs the last radius, and with it the work, is that of the k-th pair.
     """
-    limit, found, previous = start, None, -1
-    reps = distinct_histories(prefix, channels, id_col)
-    possible = reps.join(prefix.filter((F.col("cycle") == 1) & (F.col("cutoff") >= MIN_COMMON)).select(id_col), id_col, "left_semi").count()
-    target = min(k, possible * (possible - 1) // 2)
+    _, rows = _screened(prefix, scales, channels, id_col)
+    rows = checkpointed(rows)
+    index = checkpointed(pivot_index(rows, pivot_points(rows, channels, id_col=id_col), channels, id_col=id_col))
+    members = checkpointed(least_members(prefix.filter(F.col("cutoff") >= MIN_COMMON), channels, k, id_col))
+    order = ["mean_nrmse", "max_channel_nrmse", F.col("common_cycles").desc(), "a", "b"]
+    other = members.select("rep", F.col("member").alias("b"))
+    copies = members.withColumnRenamed("member", "a").join(other, "rep").filter("a < b")
+    copies = checkpointed(copies.select("a", "b", "common_cycles", F.lit(0.0).alias("mean_nrmse"), F.lit(0.0).alias("max_channel_nrmse")))
+    n = prefix.filter((F.col("cycle") == 1) & (F.col("cutoff") >= MIN_COMMON)).count()
+    target, radius = min(k, n * (n - 1) // 2), start
+    of = lambda rep, name: members.select(F.col("rep").alias(rep), F.col("member").alias(name))
     while True:
-        found = near_pairs(prefix, None, scales, channels, limit, float("inf"), id_col=id_col, include_exact=True)
-        if found.count() >= target:
-            return found.orderBy("mean_nrmse", "max_channel_nrmse", F.col("common_cycles").desc(), "a", "b").limit(k)
-        limit *= 2.0
+        found = pair_distances(candidate_pairs(index, None, len(channels), radius, id_col=id_col), rows, rows, channels, id_col)
+        best = found.orderBy(*order).limit(k).withColumnRenamed("a", "_ra").withColumnRenamed("b", "_rb")
+        spread = best.join(of("_ra", "_ma"), "_ra").join(of("_rb", "_mb"), "_rb")
+        spread = spread.select(F.least("_ma", "_mb").alias("a"), F.greatest("_ma", "_mb").alias("b"), "common_cycles", "mean_nrmse", "max_channel_nrmse")
+        top = checkpointed(spread.unionByName(copies).orderBy(*order).limit(k))
+        met = top.agg(F.count(F.lit(1)).alias("n"), F.max("mean_nrmse").alias("far")).first()
+        if met.n >= target and (met.far is None or met.far <= radius):
+            return top
+        radius = min(2.0 * radius, met.far) if met.n >= target else 2.0 * radius

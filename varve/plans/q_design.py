@@ -448,6 +448,50 @@ def aud8(spark, sf):
     return one(n).join(one(exact), "_k").join(one(near), "_k").drop("_k")
 
 
+# Planted from table rows, by id: near copies at growing distances and a few exact copies, under ids of their own.
+_PLANT8 = 1_000_000_000
+cte("plant8", f"SELECT entity_id, cutoff, cycle, {', '.join(CHANNELS)} FROM s_prefix UNION ALL SELECT entity_id + {_PLANT8}, cutoff, cycle, CASE WHEN entity_id % 50 = 1 THEN c1 ELSE c1 * (1.0::DOUBLE + 0.001::DOUBLE * (1 + entity_id % 97)) END, "
+    + ", ".join(CHANNELS[1:]) + " FROM s_prefix WHERE entity_id % 4 = 0 OR entity_id % 50 = 1")
+cte("sc8p", "SELECT " + ", ".join(f"CASE WHEN stddev_pop({c}) > 1e-12 THEN stddev_pop({c}) ELSE 1 END AS k_{c}" for c in CHANNELS) + " FROM plant8")
+cte(
+    "pairs8p",
+    "SELECT a.entity_id AS a, b.entity_id AS b, least(a.cutoff, b.cutoff) AS common_cycles, " + ", ".join(f"sum(((a.{c} - b.{c}) / k_{c}) ** 2) / least(a.cutoff, b.cutoff) AS ms_{c}" for c in CHANNELS)
+    + " FROM plant8 a JOIN plant8 b ON a.cycle = b.cycle AND a.entity_id < b.entity_id, sc8p WHERE least(a.cutoff, b.cutoff) >= 30 GROUP BY 1, 2, 3",
+)
+
+
+def _planted8(spark, sf):
+    prefix = checkpointed(base.ship_prefix(spark, sf).select("entity_id", "cutoff", "cycle", *CHANNELS))
+    exact = F.col("entity_id") % 50 == 1
+    factor = F.when(exact, F.lit(1.0)).otherwise(F.lit(1.0) + F.lit(0.001) * (1 + F.col("entity_id") % 97))
+    copies = prefix.filter((F.col("entity_id") % 4 == 0) | exact).select((F.col("entity_id") + _PLANT8).alias("entity_id"), "cutoff", "cycle", (F.col("c1") * factor).alias("c1"), *CHANNELS[1:])
+    return prefix.unionByName(copies)
+
+
+@query(
+    "aud8_planted_screen",
+    build("SELECT count(*) FILTER (WHERE " + " AND ".join(f"ms_{c} = 0" for c in CHANNELS) + f") AS exact_pairs, count(*) FILTER (WHERE {_MEAN8} > 0 AND {_MEAN8} <= 0.02 AND {_MAX8} <= 0.10) AS near_pairs FROM pairs8p"),
+)
+def aud8_planted(spark, sf):
+    """The screen of aud8 over histories with planted copies: exact pairs and near ones."""
+    planted = _planted8(spark, sf)
+    exact = audit.exact_groups(planted, CHANNELS).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("exact_pairs")).withColumn("_k", F.lit(0))
+    near = audit.near_pairs(planted, None, linear.channel_scales(planted, CHANNELS), CHANNELS).agg(
+        F.coalesce(F.sum(F.col("copies_a") * F.col("copies_b")), F.lit(0)).alias("near_pairs")).withColumn("_k", F.lit(0))
+    return exact.join(near, "_k").drop("_k")
+
+
+@query(
+    "aud8_closest_pairs",
+    build(f"SELECT a, b, common_cycles, round({_MEAN8}, 6) AS mean_nrmse, round({_MAX8}, 6) AS max_channel_nrmse FROM pairs8p ORDER BY {_MEAN8}, {_MAX8}, common_cycles DESC, a, b LIMIT 5"),
+)
+def aud8_closest(spark, sf):
+    """The five closest pairs of histories among those of aud8_planted_screen, exact copies first."""
+    planted = _planted8(spark, sf)
+    top = audit.closest_pairs(planted, linear.channel_scales(planted, CHANNELS), CHANNELS)
+    return top.select("a", "b", "common_cycles", rnd("mean_nrmse"), rnd("max_channel_nrmse"))
+
+
 @query(
     "aud9_cross_table_screen",
     build("SELECT count(*) AS comparisons, count(*) FILTER (WHERE d = 0) AS exact_pairs FROM (SELECT a.entity_id AS a, b.entity_id AS b, sum(abs(a.c1 - b.c1) + abs(a.c2 - b.c2)) AS d "
