@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,35 @@ def test_labels_must_cover_the_cohort_once(spark):
     whole = [(i, 1.0 * i) for i in range(1, 6)]
     assert told(whole) == (0, 0, 0, 0, True)
     assert told(whole[1:] + [(9, 2.0), (2, 2.0), (3, float("nan"))]) == (1, 1, 2, 1, False)
+
+
+def test_two_registry_writers_with_one_id(spark, tmp_path, monkeypatch):
+    """A writer that lost its number to another sees that writer's ids; the loser's other rows still go in."""
+    path = str(tmp_path / "runs")
+    make = lambda *ids: spark.createDataFrame([(i, "completed") for i in ids], "run_id string, state string")
+    real, rivals = sinks.put_if_absent, [make("r1", "r2")]
+    def raced(session, staged, target):
+        if rivals:
+            monkeypatch.setattr(sinks, "put_if_absent", real)
+            assert sinks.append_runs(session, rivals.pop(), path) == 2
+        return real(session, staged, target)
+    monkeypatch.setattr(sinks, "put_if_absent", raced)
+    assert sinks.append_runs(spark, make("r2", "r3"), path) == 1
+    assert sorted(r.run_id for r in sinks.read_runs(spark, path, make("x").schema).collect()) == ["r1", "r2", "r3"]
+    assert sinks.append_runs(spark, make("r1", "r3"), path) == 0
+    assert sinks.read_runs(spark, str(tmp_path / "none"), make("x").schema).isEmpty()
+    with pytest.raises(Exception, match="(?i)does not exist|not found|No such"):
+        sinks.put_if_absent(spark, str(tmp_path / "gone"), str(tmp_path / "goal"))
+
+
+def test_outcome_diagnostics(spark):
+    """Median, 95th percentile and maximum over the defined diagnostics; none defined gives null and zero."""
+    rng = np.random.default_rng(4)
+    share = [float(v) for v in rng.random(40)]
+    rows = [("a", "ok", 0, 0, 17, True, False, s if i % 4 else None, None) for i, s in enumerate(share)]
+    schema = "scenario string, status string, zero_se_draws long, nonfinite_draws long, draws long, contains_zero boolean, rejects boolean, max_share double, max_loo_shift double"
+    r = stats.outcome_summary(spark.createDataFrame(rows, schema)).first()
+    want = [s for i, s in enumerate(share) if i % 4]
+    assert r.max_share_n_defined == 30 and r.max_share_maximum == max(want)
+    assert np.allclose([r.max_share_median, r.max_share_p95], np.quantile(want, [0.5, 0.95]), rtol=1e-12)
+    assert (r.max_loo_shift_n_defined, r.max_loo_shift_median, r.max_loo_shift_p95, r.max_loo_shift_maximum) == (0, None, None, None)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from varve.functions.hashing import digest, digest_mod
 from varve.functions.numeric import exact_sum, is_finite, reasons, safe_div, status, wilson
 from varve.functions.special import norm_ppf, norm_ppf_column
-from varve.operators.ordering import average_ranks, linear_quantiles
+from varve.operators.ordering import average_ranks, finite_only, linear_quantiles
 
 # Thresholds of the chain diagnostics gate.
 RHAT_LIMIT, ESS_LIMIT, BFMI_LIMIT, DEPTH_FRACTION_LIMIT, DEPTH_SATURATED = 1.01, 400.0, 0.3, 0.01, 12
@@ -93,11 +93,13 @@ def bootstrap_pivots(values: DataFrame, replicates: int, seed: str, value: str =
     """Resampled mean and standard error per replicate.
 
     ``values`` must carry a dense ``slot`` 1..n per scenario. Every slot of every replicate draws a
-    position by hash; sums are combined before the shuffle.
+    position by hash; sums are combined before the shuffle. Slots are spread over all tasks first,
+    since each becomes a row per replicate.
     """
     base = values.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(F.lit(1)))).alias("se"))
     small = base.select(by, "n")
-    slots = values.select(by, "slot").join(F.broadcast(small), by)
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = values.select(by, "slot").join(F.broadcast(small), by).repartition(tasks, by, "slot")
     slots = slots.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     pick = F.lit(1) + digest_mod(digest(seed, F.col(by), F.col("replicate"), F.col("slot")), F.col("n"))
     drawn = slots.withColumn("_pick", pick).select(by, "replicate", "_pick")
@@ -147,7 +149,10 @@ def bootstrap_t(pivots: DataFrame, by: str = "scenario") -> DataFrame:
 
 def outcome_summary(results: DataFrame, by: str = "scenario", confidence: float = 0.95) -> DataFrame:
     """Operating characteristics of stored bootstrap results: coverage and rejection among available
-    intervals, availability among all, and the zero-SE share. Statuses are counted, none is dropped."""
+    intervals, availability among all, and the zero-SE share. Statuses are counted, none is dropped.
+
+    Results that carry ``max_share`` or ``max_loo_shift`` also get the number of defined values, their
+    median, 95th percentile and maximum, null where none is defined."""
     ok = F.col("status") == "ok"
     g = results.groupBy(by).agg(
         F.count(F.lit(1)).alias("attempted"), F.count_if(ok).alias("available"),
@@ -159,7 +164,12 @@ def outcome_summary(results: DataFrame, by: str = "scenario", confidence: float
     )
     g = wilson_columns(g, "covered", "available", confidence, "coverage_")
     g = wilson_columns(g, "rejected", "available", confidence, "rejection_")
-    return wilson_columns(g, "available", "attempted", confidence, "availability_")
+    g = wilson_columns(g, "available", "attempted", confidence, "availability_")
+    for c in [c for c in ("max_share", "max_loo_shift") if c in results.columns]:
+        defined = finite_only(results, c)
+        order = linear_quantiles(defined, [by], c, {f"{c}_median": 0.5, f"{c}_p95": 0.95}).withColumnRenamed("n", f"{c}_n_defined")
+        g = g.join(order, by, "left").join(defined.groupBy(by).agg(F.max(c).alias(f"{c}_maximum")), by, "left").fillna(0, [f"{c}_n_defined"])
+    return g
 
 
 def unpivot(df: DataFrame, keys: Sequence[str], params: Sequence[str]) -> DataFrame:

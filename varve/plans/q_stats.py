@@ -94,7 +94,8 @@ def sta8(spark, sf):
     return d.select("role", "n", rnd("mean"), rnd("se"), rnd("max_share"), rnd("max_loo_shift"))
 
 
-BOOT = 199
+# Fixed value: resamples of the bootstrap-t.
+BOOT = 1999
 cte("bt_pool", "SELECT role AS scenario, entity_id, score AS x, row_number() OVER (PARTITION BY role ORDER BY entity_id) AS slot, count(*) OVER (PARTITION BY role) AS n FROM pairc")
 cte("bt_base", "SELECT scenario, count(*) AS n, avg(x) AS m, stddev_samp(x) / sqrt(count(*)) AS se FROM bt_pool GROUP BY 1")
 cte("bt_draw", f"SELECT d.scenario, d.replicate, p.x FROM (SELECT scenario, replicate, 1 + {digest_mod('h', 'n')} AS pick FROM (SELECT scenario, n, g.replicate, sha256('{SEED}|' || scenario || '|' || g.replicate || '|' || slot) AS h FROM bt_pool, range(1, {BOOT + 1}) g(replicate))) d JOIN bt_pool p ON p.scenario = d.scenario AND p.slot = d.pick")
@@ -119,13 +120,22 @@ def sta9(spark, sf):
     return b.select("scenario", "n", "draws", "zero_se_draws", "status", rnd("interval_low", 3), rnd("interval_high", 3), rnd("one_sided_upper", 3), "contains_zero")
 
 
+cte("infl", "SELECT scenario, max(abs(x - m)) / nullif(sum(abs(x - m)), 0) AS max_share, max(abs(x - m)) / (n - 1) / nullif(se, 0) AS max_loo_shift FROM (SELECT p.scenario, p.x, b.n, b.m, b.se FROM bt_pool p JOIN bt_base b ON b.scenario = p.scenario) GROUP BY scenario, n, se")
+_ORDER10 = {c: {f"{c}_n_defined": f"count({c})", f"{c}_median": f"round(quantile_cont({c}, 0.5), 6)", f"{c}_p95": f"round(quantile_cont({c}, 0.95), 6)", f"{c}_maximum": f"round(max({c}), 6)"} for c in ("max_share", "max_loo_shift")}
+
+
 @query(
     "sta10_outcome_summary",
-    build("SELECT count(*) AS attempted, count(*) FILTER (WHERE status = 'ok') AS available, count(*) FILTER (WHERE status = 'ok' AND m - q3 * se <= 0 AND m - q1 * se >= 0) AS covered, count(*) FILTER (WHERE status = 'ok' AND m - q2 * se < 0) AS rejected, round(sum(zero_se_draws) / sum(draws), 6) AS zero_se_fraction FROM bt"),
+    build("SELECT count(*) AS attempted, count(*) FILTER (WHERE status = 'ok') AS available, count(*) FILTER (WHERE status = 'ok' AND m - q3 * se <= 0 AND m - q1 * se >= 0) AS covered, count(*) FILTER (WHERE status = 'ok' AND m - q2 * se < 0) AS rejected, round(sum(zero_se_draws) / sum(draws), 6) AS zero_se_fraction, "
+          + ", ".join(f"{sql} AS {name}" for named in _ORDER10.values() for name, sql in named.items()) + " FROM bt JOIN infl USING (scenario)"),
 )
 def sta10(spark, sf):
-    s = stats.outcome_summary(_bootstrap(spark, sf).withColumn("scenario", F.lit("all")))
-    return s.select("attempted", "available", "covered", "rejected", rnd("zero_se_fraction"))
+    """Outcomes of the bootstrap by role, with the spread of their influence diagnostics."""
+    shares = stats.influence_diagnostics(_pairs(spark, sf), "x", ["role"]).select(F.col("role").alias("scenario"), "max_share", "max_loo_shift")
+    results = checkpointed(_bootstrap(spark, sf).join(shares, "scenario").withColumn("scenario", F.lit("all")))
+    s = stats.outcome_summary(results)
+    order = [F.col(n) if n.endswith("_n_defined") else rnd(n) for named in _ORDER10.values() for n in named]
+    return s.select("attempted", "available", "covered", "rejected", rnd("zero_se_fraction"), *order)
 
 
 cte("dl", " UNION ALL ".join(f"SELECT fit, chain, draw, '{p}' AS param, {p} AS value, {TRUTH[p]!r}::DOUBLE AS truth FROM draws" for p in PARAMS))
@@ -254,4 +264,4 @@ def snk2(spark, sf):
     sinks.append_runs(spark, done, path)
     again = orders.select(F.concat(F.lit("run-"), F.col("o_orderkey").cast("string")).alias("run_id"), F.lit("rerun").alias("status"))
     sinks.append_runs(spark, again, path)
-    return spark.read.parquet(path).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return sinks.read_runs(spark, path, done.schema).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
