@@ -81,6 +81,14 @@ def test_precision_against_numpy(spark):
             assert g.influence_ess == pytest.approx(h.var(ddof=1) / (v * (dens * w.mean()) ** 2), rel=1e-8)
             assert g.dof == pytest.approx((lrv.sum()) ** 2 / ((lrv**2).sum() / (draws // b - 1)), rel=1e-8)
             assert g.upper_mcse > g.mcse
+    # stored as computed nothing comes back; a changed value and a moved root do
+    again = lambda s: sorted((r.p, r.batch_size, r.column) for r in mixture.recheck_precision(prepared, s, ["entity_id"], 0.05, rtol=1e-11).collect())
+    default = precision.quantile_mcse(precision.influence(prepared, q, ["entity_id"], precision.chain_sizes(prepared, ["entity_id"])), q, ["entity_id"], 0.05)
+    stored = default.join(q.select("entity_id", "p", "q"), ["entity_id", "p"])
+    first = min(r.batch_size for r in stored.collect())
+    assert again(stored) == []
+    assert again(stored.withColumn("upper_mcse", F.when((F.col("p") == 0.5) & (F.col("batch_size") == first), F.col("upper_mcse") * 1.000001).otherwise(F.col("upper_mcse")))) == [(0.5, first, "upper_mcse")]
+    assert {(p, c) for p, _, c in again(stored.withColumn("q", F.when(F.col("p") == 0.95, F.col("q") + 1e-6).otherwise(F.col("q"))))} >= {(0.95, "mcse"), (0.95, "influence_ess")}
 
 
 def test_long_run_variance_and_batch_rules(spark):

@@ -226,3 +226,23 @@ def recheck_quantiles(prepared: DataFrame, stored: DataFrame, keys: Sequence[str
     again = cdf_and_density(prepared, points, keys, error).select(*by, "cdf", "density")
     again = again.join(weight_stats(prepared, keys).select(*keys, "weight_ess"), list(keys))
     return compare_tables(again, stored, by, ["cdf", "density", "weight_ess"], atol, rtol)
+
+
+def recheck_precision(prepared: DataFrame, stored: DataFrame, keys: Sequence[str], tail: float, error: str = "normal", atol: float = 1e-14, rtol: float = 1e-12) -> DataFrame:
+    """MCSE, its upper bound, influence ESS and degrees of freedom recomputed at the stored roots.
+
+    ``stored`` has a row per (key, p, batch_size) with the root ``q`` and the four values. Density,
+    weights and influences come from the terms, nothing from the record but its root; rows beyond the
+    tolerance, missing or unknown ones come back.
+    """
+    from varve.operators.quality import compare_tables
+
+    by = [*keys, "p"]
+    sums = prepared.groupBy(*keys).agg(F.sum("w").alias("sum_w"))
+    roots = stored.groupBy(*by).agg(F.max("q").alias("x")).join(sums, list(keys))
+    at = cdf_and_density(prepared, roots, keys, error).drop("sum_w").withColumnRenamed("x", "q")
+    at = at.withColumn("quantile", F.exp("q")).withColumn("residual", F.col("cdf") - F.col("p"))
+    at = checkpointed(at.join(weight_stats(prepared, keys), list(keys)))
+    h = precision.influence(prepared, at, keys, precision.chain_sizes(prepared, keys), error)
+    again = precision.quantile_mcse(h, at, keys, tail)
+    return compare_tables(again, stored, [*by, "batch_size"], ["mcse", "upper_mcse", "influence_ess", "dof"], atol, rtol)

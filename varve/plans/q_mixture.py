@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from varve.functions.special import norm_ppf
 from varve.operators import mixture, precision
+from varve.session import checkpointed
 from varve.plans import base
 from varve.plans.q_scoring import predictive, quantile_ctes
 from varve.plans.registry import query, rnd
@@ -268,3 +269,29 @@ def val14(spark, sf):
     moved = q.withColumn("q", F.when((F.col("entity_id") % 20 == 7) & (F.col("p") == 0.5), F.col("q") + 1e-6).otherwise(F.col("q")))
     bad = mixture.recheck_quantiles(prepared, moved, ENTITY)
     return bad.select("entity_id", "p", "column", "reason")
+
+
+# precision records, some with a changed value or a moved root: what do the terms not give back?
+cte("valp_q", "SELECT m.entity_id, m.p, r.q, exp(r.q) AS quantile, a.cdf2 AS cdf, a.density2 AS density, m.mean_w, m.n_total, m.weight_ess FROM mx_q m JOIN val_root r USING (entity_id, p) JOIN val_again a USING (entity_id, p)")
+cte("valp_h", f"SELECT entity_id, p, chain, draw, w * ({phi('v')} - p) AS h FROM (SELECT t.entity_id, r.p, t.chain, t.draw, t.w, (r.q - t.mu) / t.sd AS v FROM val_root r JOIN mx_w t ON t.entity_id = r.entity_id)")
+precision_ctes("valp", "entity_id", "valp_h", "valp_q")
+upper_ctes("valp", "entity_id")
+_CHANGED = {"mcse": 3, "upper_mcse": 4, "influence_ess": 5}
+cte("val_rec", "SELECT entity_id, p, batch_size, dof, " + ", ".join(f"{c} * CASE WHEN entity_id % 20 = {k} THEN 1.000001::DOUBLE ELSE 1 END AS {c}" for c, k in _CHANGED.items()) + " FROM mxp_up")
+
+
+@query(
+    "val14_recheck_precision",
+    build(" UNION ALL ".join(f"SELECT a.entity_id, a.p, a.batch_size, '{c}' AS \"column\", 'differs' AS reason FROM val_rec s JOIN valp_up a USING (entity_id, p, batch_size) WHERE abs(a.{c} - s.{c}) > 1e-9 * abs(s.{c})" for c in [*_CHANGED, "dof"])),
+)
+def val14b(spark, sf):
+    """Stored precision records, some changed by a millionth or with a moved root: only those come back."""
+    prepared, q = pooled_quantiles(spark, sf)
+    q = checkpointed(q)
+    h = precision.influence(prepared, q, ENTITY, precision.chain_sizes(prepared, ENTITY))
+    r = precision.quantile_mcse(h, q, ENTITY, TAIL)
+    root = F.when((F.col("entity_id") % 20 == 7) & (F.col("p") == 0.5), F.col("q") + 1e-6).otherwise(F.col("q"))
+    changed = {c: F.when(F.col("entity_id") % 20 == k, F.col(c) * 1.000001).otherwise(F.col(c)) for c, k in _CHANGED.items()}
+    stored = checkpointed(r.join(q.select("entity_id", "p", root.alias("q")), ["entity_id", "p"]).withColumns(changed))
+    bad = mixture.recheck_precision(prepared, stored, ENTITY, TAIL)
+    return bad.select("entity_id", "p", "batch_size", "column", "reason")
