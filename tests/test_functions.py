@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from varve.functions import special
 from varve.functions.hashing import hash_mod
-from varve.functions.numeric import exact_sum
 
 
 def test_norm_cdf_against_erfc(spark):
@@ -39,18 +38,3 @@ def test_hash_mod_matches_big_integers(spark):
     for r in rows:
         big = lambda t: int(hashlib.sha256(f"s|{t}|{r.id}".encode()).hexdigest(), 16)
         assert (r.a, r.b) == (big("cutoff") % 221, big("x") % (2**31 - 1))
-
-
-def test_exact_sum_survives_cancellation(spark):
-    df = spark.createDataFrame([(1e16,), (1.0,), (-1e16,)], "x double")
-    assert df.agg(exact_sum(F.col("x")).alias("s")).first().s == 1.0
-
-
-def test_exact_sum_has_no_magnitude_limit(spark):
-    def total(*values):
-        return spark.createDataFrame([(float(v),) for v in values], "x double").agg(exact_sum(F.col("x")).alias("s")).first().s
-
-    assert total(1e30, 1.0) == 1e30 and total(1e300, 1e300) == 2e300
-    assert total(*[9e18] * 20) == 1.8e20 and total(2.5e19, 1.0, -2.5e19) == 1.0
-    assert total(1e308, 1e308) is None and total(1.0, float("inf")) is None and total(1.0, float("nan")) is None
-    assert spark.createDataFrame([(1.0,), (None,)], "x double").agg(exact_sum(F.col("x")).alias("s")).first().s is None

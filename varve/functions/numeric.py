@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# magnitude below which a value joins a band, and the band's decimal scale: 17 digits of a double fit
-# each, and ten digits are left for the number of rows
-BANDS = [(1e10, 18), (1e22, 6), (1e28, 0)]
-
 
 def is_finite(x: Column) -> Column:
     """True for an ordinary number; false for null, NaN and both infinities."""
@@ -20,22 +16,6 @@ def safe_div(num: Column, den: Column) -> Column:
     return num / F.nullif(den, F.lit(0.0))
 
 
-def exact_sum(x: Column) -> Column:
-    """Sum of doubles that does not depend on their order; null if a value or the total is not finite.
-
-    Values are added as decimals in bands of magnitude, so small ones are not lost beside large ones
-    that cancel. There is no limit: values of 1e28 and more, or a band whose decimals overflow, are
-    added as doubles, whose last digits may then depend on the order.
-    """
-    low, total = 0.0, F.lit(0.0)
-    for high, scale in BANDS:
-        band = F.when((F.abs(x) >= F.lit(low)) & (F.abs(x) < F.lit(high)), x)
-        total = total + F.coalesce(F.try_sum(band.cast(f"decimal(38,{scale})")).cast("double"), F.sum(band), F.lit(0.0))
-        low = high
-    total = total + F.coalesce(F.sum(F.when(is_finite(x) & (F.abs(x) >= F.lit(low)), x)), F.lit(0.0))
-    return F.when((F.count_if(is_finite(x)) == F.count(F.lit(1))) & is_finite(total), total)
-
-
 def reasons(checks: dict[str, Column]) -> Column:
     """Array of the names whose condition holds; an undefined condition counts as holding."""
     flags = F.array(*[F.when(F.coalesce(cond, F.lit(True)), F.lit(name)) for name, cond in checks.items()])

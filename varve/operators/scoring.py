@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varve.functions.numeric import exact_sum, is_finite, reasons, safe_div
+from varve.functions.numeric import is_finite, reasons, safe_div
 from varve.operators import precision
+from varve.operators.exact import exact_sums
 
 ALPHA = 0.1
 # Qualification threshold, kink radius in upper MCSEs, Lipschitz constant 2/alpha - 1 of the 90% score.
@@ -51,9 +52,10 @@ def cohort_gate(scored: DataFrame, cohort: DataFrame, by: Sequence[str] = ("meth
 def method_summary(scored: DataFrame, cohort: DataFrame, by: Sequence[str] = ("method",), id_col: str = "entity_id") -> DataFrame:
     """Mean score, coverage, misses and median errors per method; nulled when the cohort is incomplete."""
     err = F.col("median_error")
-    g = scored.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), exact_sum(F.col("score")).alias("_s"), F.count_if("covered").alias("covered"), F.count_if("below").alias("below"), F.count_if("above").alias("above"),
-        exact_sum(F.abs(err)).alias("_ae"), exact_sum(err * err).alias("_se"), exact_sum(err).alias("_e"), F.avg("width").alias("mean_width"), F.count_if(F.col("median") < 0).alias("negative_medians"),
+    g = exact_sums(
+        scored, by, {"_s": F.col("score"), "_ae": F.abs(err), "_se": err * err, "_e": err},
+        F.count(F.lit(1)).alias("n"), F.count_if("covered").alias("covered"), F.count_if("below").alias("below"), F.count_if("above").alias("above"),
+        F.avg("width").alias("mean_width"), F.count_if(F.col("median") < 0).alias("negative_medians"),
     )
     gate = cohort_gate(scored, cohort, by, id_col).select(*by, "primary_status")
     g = g.join(F.broadcast(gate), list(by))
@@ -78,8 +80,9 @@ def paired_components(scored: DataFrame, first: str, second: str, id_col: str =
 
 def paired_contrast(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean component differences (order-independent sums) and the ratio of mean scores, null at a zero denominator."""
-    g = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[(exact_sum(F.col(c)) / F.count(F.lit(1))).alias(f"mean_{c}") for c in COMPONENTS],
-                              exact_sum(F.col("first_score")).alias("_a"), exact_sum(F.col("second_score")).alias("_b"))
+    sums = {f"mean_{c}": F.col(c) for c in COMPONENTS} | {"_a": F.col("first_score"), "_b": F.col("second_score")}
+    g = exact_sums(pairs, by, sums, F.count(F.lit(1)).alias("n"))
+    g = g.withColumns({f"mean_{c}": safe_div(F.col(f"mean_{c}"), F.col("n")) for c in COMPONENTS})
     return g.withColumn("score_ratio", F.when(F.col("_b") > 0, safe_div(F.col("_a"), F.col("_b")))).drop("_a", "_b")
 
 

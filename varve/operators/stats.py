@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve.functions.hashing import digest, digest_mod
-from varve.functions.numeric import exact_sum, is_finite, reasons, safe_div, status, wilson
+from varve.functions.numeric import is_finite, reasons, safe_div, status, wilson
 from varve.functions.special import norm_ppf, norm_ppf_column
+from varve.operators.exact import exact_sums
 from varve.operators.ordering import average_ranks, finite_only, linear_quantiles
 
 # Thresholds of the chain diagnostics gate.
@@ -71,7 +72,7 @@ def wilson_columns(df: DataFrame, successes: str, trials: str, confidence: float
 
 def benchmark_mean(pairs: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean of the complete stored differences; unavailable below two rows or with any non-finite one."""
-    g = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(~is_finite(F.col(value))).alias("n_bad"), exact_sum(F.col(value)).alias("_s"))
+    g = exact_sums(pairs, by, {"_s": F.col(value)}, F.count(F.lit(1)).alias("n"), F.count_if(~is_finite(F.col(value))).alias("n_bad"))
     failures = reasons({"fewer_than_two": F.col("n") < 2, "nonfinite": F.col("n_bad") > 0})
     return g.withColumn("status", status(failures)).withColumn("mean_difference", F.when(F.col("status") == "PASS", F.col("_s") / F.col("n"))).drop("_s")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from varve.operators import mixture, precision, scoring
+from varve.operators.exact import exact_sums
 from varve.operators.precision import default_batch_sizes
 from varve.plans import base
 from varve.plans.registry import query, rnd
@@ -81,12 +82,10 @@ def sco4b(spark, sf):
 )
 def sco5(spark, sf):
     """A sum of very unequal terms, independent of the order in which they arrive."""
-    from varve.functions.numeric import exact_sum
-
     big = F.col("l_extendedprice") * F.lit(1e12)
     m = F.col("l_linenumber") % 3
     v = F.when(m == 0, big).when(m == 1, F.col("l_tax")).otherwise(-big)
-    return base.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(exact_sum(v).alias("total"))
+    return exact_sums(base.table(spark, sf, "lineitem"), ["l_returnflag"], {"total": v})
 
 
 @query(
