@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from varve.operators import scoring
+from varve.operators import mixture, precision, scoring
 
 SCHEMA = "method string, entity_id long, lower double, median double, upper double, y double"
 
@@ -80,3 +80,20 @@ def test_gradients_kinks_and_lipschitz(spark):
     m = spark.createDataFrame([("f", 4, None), ("f", 8, 0.2)], "fit string, b int, upper_mcse double")
     q = scoring.qualification(m, scoring.kink_flags(e)).first()
     assert q.status == "NUMERICALLY_QUALIFIED" and set(q.reasons) == {"undefined_upper_mcse", "label_near_endpoint"}
+
+
+def test_fused_influence_equals_the_one_by_rows(spark):
+    keys = ["fit", "entity_id"]
+    # entity 0 of fit "a" holds most draws; fit "b" has one entity
+    rows = [(f, e, c, d, 3.0 + 0.1 * e + ((7 * d + 3 * c + e) % 11) / 50, 0.04 + (d % 5) / 100, ((d * d + e) % 13) / 10, 0.1)
+            for f, e, n in [("a", 0, 60), ("a", 1, 20), ("a", 2, 20), ("b", 3, 20)] for c in range(2) for d in range(n)]
+    terms = spark.createDataFrame(rows, "fit string, entity_id long, chain int, draw int, mu double, var double, log_w double, sigma_r double")
+    prepared = mixture.prepare(terms, keys)
+    q = mixture.mixture_quantiles(prepared, keys)
+    labels = spark.createDataFrame([(0, 1.0), (1, 500.0), (2, 25.0), (3, 21.0)], "entity_id long, y double")
+    ends = mixture.endpoints(q, keys).join(labels, "entity_id")
+    want = {(r.fit, r.chain, r.draw): r.h for r in scoring.score_influence(precision.influence(prepared, q, keys), ends).collect()}
+    got = {(r.fit, r.chain, r.draw): r.h for r in scoring.fused_score_influence(prepared, q, ends).collect()}
+    assert got.keys() == want.keys() and len(got) == 160
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12) for k in want)
+    prepared.unpersist()

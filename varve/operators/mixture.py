@@ -87,9 +87,11 @@ def sensor_terms(sums: DataFrame, draws: DataFrame, fit: str = "fit", salts: int
     """Log weight, mean and variance of log remaining life for every draw of an entity's fit.
 
     The pairing is an equi-join on the fit. Draws are split over salts by their number and entities
-    are copied per salt, so one popular fit is shared by many tasks.
+    are copied per salt, so one popular fit is shared by many tasks. The number of partitions is
+    stated: draws are few bytes but many pairs, and would else be coalesced into one task.
     """
-    left = draws.withColumn("_salt", F.pmod(F.col("draw"), F.lit(salts)).cast("int"))
+    n = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = draws.withColumn("_salt", F.pmod(F.col("draw"), F.lit(salts)).cast("int")).repartition(n, fit, "_salt")
     right = sums.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     j = right.join(left, [fit, "_salt"]).drop("_salt")
     for stage in term_stages():

@@ -82,15 +82,19 @@ def influence(prepared: DataFrame, quantiles: DataFrame, keys: Sequence[str], si
     q = quantiles.select(*keys, "p", "q", "density", "mean_w")
     if sizes is not None:
         q = q.join(sizes.select(*[c for c in sizes.columns if c in keys or c == "sizes"]), [c for c in keys if c in sizes.columns])
-    q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    j = prepared.join(q.hint("shuffle_hash"), [*keys, "_salt"])
-    j = standardised(j, "q", error).withColumn("cdf", conditional_cdf(error))
+    j = at_roots(prepared, q, keys, error)
     h = F.col("w") * (F.col("cdf") - F.col("p"))
     x = -F.exp("q") * h / (F.col("mean_w") * F.col("density"))
     extra = ["sizes"] if sizes is not None else []
     return j.select(*keys, "p", "chain", "draw", h.alias("h"), x.alias("x"), "w", "cdf", *extra)
 
 
+def at_roots(prepared: DataFrame, roots: DataFrame, keys: Sequence[str], error: str = "normal") -> DataFrame:
+    """Every term with every root ``q`` of its key and the component CDF there as ``cdf``."""
+    roots = roots.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return standardised(prepared.join(roots.hint("shuffle_hash"), [*keys, "_salt"]), "q", error).withColumn("cdf", conditional_cdf(error))
+
+
 def standardised(terms: DataFrame, x: str, error: str) -> DataFrame:
     """Attach the standardised distance of column ``x`` to every component as ``_v`` (and ``_v_wide``)."""
     out = terms.withColumn("_v", (F.col(x) - F.col("mu")) / F.col("sd"))

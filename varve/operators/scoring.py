@@ -124,6 +124,22 @@ def score_influence(endpoint_influence: DataFrame, endpoints: DataFrame, by: Seq
     return g.select(*by, "chain", "draw", (F.col("_h") / F.col("_n")).alias("h"))
 
 
+def fused_score_influence(prepared: DataFrame, quantiles: DataFrame, endpoints: DataFrame, by: Sequence[str] = ("fit",), id_col: str = "entity_id", low: float = 0.05, high: float = 0.95, error: str = "normal") -> DataFrame:
+    """``score_influence`` straight from the terms: the same H(chain, draw), no row per (draw, endpoint).
+
+    Gradients ride on the endpoints' quantile rows, so influences of all entities are added up in the
+    task that works them out, and only a sum per (chain, draw) is shuffled. Other quantiles than the
+    two endpoints are dropped before the terms are read.
+    """
+    keys = [*by, id_col]
+    side = F.when(F.col("p") == low, F.col("g_lower")).otherwise(F.col("g_upper"))
+    roots = quantiles.filter(F.col("p").isin(low, high)).join(with_gradients(endpoints).select(*keys, "g_lower", "g_upper"), keys)
+    roots = roots.withColumn("_g", -F.exp("q") * side / (F.col("mean_w") * F.col("density"))).select(*keys, "p", "q", "_g")
+    j = precision.at_roots(prepared, roots, keys, error)
+    g = j.groupBy(*by, "chain", "draw").agg(F.sum(F.col("_g") * F.col("w") * (F.col("cdf") - F.col("p"))).alias("_h"), F.count_if(F.col("p") == low).alias("_n"))
+    return g.select(*by, "chain", "draw", (F.col("_h") / F.col("_n")).alias("h"))
+
+
 def kink_flags(endpoints: DataFrame, radius: float = KINK_RADIUS) -> DataFrame:
     """Labels within ``radius`` upper MCSEs of an endpoint, per batch size; an undefined bound is flagged."""
     near = lambda end, r: F.coalesce(F.abs(F.col("y") - F.col(end)) <= F.lit(radius) * F.col(r), F.lit(True))

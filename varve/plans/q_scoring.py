@@ -41,7 +41,9 @@ _SUMMARY_COLS = ("mean_score", "mean_width", "median_mae", "median_rmse", "media
 
 def _summary(spark, sf, keep=None):
     fc = base.forecasts(spark, sf)
-    s = scoring.method_summary(scoring.components(fc if keep is None else fc.filter(keep)), base.ship_entities(spark, sf).filter("eligible"))
+    # read three times below: by the sums, the plain aggregates and the cohort gate
+    scored = checkpointed(scoring.components(fc if keep is None else fc.filter(keep)))
+    s = scoring.method_summary(scored, base.ship_entities(spark, sf).filter("eligible"))
     return s.select("method", "primary_status", "n", "covered", rnd("coverage"), "below", "above", "negative_medians", *[rnd(c, 6) for c in _SUMMARY_COLS])
 
 
@@ -72,7 +74,7 @@ def sco4(spark, sf):
 @query("sco4_paired_contrast", build("SELECT count(*) AS n, " + ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in scoring.COMPONENTS) + ", round(sum(first_score) / sum(second_score), 6) AS score_ratio FROM pairc"))
 def sco4b(spark, sf):
     p = scoring.paired_components(scoring.components(base.forecasts(spark, sf)), "last30", "full")
-    c = scoring.paired_contrast(p)
+    c = scoring.paired_contrast(checkpointed(p))
     return c.select("n", *[rnd(f"mean_{k}", 6) for k in scoring.COMPONENTS], rnd("score_ratio"))
 
 
@@ -95,7 +97,7 @@ def sco5(spark, sf):
 def sco7(spark, sf):
     """Contrast per role and its spread, the role standing in for the fit."""
     c = scoring.components(base.forecasts(spark, sf))
-    r = scoring.contrast_range(scoring.paired_contrast(scoring.paired_components(c, "last30", "full", by=["role"]), ["role"]))
+    r = scoring.contrast_range(scoring.paired_contrast(checkpointed(scoring.paired_components(c, "last30", "full", by=["role"])), ["role"]))
     return r.select("n_fits", rnd("low", 6), rnd("high", 6), rnd("range", 6))
 
 
@@ -180,7 +182,8 @@ upper_ctes("ptm", "fit")
 def predictive(spark, sf):
     """Terms of every supplier under the draws of its nation, and the labels."""
     _, scored = base.landmarks(spark, sf)
-    sums = mixture.sequence_sums(scored).join(base.supplier_fits(spark, sf), "entity_id")
+    # one row per entity, written once: the weights' maxima and the terms themselves both start from it
+    sums = checkpointed(mixture.sequence_sums(scored).join(base.supplier_fits(spark, sf), "entity_id"))
     return mixture.sensor_terms(sums, base.draws(spark, sf))
 
 
@@ -196,6 +199,20 @@ def score_inputs(spark, sf):
     return prepared, q, x, ends, sizes
 
 
+def score_series(spark, sf):
+    """H(chain, draw) of every fit by the fused pass, from the two endpoint quantiles only, and the batch sizes."""
+    keys = ["fit", "entity_id"]
+    prepared = mixture.prepare(predictive(spark, sf), keys)
+    q = checkpointed(mixture.mixture_quantiles(prepared, keys, ENDPOINTS))
+    labels = base.ship_entities(spark, sf).select("entity_id", (F.col("lifetime") - F.col("cutoff")).cast("double").alias("y"))
+    end = lambda p, name: F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(name)
+    ends = q.groupBy(*keys).agg(end(ENDPOINTS[0], "lower"), end(ENDPOINTS[1], "upper")).join(labels, "entity_id")
+    return scoring.fused_score_influence(prepared, q, ends), precision.chain_sizes(base.draws(spark, sf), ["fit"])
+
+
+ENDPOINTS = (0.05, 0.95)
+
+
 @query("prd1_sensor_terms", build("SELECT entity_id, fit, chain, draw, round(mu, 6) AS mu, round(var, 6) AS var, round(log_w, 6) AS log_w FROM pterms"))
 def prd1(spark, sf):
     return predictive(spark, sf).select("entity_id", "fit", "chain", "draw", rnd("mu"), rnd("var"), rnd("log_w"))
@@ -209,8 +226,8 @@ def sco9(spark, sf):
 
 @query("sco10_score_influence", build("SELECT fit, chain, draw, round(h, 3) AS h FROM pt_h"))
 def sco10(spark, sf):
-    _, _, x, ends, _ = score_inputs(spark, sf)
-    return scoring.score_influence(x, ends).select("fit", "chain", "draw", rnd("h", 3))
+    h, _ = score_series(spark, sf)
+    return h.select("fit", "chain", "draw", rnd("h", 3))
 
 
 def _sized(x, sizes):
@@ -244,8 +261,8 @@ def sco11(spark, sf):
     build("SELECT fit, b, count(*) AS chains, round(sum(part), 3) AS variance, round(sqrt(sum(part)), 4) AS mcse, round(sum(part) ** 2 / sum(CASE WHEN part > 0 THEN part ** 2 / (n_batches - 1) END), 4) AS dof FROM pt_part GROUP BY 1, 2"),
 )
 def sco12(spark, sf):
-    _, _, x, ends, sizes = score_inputs(spark, sf)
-    m = scoring.score_mcse(_sized(scoring.score_influence(x, ends), sizes), F.col("sizes"), TAIL)
+    h, sizes = score_series(spark, sf)
+    m = scoring.score_mcse(_sized(h, sizes), F.col("sizes"), TAIL)
     return m.select("fit", "b", "chains", rnd("variance", 3), rnd("mcse", 4), rnd("dof", 4))
 
 

@@ -82,7 +82,7 @@ def _pairs(spark, sf):
 
 @query("sta7_benchmark_mean", build("SELECT role, count(*) AS n, 0::BIGINT AS n_bad, CASE WHEN count(*) >= 2 THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN count(*) >= 2 THEN round(avg(score), 6) END AS mean_difference FROM pairc GROUP BY 1"))
 def sta7(spark, sf):
-    return stats.benchmark_mean(_pairs(spark, sf), "x", ["role"]).select("role", "n", "n_bad", "status", rnd("mean_difference"))
+    return stats.benchmark_mean(checkpointed(_pairs(spark, sf)), "x", ["role"]).select("role", "n", "n_bad", "status", rnd("mean_difference"))
 
 
 @query(
