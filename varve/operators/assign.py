@@ -69,17 +69,26 @@ def role_rosters(entities: DataFrame, id_col: str = "entity_id", block: int = 1
     return numbered.join(sizes, "role")
 
 
+def bootstrap_picks(rosters: DataFrame, replicates: int, seed: str) -> DataFrame:
+    """The position every role slot of every replicate draws, a hash of (replicate, role, slot).
+
+    Slots are spread over all tasks first, since each becomes a row per replicate. Spark's size
+    estimate does not see that growth: give the other side of a join a hint.
+    """
+    tasks = int(rosters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = rosters.select("role", "slot", "n_role").repartition(tasks, "role", "slot").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    position = F.lit(1) + digest_mod(digest(seed, F.col("replicate"), F.col("role"), F.col("slot")), F.col("n_role"))
+    return slots.withColumn("_pick", position).drop("n_role")
+
+
 def bootstrap_draws(rosters: DataFrame, replicates: int, seed: str, id_col: str = "entity_id") -> DataFrame:
     """Role-stratified resampling with replacement: every role slot of every replicate draws one entity.
 
     The drawn position is a hash of (replicate, role, slot), so the draws do not depend on cutoffs
     and the same seed pairs the canonical and the alternate cutoff mode.
     """
-    slots = rosters.select("role", "slot", "n_role", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    position = F.lit(1) + digest_mod(digest(seed, F.col("replicate"), F.col("role"), F.col("slot")), F.col("n_role"))
-    drawn = slots.withColumn("_pick", position).drop("n_role")
     pool = rosters.select("role", F.col("slot").alias("_pick"), id_col)
-    return drawn.join(pool, ["role", "_pick"]).drop("_pick")
+    return bootstrap_picks(rosters, replicates, seed).join(pool.hint("shuffle_hash"), ["role", "_pick"]).drop("_pick")
 
 
 def stage_multiplicities(draws: DataFrame, id_col: str = "entity_id") -> DataFrame:

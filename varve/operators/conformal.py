@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from varve.functions.hashing import digest
-from varve.operators.assign import bootstrap_draws
-from varve.operators.ordering import cumulative_counts, dense_index, value_at
+from varve.functions.hashing import CHUNK_BASE, digest, hex_chunk
+from varve.operators.assign import bootstrap_picks
+from varve.operators.ordering import cumulative_counts, value_at
 from varve.operators.scoring import interval_score
+from varve.session import checkpointed, checkpointed_count
 
 # The tuning grid and the tie band of the selection rule.
 TREE_DEPTHS, TREE_LEAVES, TREE_RATES, TREE_COUNT = (1, 2), (5, 10), (0.03, 0.1), 200
@@ -138,25 +139,71 @@ def _replicate_corrections(drawn: DataFrame, by: Sequence[str], score: str, alph
     return g.select(*by, "n", F.when(inf, F.lit(float("inf"))).otherwise(F.greatest(F.lit(0.0), F.col("_s"))).alias("correction"))
 
 
-def subset_corrections(scores: DataFrame, sizes: Sequence[int], replicates: int, seed: str, score: str = "score", id_col: str = "entity_id", alpha: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
+def subset_corrections(scores: DataFrame, sizes: Sequence[int], replicates: int, seed: str, score: str = "score", id_col: str = "entity_id", alpha: float = 0.1, by: Sequence[str] = (), slack: int = 4) -> DataFrame:
     """Corrections of random subsets drawn without replacement: the ``size`` smallest hashes of each replicate (and of ``by``).
 
-    Hash cells bound the sort, and cells past the subset size are dropped before the shuffle.
+    Hashes are uniform, so those below ``slack`` times the share wanted hold the subset almost surely:
+    the others are dropped in the task that makes them. A replicate left with too few rows is ranked
+    again over all its rows. Nothing made by the explosion is ever broadcast or joined.
     """
-    rep = scores.select(*by, id_col, score).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    rep = rep.withColumn("_h", digest(seed, "subset", F.col("replicate"), F.col(id_col))).withColumn("_cell", F.substring("_h", 1, 3))
-    bound = scores.sparkSession.range(1, replicates + 1).select(F.col("id").cast("int").alias("replicate"), F.lit(max(sizes)).alias("upto"))
-    if by:
-        bound = scores.select(*by).distinct().crossJoin(bound)
-    top = dense_index(rep, [*by, "replicate"], ["_cell"], ["_h", id_col], "_order", bound)
+    tasks, most = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(sizes)
+    n = scores.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per group of ``by``
+    sized = scores.join(F.broadcast(n), list(by)) if by else scores.crossJoin(F.broadcast(n))
+    rep = sized.select(*by, id_col, score, "_n").repartition(tasks, id_col).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    rep = rep.withColumn("_h", digest(seed, "subset", F.col("replicate"), F.col(id_col)))
+    keys = [*by, "replicate"]
+    order = Window.partitionBy(*keys).orderBy("_h", id_col)
+    low = rep.filter(hex_chunk(F.col("_h"), 0) < F.lit(float(CHUNK_BASE * slack * most)) / F.col("_n"))
+    held = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    top = low.withColumn("_order", F.row_number().over(order)).withColumn("_held", held).filter(F.col("_order") <= most)
+    top = checkpointed(top.drop("_h"))
+    full = top.filter(F.col("_held") >= F.least(F.col("_n"), F.lit(most))).select(*keys).distinct()
+    wanted = (scores.select(*by).distinct().crossJoin(_numbers(scores, replicates)) if by else _numbers(scores, replicates))
+    short = checkpointed(wanted.join(full, keys, "left_anti"))
+    if not short.isEmpty():
+        again = rep.join(F.broadcast(short), keys).withColumn("_order", F.row_number().over(order)).filter(F.col("_order") <= most)
+        top = top.join(F.broadcast(short), keys, "left_anti").drop("_held").unionByName(again.drop("_h"))
     sized = top.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).filter(F.col("_order") <= F.col("size"))
     return _replicate_corrections(sized, [*by, "size", "replicate"], score, alpha)
 
 
-def bootstrap_corrections(scores: DataFrame, rosters: DataFrame, replicates: int, seed: str, score: str = "score", id_col: str = "entity_id", alpha: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
-    """Corrections of full-size resamples with replacement; every group of ``by`` sees the same draws of entities."""
-    drawn = bootstrap_draws(rosters, replicates, seed, id_col).join(scores.select(*by, id_col, score), id_col)
-    return corrections(drawn, [*by, "replicate"], score, alpha)
+def _numbers(df: DataFrame, replicates: int) -> DataFrame:
+    return df.sparkSession.range(1, replicates + 1).select(F.col("id").cast("int").alias("replicate"))
+
+
+def bootstrap_corrections(scores: DataFrame, rosters: DataFrame, replicates: int, seed: str, score: str = "score", id_col: str = "entity_id", alpha: float = 0.1, by: Sequence[str] = (), width: float = 8.0) -> DataFrame:
+    """Corrections of full-size resamples with replacement; every group of ``by`` sees the same draws of entities.
+
+    The k-th smallest drawn score lies within a few deviations of the k-th smallest score, so draws are
+    counted by value only within ``width`` of them, and as two sums below and above: these combine
+    before the shuffle. A replicate whose k-th score lies outside is worked out from all its draws.
+    """
+    keys = [*by, "replicate"]
+    known = scores.filter(F.col(score).isNotNull()).select(*by, id_col, score)
+    # a score's place among the scores that can be drawn; the extent of the window is taken from their number
+    table = cumulative_counts(known, by, score)
+    mid = conformal_rank(F.col("n_key"), alpha)
+    reach = F.lit(width) * F.sqrt(F.col("n_key") * F.lit(alpha * (1 - alpha))) + 2
+    place = F.when(F.col("n_before") + F.col("n_at") < mid - reach, -1.0).when(F.col("n_before") > mid + reach, float("inf")).otherwise(F.col("n_before"))
+    ranked = known.join(table.select(*by, score, place.alias("_place")), [*by, score])
+    pool = checkpointed(rosters.select("role", F.col("slot").alias("_pick"), id_col).join(ranked, id_col))
+    drawn = bootstrap_picks(rosters, replicates, seed).select("role", "replicate", "_pick").join(pool.hint("shuffle_hash"), ["role", "_pick"])
+    inside = F.when((F.col("_place") >= 0) & (F.col("_place") < float("inf")), F.col(score))
+    counts = drawn.groupBy(*keys, "_place", inside.alias("_score")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys)
+    counts = counts.withColumn("_upto", F.sum("_c").over(w.orderBy("_place"))).withColumn("n", F.sum("_c").over(w))
+    k = conformal_rank(F.col("n"), alpha)
+    hit = (F.col("_upto") >= k) & (F.col("_upto") - F.col("_c") < k)
+    g = counts.groupBy(*keys, "n").agg(F.max(F.when(hit, F.col("_score"))).alias("_s"))
+    inf = conformal_rank(F.col("n"), alpha) > F.col("n")
+    g = g.select(*keys, "n", F.when(inf, F.lit(float("inf"))).when(F.col("_s").isNotNull(), F.greatest(F.lit(0.0), F.col("_s"))).alias("correction"))
+    g, outside = checkpointed_count(g, F.col("correction").isNull())
+    if not outside:
+        return g
+    left = F.broadcast(g.filter("correction is null").select(*keys))
+    whole = corrections(drawn.join(left, keys), keys, score, alpha).select(*keys, "n", "correction")
+    return g.filter("correction is not null").unionByName(whole)
 
 
 def correction_ranges(replicated: DataFrame, by: Sequence[str] = ("size",)) -> DataFrame:
