@@ -119,6 +119,11 @@ def cqr10(spark, sf):
     return conformal.apply_correction(fc.filter("role <> 'calibration'"), q).select("method", "entity_id", "role", rnd("lower"), rnd("upper"))
 
 
+def leave_one_out_scores(scores):
+    """Scores to six decimals: prices interpolated in different ways differ in their last bits, which makes no distinct score."""
+    return scores.withColumn("score", F.round("score", 6))
+
+
 cte("loo", "SELECT a.method, a.entity_id, a.score, b.score AS other, row_number() OVER (PARTITION BY a.method, a.entity_id ORDER BY b.score) AS i, count(*) OVER (PARTITION BY a.method, a.entity_id) AS n FROM ncs a JOIN ncs b ON a.method = b.method AND a.entity_id <> b.entity_id")
 
 
@@ -127,7 +132,7 @@ cte("loo", "SELECT a.method, a.entity_id, a.score, b.score AS other, row_number(
     build("SELECT method, round(score, 6) AS score, count(*) AS multiplicity, round(max(c), 6) AS correction FROM (SELECT method, entity_id, score, CASE WHEN ceil((n + 1)::DECIMAL(20,0) * 0.9) > n THEN 'infinity'::DOUBLE ELSE greatest(0, max(CASE WHEN i = ceil((n + 1)::DECIMAL(20,0) * 0.9) THEN other END)) END AS c FROM loo GROUP BY method, entity_id, score, n) GROUP BY 1, 2"),
 )
 def cqr11(spark, sf):
-    out = conformal.leave_one_out(_scores(spark, sf), ["method"])
+    out = conformal.leave_one_out(leave_one_out_scores(_scores(spark, sf)), ["method"])
     return out.select("method", rnd("score"), "multiplicity", rnd("correction"))
 
 
