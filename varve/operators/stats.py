@@ -28,10 +28,15 @@ def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def pearson(x: Column, y: Column) -> Column:
-    """Correlation aggregate: null below two rows or at zero variance of either side."""
+    """Correlation aggregate: null below two rows or at zero variance of either side.
+
+    A side is constant if its extremes are equal: the moments of a constant, merged over tasks, may
+    leave a variance of a few rounding errors.
+    """
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x), F.when(both, y)
-    return F.when(F.count(a) >= 2, safe_div(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b))))
+    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    return F.when((F.count(a) >= 2) & varies, safe_div(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b))))
 
 
 def associations(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
