@@ -80,3 +80,23 @@ def test_scores_equal_but_for_rounding_are_one_score(spark):
 
     got = {r.score: r.multiplicity for r in conformal.leave_one_out(leave_one_out_scores(scores), ["method"]).collect()}
     assert got[0.3] == 2 and len(got) == 19
+
+
+@pytest.mark.parametrize("by_first", [True, False])
+def test_picks_are_the_digest_modulo_the_size(spark, by_first):
+    from varve.functions import hashing
+
+    slots = spark.createDataFrame([("fit", s, 1000) for s in range(1, 8)] + [("tune", 1, 7)], "role string, slot long, n long")
+    got = hashing.replicate_picks(slots, 9, "s", "role", "n", by_first)
+    middle = [F.col("role"), F.col("replicate")] if by_first else [F.col("replicate"), F.col("role")]
+    both = got.join(slots, ["role", "slot"]).withColumn("want", 1 + hashing.digest_mod(hashing.digest("s", *middle, F.col("slot")), F.col("n"))).collect()
+    assert len(both) == 72 and all(r._pick == r.want for r in both)
+
+
+def test_draws_are_spread_before_a_row_per_parameter_is_made(spark):
+    # one input task made all rows of all parameters, and held them to count repeated values
+    draws = spark.range(3000).select((F.col("id") % 2).cast("int").alias("fit"), F.rand(1).alias("a"), F.rand(2).alias("b")).coalesce(1)
+    long = stats.unpivot(stats.spread_draws(draws, ["fit", "a"], rows=100), ["fit"], ["a", "b"])
+    assert long.rdd.getNumPartitions() == 30 and long.count() == 6000
+    n = spark.createDataFrame(stats.recovery(draws, {"a": 0.5, "b": 0.5}).collect())
+    assert {r.n for r in n.collect()} == {1500} and all(r.inside for r in n.collect())

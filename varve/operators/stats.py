@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varve.functions.hashing import digest, digest_mod
+from varve.functions.hashing import replicate_picks
 from varve.functions.numeric import is_finite, reasons, safe_div, status, wilson
 from varve.functions.special import norm_ppf, norm_ppf_column
 from varve.operators.exact import exact_sums
@@ -99,17 +99,13 @@ def bootstrap_pivots(values: DataFrame, replicates: int, seed: str, value: str =
     """Resampled mean and standard error per replicate.
 
     ``values`` must carry a dense ``slot`` 1..n per scenario. Every slot of every replicate draws a
-    position by hash; sums are combined before the shuffle. Slots are spread over all tasks first,
-    since each becomes a row per replicate.
+    position by hash; sums are combined before the shuffle.
     """
     base = values.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(F.lit(1)))).alias("se"))
     small = base.select(by, "n")
-    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slots = values.select(by, "slot").join(F.broadcast(small), by).repartition(tasks, by, "slot")
-    slots = slots.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    pick = F.lit(1) + digest_mod(digest(seed, F.col(by), F.col("replicate"), F.col("slot")), F.col("n"))
-    drawn = slots.withColumn("_pick", pick).select(by, "replicate", "_pick")
-    pool = values.select(by, F.col("slot").alias("_pick"), value)
+    slots = values.select(by, "slot").join(F.broadcast(small), by)
+    drawn = replicate_picks(slots, replicates, seed, by, "n", by_first=True).select(by, "replicate", "_pick")
+    pool = values.select(by, F.col("slot").alias("_pick"), value).hint("shuffle_hash")
     reps = drawn.join(pool, [by, "_pick"]).groupBy(by, "replicate").agg(
         F.avg(value).alias("rep_mean"), (F.stddev_samp(value) / F.sqrt(F.count(F.lit(1)))).alias("rep_se")
     )
@@ -182,9 +178,16 @@ def unpivot(df: DataFrame, keys: Sequence[str], params: Sequence[str]) -> DataFr
     return df.select(*keys, F.inline(F.array(*[F.struct(F.lit(p).alias("param"), F.col(p).cast("double").alias("value")) for p in params])))
 
 
+def spread_draws(draws: DataFrame, by: Sequence[str], rows: int = 1 << 15) -> DataFrame:
+    """Draws over many tasks: they are few bytes, but a row per parameter each, which a task would else hold at once."""
+    tasks = max(int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-draws.count() // rows))
+    return draws.repartition(tasks, *by)
+
+
 def recovery(draws: DataFrame, truth: Mapping[str, float], by: Sequence[str] = ("fit",)) -> DataFrame:
     """Posterior mean, SD and equal-tail 95% interval of each parameter against its true value."""
-    long = unpivot(draws, by, list(truth))
+    dealt = [*by, *[c for c in ("chain", "draw", *truth) if c in draws.columns]]
+    long = unpivot(spread_draws(draws, dealt), by, list(truth))
     keys = [*by, "param"]
     q = linear_quantiles(long, keys, "value", {"low": 0.025, "high": 0.975})
     m = long.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))

@@ -147,7 +147,7 @@ cte("rec", "SELECT fit, param, count(*) AS n, any_value(truth) AS truth, avg(val
     build("SELECT fit, param, n, truth, round(mean, 7) AS mean, round(sd, 7) AS sd, round(low, 7) AS low, round(high, 7) AS high, truth BETWEEN low AND high AS inside, round((mean - truth) / sd, 5) AS z_error, abs((mean - truth) / sd) > 3 AS gross FROM rec"),
 )
 def sta11(spark, sf):
-    r = stats.recovery(base.draws(spark, sf), TRUTH)
+    r = stats.recovery(checkpointed(base.draws(spark, sf)), TRUTH)
     return r.select("fit", "param", "n", "truth", *[rnd(c, 7) for c in ("mean", "sd", "low", "high")], "inside", rnd("z_error", 5), "gross")
 
 
@@ -158,7 +158,7 @@ def sta11(spark, sf):
 def sta12(spark, sf):
     """Recovery by region: the region of the nation is the regime."""
     regime = table(spark, sf, "nation").select(F.col("n_nationkey").alias("fit"), F.col("n_regionkey").alias("regime"))
-    r = stats.recovery_rollup(stats.recovery(base.draws(spark, sf), TRUTH).join(regime, "fit"))
+    r = stats.recovery_rollup(stats.recovery(checkpointed(base.draws(spark, sf)), TRUTH).join(regime, "fit"))
     return r.select("regime", "param", "n", "covered", rnd("mean_bias", 7), rnd("max_abs_z", 5))
 
 
@@ -210,7 +210,7 @@ def sta16(spark, sf):
 def sta16b(spark, sf):
     """R-hat, batch-means ESS and sampler health of every nation's draws."""
     d = checkpointed(base.draws(spark, sf))
-    long = stats.unpivot(d, ["fit", "chain", "draw"], PARAMS)
+    long = stats.unpivot(stats.spread_draws(d, ["fit", "chain", "draw"]), ["fit", "chain", "draw"], PARAMS)
     sizes = precision.chain_sizes(d, ["fit"])
     sized = long.join(F.broadcast(sizes.select("fit", "sizes")), "fit")
     lrv = precision.batch_means(sized, ["fit", "param"], "value", F.slice("sizes", 1, 1))
