@@ -185,11 +185,6 @@ def entity_sums(spark, sf):
     return checkpointed(mixture.sequence_sums(scored).join(base.supplier_fits(spark, sf), "entity_id"))
 
 
-def predictive(spark, sf, sums=None):
-    """Terms of every supplier under the draws of its nation, and the labels."""
-    return mixture.sensor_terms(entity_sums(spark, sf) if sums is None else sums, base.draws(spark, sf))
-
-
 def labels(spark, sf):
     return base.ship_entities(spark, sf).select("entity_id", (F.col("lifetime") - F.col("cutoff")).cast("double").alias("y"))
 
@@ -210,15 +205,13 @@ def endpoint_results(spark, sf):
     return q, series, ends
 
 
-def score_inputs(spark, sf):
+def score_inputs(sums, draws):
+    """(quantiles, influences by row, batch sizes) by repeated passes, for fits with too many draws for a task."""
     keys = ["fit", "entity_id"]
-    prepared = mixture.prepare(predictive(spark, sf), keys)
+    prepared = mixture.prepare(mixture.sensor_terms(sums, draws), keys)
     q = mixture.mixture_quantiles(prepared, keys)
-    sizes = precision.chain_sizes(base.draws(spark, sf), ["fit"])
-    # the influences feed several results below: one row per (draw, endpoint), written once
-    x = checkpointed(precision.influence(prepared, q, keys, sizes))
-    ends = mixture.endpoints(q, keys).join(labels(spark, sf), "entity_id")
-    return prepared, q, x, ends, sizes
+    sizes = precision.chain_sizes(draws, ["fit"])
+    return q, checkpointed(precision.influence(prepared, q, keys, sizes)), sizes
 
 
 def score_series(spark, sf):
@@ -250,7 +243,7 @@ def sco9(spark, sf):
     sums, draws = entity_sums(spark, sf), checkpointed(base.draws(spark, sf))
     if keywise.fits_bounded(draws):
         return keywise.paired_influence(sums, draws, mixture.TERM_STEPS, mixture.PROBS, 4)
-    _, _, x, _, _ = score_inputs(spark, sf)
+    _, x, _ = score_inputs(sums, draws)
     return x.select("fit", "entity_id", "p", "chain", "draw", rnd("x", 4))
 
 
@@ -298,7 +291,13 @@ def sco12(spark, sf):
 @query("sco13_covariance_projection", build("SELECT fit, b, round(sum(part), 3) AS projected_variance FROM pt_part GROUP BY 1, 2"))
 def sco13(spark, sf):
     """Joint endpoint covariance of each nation's suppliers projected on the score gradient."""
-    _, _, x, ends, sizes = score_inputs(spark, sf)
+    sums, draws, labelled = entity_sums(spark, sf), checkpointed(base.draws(spark, sf)), labels(spark, sf)
+    if keywise.fits_bounded(draws):
+        sums = checkpointed(sums.join(labelled, "entity_id"))
+        found = keywise.projected_covariance(keywise.paired_deviations(sums, draws, mixture.TERM_STEPS, scoring.ALPHA), sums)
+        return found.select("fit", "b", rnd("projected_variance", 3))
+    q, x, sizes = score_inputs(sums, draws)
+    ends = mixture.endpoints(q, ["fit", "entity_id"]).join(labelled, "entity_id")
     cov = scoring.endpoint_covariance(x.filter("p <> 0.5"), F.col("sizes"))
     return scoring.project_covariance(cov, ends).select("fit", "b", rnd("projected_variance", 3))
 
