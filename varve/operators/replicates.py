@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from varve.operators import assign, conformal, features, linear, quantreg
 from varve.session import checkpointed, ship
 
-GROUP_ROWS = 100_000
+# Drawn rows of a replicate that a task may hold.
+GROUP_ROWS = 400_000
 STAGES = {"select": ("fit",), "refit": ("fit", "tune")}
 
 
@@ -132,13 +133,12 @@ def boost(x: np.ndarray, y: np.ndarray, others: np.ndarray, grid: Sequence[dict]
     lane, cell = np.arange(n_task), np.arange(n_task) * width * n_bin
     place = np.arange(width) * n_bin + b  # (n, width): cell of each feature
 
-    def histogram(rows: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows at or below the score, and all rows, of those marked in (n, tasks)."""
+    def count(rows: np.ndarray) -> np.ndarray:
+        """Rows marked in (n, tasks) by task, feature and bin."""
         i, t = np.nonzero(rows)
-        at = (cell[t][:, None] + place[i]).ravel()
-        size = n_task * width * n_bin
-        g = np.bincount(at, np.repeat(below[i, t], width), size)
-        return g.reshape(n_task, width, n_bin), np.bincount(at, minlength=size).astype(float).reshape(n_task, width, n_bin)
+        return np.bincount((cell[t][:, None] + place[i]).ravel(), minlength=n_task * width * n_bin).astype(float).reshape(n_task, width, n_bin)
+
+    everyone = count(np.ones((n, n_task), bool))
 
     def split(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         gl, nl = g.cumsum(-1), c.cumsum(-1)
@@ -156,13 +156,14 @@ def boost(x: np.ndarray, y: np.ndarray, others: np.ndarray, grid: Sequence[dict]
 
     for step in range(int(rounds.max())):
         below = y[:, None] <= score
-        g, c = histogram(np.ones((n, n_task), bool), below)
+        g, c = count(below), everyone
         feature, cut = np.full((3, n_task), -1), np.zeros((3, n_task), int)
         feature[0], cut[0] = split(g, c)
         top = goes_right(b, np.tile(feature[0], (n, 1)), cut[0])
         if (depth > 1).any():
             few = top.sum(axis=0) * 2 <= n  # the right child is the smaller one
-            sg, sc = histogram(top == few, below)
+            small = top == few
+            sg, sc = count(small & below), count(small)
             for child in (0, 1):
                 own = few == bool(child)
                 f, k = split(np.where(own[:, None, None], sg, g - sg), np.where(own[:, None, None], sc, c - sc))
@@ -174,10 +175,13 @@ def boost(x: np.ndarray, y: np.ndarray, others: np.ndarray, grid: Sequence[dict]
             return 2 * first + goes_right(m, feature[second, lane], cut[second, lane])
 
         leaf, residual = leaves(b), y[:, None] - score
-        order = np.lexsort((residual.T, leaf.T))  # (tasks, n): by leaf, then residual
-        count = np.stack([(leaf == k).sum(axis=0) for k in range(4)], axis=1)
-        at = np.minimum(np.cumsum(count, axis=1) - count + _ranked(residual, count, tau[:, None]), n - 1)
-        value = np.where(count > 0, residual.T[lane[:, None], order[lane[:, None], at]], 0.0)
+        value = np.zeros((n_task, 4))
+        for t in lane:
+            for k in range(4):
+                own = residual[leaf[:, t] == k, t]
+                if len(own):
+                    at = _ranked(own, len(own), tau[t])
+                    value[t, k] = np.partition(own, at)[at]
         value *= np.where(step < rounds, rate, 0.0)[:, None]
         score += value[lane, leaf]
         out += value[lane, leaves(o)]
