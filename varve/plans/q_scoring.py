@@ -294,7 +294,7 @@ def sco13(spark, sf):
     sums, draws, labelled = entity_sums(spark, sf), checkpointed(base.draws(spark, sf)), labels(spark, sf)
     if keywise.fits_bounded(draws):
         sums = checkpointed(sums.join(labelled, "entity_id"))
-        found = keywise.projected_covariance(keywise.paired_deviations(sums, draws, mixture.TERM_STEPS, scoring.ALPHA), sums)
+        found = keywise.paired_projection(sums, draws, mixture.TERM_STEPS, scoring.ALPHA)
         return found.select("fit", "b", rnd("projected_variance", 3))
     q, x, sizes = score_inputs(sums, draws)
     ends = mixture.endpoints(q, ["fit", "entity_id"]).join(labelled, "entity_id")
