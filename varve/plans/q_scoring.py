@@ -200,9 +200,26 @@ def endpoint_results(spark, sf):
         prepared = mixture.prepare(mixture.sensor_terms(sums, draws), keys)
         q = checkpointed(mixture.mixture_quantiles(prepared, keys, ENDPOINTS))
         series = precision.batch_means(precision.influence(prepared, q, keys, precision.chain_sizes(draws, ["fit"])), [*keys, "p"], "h", F.col("sizes"))
+    return q, series, _ends(q, labels(spark, sf))
+
+
+def _ends(q, labelled):
     end = lambda p, name: F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(name)
-    ends = q.groupBy(*keys).agg(end(ENDPOINTS[0], "lower"), end(ENDPOINTS[1], "upper")).join(labels(spark, sf), "entity_id")
-    return q, series, ends
+    return q.groupBy("fit", "entity_id").agg(end(ENDPOINTS[0], "lower"), end(ENDPOINTS[1], "upper")).join(labelled, "entity_id")
+
+
+def score_and_endpoints(spark, sf):
+    """What ``score_series`` and ``endpoint_results`` give: (H, sizes, (q, series, ends)); from one search where a task
+    may hold the draws of a fit and every fit has batch sizes."""
+    keys, sums, draws = ["fit", "entity_id"], entity_sums(spark, sf), checkpointed(base.draws(spark, sf))
+    sizes = checkpointed(precision.chain_sizes(draws, ["fit"]))
+    if not keywise.fits_bounded(draws) or sizes.filter("sizes is null").head(1):
+        return *score_series(spark, sf), endpoint_results(spark, sf)
+    sums = checkpointed(sums.join(labels(spark, sf), "entity_id"))
+    found = checkpointed(keywise.paired_score(sums, draws, mixture.TERM_STEPS, scoring.ALPHA))
+    results = found.filter("_h is null")
+    q = keywise.quantile_table(results, keys)
+    return keywise.mean_influence(found.filter("_h is not null")), sizes, (q, keywise.series_table(results, keys), _ends(q, sums.select("entity_id", "y")))
 
 
 def score_inputs(sums, draws):
@@ -268,14 +285,13 @@ def _radii(q, series):
 TAIL = 0.025
 
 
-def _flagged(spark, sf):
-    q, series, ends = endpoint_results(spark, sf)
+def _flagged(q, series, ends):
     return scoring.kink_flags(ends.join(_radii(q, series), ["fit", "entity_id"]))
 
 
 @query("sco11_kink_flags", build("SELECT fit, entity_id, batch_size, lower_kink, upper_kink FROM pt_kink"))
 def sco11(spark, sf):
-    return _flagged(spark, sf).select("fit", "entity_id", "batch_size", "lower_kink", "upper_kink")
+    return _flagged(*endpoint_results(spark, sf)).select("fit", "entity_id", "batch_size", "lower_kink", "upper_kink")
 
 
 @query(
@@ -316,6 +332,6 @@ def sco14(spark, sf):
           "FROM (SELECT fit, bool_or(upper_mcse IS NULL) AS undefined, NOT bool_or(upper_mcse IS NULL) AND max(upper_mcse) > 0.5 AS above, max(upper_mcse) AS top FROM ptm_up GROUP BY 1) JOIN (SELECT fit, bool_or(lower_kink OR upper_kink) AS kink FROM pt_kink GROUP BY 1) USING (fit)"),
 )
 def sco15(spark, sf):
-    h, sizes = score_series(spark, sf)
-    out = scoring.qualification(scoring.score_mcse(_sized(h, sizes), F.col("sizes"), TAIL), _flagged(spark, sf))
+    h, sizes, found = score_and_endpoints(spark, sf)
+    out = scoring.qualification(scoring.score_mcse(_sized(h, sizes), F.col("sizes"), TAIL), _flagged(*found))
     return out.select("fit", "status", F.concat_ws(",", "reasons").alias("reasons"), rnd("max_upper_mcse", 4))
